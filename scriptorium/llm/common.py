@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -23,10 +24,29 @@ def shared_dir(spark: SparkSession) -> str:
     return given or sc.getCheckpointDir()
 
 
+def table_dir(spark: SparkSession) -> str:
+    """Folder for the tables that one application writes between its jobs; removed when the application ends."""
+    folder = f"{shared_dir(spark)}/scriptorium-{spark.sparkContext.applicationId}"
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(folder)
+    system = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    system.mkdirs(path)
+    system.deleteOnExit(path)
+    return folder
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Writes narrow rows to the shared folder and forgets how they came about, so that lost executors cost no recomputation."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Writes narrow rows as a table in the shared folder and reads it: lost executors cost no recomputation, and the
+    planner sees the table's true size. (A checkpoint would carry on the estimate, which joins in a loop multiply without end.)"""
+    spark = df.sparkSession
+    path = f"{table_dir(spark)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def fresh(df: DataFrame, name: str) -> str:

@@ -39,11 +39,11 @@ CHUNK_ROWS, CHUNK_PAIRS = 100_000, 1_000_000
 # --- fingerprints ---------------------------------------------------------------------------------------------
 
 
-def _word_bits(words: list[str]) -> np.ndarray:
-    """(words, 128) of -1 and 1."""
-    digests = b"".join(xxhash.xxh128_digest(w) for w in words)
+def _word_lanes(words: list[str]) -> np.ndarray:
+    """(32, words): each word's 128 bits, in lanes of 16 bits, four to an integer."""
+    digests = b"".join(map(xxhash.xxh128_digest, words))
     bits = np.unpackbits(np.frombuffer(digests, dtype=np.uint8).reshape(-1, 16), axis=1)
-    return (bits.astype(np.int8) << 1) - 1
+    return np.ascontiguousarray(bits.astype(np.uint16).view(np.uint64).T)
 
 
 def fingerprints_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -58,23 +58,26 @@ def fingerprints_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         ids, owner = ids[real], owner[real]
     out = np.zeros((len(texts), 16), dtype=np.uint8)
     if len(ids):
-        bits = _word_bits(vocabulary)
         n = len(vocabulary)
         keys, counts = np.unique(owner * n + ids, return_counts=True)
         docs, ids = keys // n, keys % n
-        weights = np.rint(8 * np.sqrt(counts)).astype(np.int32)
+        weights = np.rint(4 * np.sqrt(counts)).astype(np.uint64)
         starts = np.flatnonzero(np.r_[True, docs[1:] != docs[:-1]])
-        ends = np.r_[starts[1:], len(docs)]
-        step = 200_000
-        first = 0
-        while first < len(starts):  # whole documents, as many as fit in a step
-            last = max(first + 1, int(np.searchsorted(ends, starts[first] + step, side="right")))
-            lo, hi = starts[first], ends[last - 1]
-            signed = np.empty((hi - lo, 128), dtype=np.int32)
-            np.multiply(bits[ids[lo:hi]], weights[lo:hi, None], out=signed)
-            sums = np.add.reduceat(signed, starts[first:last] - lo, axis=0)
-            out[docs[starts[first:last]]] = np.packbits(sums > 0, axis=1)
-            first = last
+        total = np.add.reduceat(weights, starts)
+        # a lane holds sums below 2**16: heavier documents are summed in pieces
+        before = np.cumsum(weights) - weights
+        piece = (before - before[starts].repeat(np.diff(np.r_[starts, len(docs)]))) // np.uint64(60_000)
+        parts = np.flatnonzero(np.r_[True, (docs[1:] != docs[:-1]) | (piece[1:] != piece[:-1])])
+        of_part = np.searchsorted(starts, parts, side="right") - 1
+        lanes = _word_lanes(vocabulary)
+        sums = np.empty((len(parts), 32), dtype=np.uint64)
+        for k in range(32):
+            sums[:, k] = np.add.reduceat(lanes[k][ids] * weights, parts)
+        wide = sums.view(np.uint16).astype(np.uint64)
+        firsts = np.flatnonzero(np.r_[True, of_part[1:] != of_part[:-1]])
+        if len(firsts) < len(parts):
+            wide = np.add.reduceat(wide, firsts, axis=0)
+        out[docs[starts]] = np.packbits(2 * wide > total[:, None], axis=1)
     has = np.zeros(len(texts), dtype=bool)
     has[owner] = True
     return out.view(">u8").astype(np.uint64), has
@@ -190,6 +193,23 @@ def _leaf_pairs(a0, a1, b0, b1, same, f0, f1, budget, budget_all) -> Iterator[tu
         first = last
 
 
+def _joined(root: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Roots of a forest, least members, after joining the trees of i and j pairwise."""
+    while True:
+        root = root.copy()
+        while True:
+            up = root[root]
+            if (up == root).all():
+                break
+            root = up
+        x, y = root[i], root[j]
+        apart = x != y
+        if not apart.any():
+            return root
+        x, y, i, j = x[apart], y[apart], i[apart], j[apart]
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+
+
 def _expand(blocks: list[tuple[int, int, int]]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -208,10 +228,18 @@ def _join(budget: int, budget_all: int):
         node, f0, f1, v = rows
         order = np.lexsort((f0.view(np.uint64), node))
         node, f0, f1, v = node[order], f0[order].view(np.uint64), f1[order].view(np.uint64), v[order]
-        found = [(v[i], v[j]) for i, j in trie_pairs(node, f0, f1, budget, budget_all)]
-        a = np.concatenate([x for x, _ in found]) if found else np.zeros(0, np.int64)
-        b = np.concatenate([y for _, y in found]) if found else np.zeros(0, np.int64)
-        both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
+        root = np.arange(len(v))
+        same = np.flatnonzero(np.r_[False, np.diff(np.sort(v)) == 0])
+        if len(same):  # rows of one fingerprint, in different nodes
+            _, inverse = np.unique(v, return_inverse=True)
+            first = np.full(inverse.max() + 1, len(v))
+            np.minimum.at(first, inverse, np.arange(len(v)))
+            root = first[inverse]
+        for i, j in trie_pairs(node, f0, f1, budget, budget_all):
+            root = _joined(root, i, j)
+        root = _joined(root, np.zeros(0, np.int64), np.zeros(0, np.int64))
+        both = np.stack([v[root], v], axis=1)
+        both = np.unique(both[both[:, 0] != both[:, 1]], axis=0)
         return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -234,8 +262,12 @@ def _join(budget: int, budget_all: int):
     return run
 
 
-def near_pairs(prints: DataFrame, budget: int = BUDGET, budget_all: int = BUDGET_ALL) -> DataFrame:
-    """Pairs (a, b), a < b, of ``v`` of near fingerprints, from distinct rows (v, f0, f1)."""
+def near_edges(prints: DataFrame, budget: int = BUDGET, budget_all: int = BUDGET_ALL) -> DataFrame:
+    """Edges (a, b) between ``v`` of distinct rows (v, f0, f1), with the same connected components as all near pairs.
+
+    A task finds all near pairs of its nodes but passes on one edge for each fingerprint that they join to another, so
+    that a group of thousands of near copies costs thousands of rows, not millions.
+    """
     blocks = plan_blocks(prints.count(), budget)
     rows = prints.select("f0", "f1", "v").mapInArrow(_expand(blocks), "node bigint, f0 bigint, f1 bigint, v bigint")
     return rows.repartition("node").sortWithinPartitions("node").mapInArrow(_join(budget, budget_all), "a bigint, b bigint").distinct()
@@ -265,9 +297,9 @@ def _judged(docs: DataFrame, id_col: str, text_col: str, budget: int, budget_all
     """(row, doc, canonical, is_kept) of documents that have a near duplicate."""
     prints = cut(fingerprints(docs, id_col, text_col))
     distinct = cut(prints.groupBy("f0", "f1").agg(F.min("row").alias("v"), F.count("*").alias("n")))
-    pairs = near_pairs(distinct, budget, budget_all)
+    edges = near_edges(distinct, budget, budget_all)
     alone = distinct.where("n > 1").select(F.col("v"), F.col("v").alias("root"))
-    roots = connected(pairs).unionByName(alone).groupBy("v").agg(F.min("root").alias("root"))
+    roots = connected(edges).unionByName(alone).groupBy("v").agg(F.min("root").alias("root"))
     grouped = prints.join(distinct.join(roots, "v").select("f0", "f1", "root"), ["f0", "f1"]).select("row", "doc", "root")
     grouped = cut(grouped)
     firsts = grouped.groupBy("root").agg(F.min(F.struct(F.col("doc").isNull().alias("none"), "doc", "row")).alias("first"))
