@@ -1,6 +1,6 @@
 """Toxicity by cumulative-link ordinal regression.
 
-Severity grades 0 .. G-1 are predicted from the set of a text's words. All thresholds share one weight vector:
+Severity grades 0 .. G-1 are predicted from the set of a text's words and of their beginnings. All thresholds share one weight vector:
 P(grade > g) = sigmoid(w.x - theta[g]) with theta ascending. Weights are held sparse by an L1 penalty, so that long
 texts don't gather noise. The output is the expected grade.
 
@@ -25,9 +25,10 @@ from .common import by_bytes, documents, fresh, numbered, order_key, repeatable,
 #: Bound of the labelled sample that the model is fitted on: documents of either label.
 TRAIN_PER_LABEL = 2000
 GRADES = 3
-L1 = 2e-4
+L1 = 1e-3
 ROUNDS = 300
 MIN_DOCS = 3
+BEGINNINGS = (4, 6)
 NOT_WORD = r"[^\p{L}\p{N}_]+"
 
 
@@ -44,6 +45,35 @@ def _tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
     return pc.list_parent_indices(lists).to_numpy(zero_copy_only=False).astype(np.int64), words.indices.to_numpy(zero_copy_only=False).astype(np.int64), words.dictionary.to_pylist()
 
 
+def features_of(word: str) -> list[str]:
+    """The word and its beginnings, which inflected forms share."""
+    return [word, *(word[:k] + "-" for k in BEGINNINGS if len(word) > k)] if word else []
+
+
+def _feature_table(vocabulary: list[str], keep: dict[str, float] | None = None) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """(word, feature) numbers of the features of all words, or of those in ``keep``, and the features."""
+    numbers: dict[str, int] = {}
+    word, feature = [], []
+    for i, w in enumerate(vocabulary):
+        for f in features_of(w):
+            if keep is None or f in keep:
+                word.append(i)
+                feature.append(numbers.setdefault(f, len(numbers)))
+    return np.array(word, dtype=np.int64), np.array(feature, dtype=np.int64), list(numbers)
+
+
+def _document_features(owner: np.ndarray, ids: np.ndarray, size: int, word: np.ndarray, feature: np.ndarray, n_features: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct (text, feature) pairs. ``word`` is sorted."""
+    first = np.searchsorted(word, np.arange(size + 1))
+    has = (first[1:] > first[:-1])[ids] if len(ids) else np.zeros(0, dtype=bool)
+    key = np.unique(owner[has] * size + ids[has])
+    doc, w = key // size, key % size
+    n = first[w + 1] - first[w]
+    at = np.repeat(first[w], n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+    pair = np.unique(np.repeat(doc, n) * n_features + feature[at]) if len(at) else np.zeros(0, np.int64)
+    return pair // max(n_features, 1), pair % max(n_features, 1)
+
+
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -35, 35)))
 
@@ -55,15 +85,13 @@ def fit(texts: list[str], toxic: list[int], grades: int = GRADES, l1: float = L1
     if n == 0 or toxic.min() == toxic.max():
         return OrdinalModel({}, tuple(float(12 + g) for g in range(grades - 1)))
     owner, ids, vocabulary = _tokens(pa.array(texts, pa.string()))
-    size = len(vocabulary)
-    key = np.unique(owner * size + ids)
-    doc, word = key // size, key % size
-    often = np.bincount(word, minlength=size) >= min_docs
-    often &= np.array([w != "" for w in vocabulary])
+    of_word, of_feature, names = _feature_table(vocabulary)
+    doc, word = _document_features(owner, ids, len(vocabulary), of_word, of_feature, len(names))
+    often = np.bincount(word, minlength=len(names)) >= min_docs
     doc, word = doc[often[word]], word[often[word]]
-    number = np.full(size, -1)
+    number = np.full(len(names), -1)
     number[np.flatnonzero(often)] = np.arange(int(often.sum()))
-    word, names = number[word], [w for w, keep in zip(vocabulary, often, strict=True) if keep]
+    word, names = number[word], [w for w, keep in zip(names, often, strict=True) if keep]
     m = len(names)
 
     hit = np.bincount(word, weights=toxic[doc], minlength=m)
@@ -76,8 +104,10 @@ def fit(texts: list[str], toxic: list[int], grades: int = GRADES, l1: float = L1
     cuts = np.quantile(density[toxic == 1], [g / (grades - 1) for g in range(1, grades - 1)])
     grade[toxic == 1] = 1 + (density[toxic == 1][:, None] >= cuts[None, :]).sum(1)
 
+    # both labels weigh the same in all
+    mass = np.where(toxic == 1, 0.5 / bad, 0.5 / good)
     above = (grade[:, None] > np.arange(grades - 1)[None, :]).astype(float)
-    share = np.clip(above.mean(0), 1 / n, 1 - 1 / n)
+    share = np.clip(mass @ above, 1 / n, 1 - 1 / n)
     theta = -np.log(share / (1 - share))
     theta = np.maximum.accumulate(theta + 1e-3 * np.arange(grades - 1))
 
@@ -89,11 +119,11 @@ def fit(texts: list[str], toxic: list[int], grades: int = GRADES, l1: float = L1
         like = np.maximum(full[rows, grade] - full[rows, grade + 1], 1e-12)
         slope = np.concatenate([np.zeros((n, 1)), p * (1 - p), np.zeros((n, 1))], axis=1)
         lower, upper = slope[rows, grade], slope[rows, grade + 1]
-        ds = -(lower - upper) / like / n
+        ds = -(lower - upper) / like * mass
         dt = np.zeros(grades + 1)
-        np.add.at(dt, grade, lower / like / n)
-        np.add.at(dt, grade + 1, -upper / like / n)
-        return float(-np.log(like).mean()), np.bincount(word, weights=ds[doc], minlength=m), dt[1:-1]
+        np.add.at(dt, grade, lower / like * mass)
+        np.add.at(dt, grade + 1, -upper / like * mass)
+        return float(-(mass * np.log(like)).sum()), np.bincount(word, weights=ds[doc], minlength=m), dt[1:-1]
 
     w, z, zt, step, pace = np.zeros(m), np.zeros(m), theta.copy(), 1.0, 1.0
     for _ in range(rounds):
@@ -115,10 +145,9 @@ def fit(texts: list[str], toxic: list[int], grades: int = GRADES, l1: float = L1
 def score(texts: pa.Array, model: OrdinalModel) -> tuple[np.ndarray, np.ndarray]:
     """Expected severity and P(grade > 0)."""
     owner, ids, vocabulary = _tokens(texts)
-    weight = np.array([model.weights.get(w, 0.0) for w in vocabulary] or [0.0])
-    heavy = weight[ids] != 0 if len(ids) else np.zeros(0, dtype=bool)
-    key = np.unique(owner[heavy] * len(weight) + ids[heavy])
-    s = np.bincount(key // len(weight), weights=weight[key % len(weight)], minlength=len(texts))
+    of_word, of_feature, names = _feature_table(vocabulary, model.weights)
+    doc, feature = _document_features(owner, ids, len(vocabulary), of_word, of_feature, len(names))
+    s = np.bincount(doc, weights=np.array([model.weights[f] for f in names])[feature] if names else None, minlength=len(texts))
     p = _sigmoid(s[:, None] - np.array(model.thresholds)[None, :])
     return p.sum(1), p[:, 0]
 
