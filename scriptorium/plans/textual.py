@@ -7,6 +7,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 from scriptorium.functions import text as X
 from scriptorium.operators import ordering, quality
@@ -45,8 +46,8 @@ def remove_boilerplate(spark, d):
 @query(rf"""WITH a AS (SELECT page_id, html, {_ENC} AS one FROM pages), b AS (SELECT *, {_html('one')} AS two FROM a), c AS (SELECT *, {_boiler('two')} AS three FROM b), e AS (SELECT *, {stripped(r"regexp_replace(three, '\n\n\n+', chr(10) || chr(10), 'g')")} AS four FROM c)
 SELECT page_id, four AS text, array_to_string(list_filter([CASE WHEN one <> html THEN 'encoding_cleaned' END, 'html_stripped', CASE WHEN three <> two THEN 'boilerplate_removed' END, CASE WHEN regexp_matches(three, '\n\n\n') THEN 'newlines_collapsed' END, CASE WHEN four <> {stripped('html')} THEN 'whitespace_trimmed' END], lambda x: x IS NOT NULL), ',') AS flags FROM e""")
 def normalize_text(spark, d):
-    out = t(spark, d, "pages").select("page_id", X.normalize_text(F.col("html"), F.lit("html")).alias("n"))
-    return out.select("page_id", "n.text", F.array_join("n.flags", ",").alias("flags"))
+    out = X.normalize(t(spark, d, "pages").select("page_id", F.col("html").alias("text"), F.lit("html").alias("source")), "text", "source")
+    return out.select("page_id", "text", F.array_join("cleaning_flags", ",").alias("flags"))
 
 
 @query(f"""SELECT page_id, CASE WHEN length({stripped('url')}) >= 50 THEN url WHEN length({stripped('html')}) >= 50 THEN html END AS text, CASE WHEN length({stripped('url')}) >= 50 THEN 'url' WHEN length({stripped('html')}) >= 50 THEN 'html' END AS source FROM pages""")
@@ -162,8 +163,9 @@ chunks AS (SELECT doc_id, chunk_index, array_to_string(w[chunk_index * 112 + 1 :
 
 
 def _chunks(spark, d) -> DataFrame:
-    parts = X.chunks(X.words(F.col("text")), 128, 16)
-    return t(spark, d, "documents").select("doc_id", F.posexplode(parts).alias("chunk_index", "w")).select("doc_id", "chunk_index", F.array_join("w", " ").alias("text"))
+    # the words are a column of their own: within a lambda they would be cut anew for each chunk
+    words = t(spark, d, "documents").select("doc_id", X.words(F.col("text")).alias("words"))
+    return words.select("doc_id", F.posexplode(X.chunks(F.col("words"), 128, 16)).alias("chunk_index", "w")).select("doc_id", "chunk_index", F.array_join("w", " ").alias("text"))
 
 
 @query(f"WITH {_CHUNKS} SELECT doc_id, chunk_index, text FROM chunks")
@@ -191,7 +193,8 @@ def chunk_count(spark, d):
 @query(f"""WITH w AS (SELECT doc_id, regexp_extract_all(text, '{W}') AS w FROM documents), p AS (SELECT doc_id, w, least(8, len(w)) AS k, unnest(range(0, least(8, len(w)))) AS place FROM w WHERE len(w) > 0)
 SELECT doc_id, place, array_to_string(CASE WHEN place = k - 1 THEN w[place * (len(w) // k) + 1 :] ELSE w[place * (len(w) // k) + 1 : (place + 1) * (len(w) // k)] END, ' ') AS passage FROM p""")
 def passages(spark, d):
-    return t(spark, d, "documents").select("doc_id", F.posexplode(X.passages(X.words(F.col("text")))).alias("place", "passage"))
+    words = t(spark, d, "documents").select("doc_id", X.words(F.col("text")).alias("words"))
+    return words.select("doc_id", F.posexplode(X.passages(F.col("words"))).alias("place", "passage"))
 
 
 _LEAK = r"(?i)\bLicensed under\b"
@@ -223,7 +226,7 @@ def truncation_estimate(spark, d):
 _NOTICE = ("licensed under", "all rights reserved", "released under the mit")
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(BooleanType())
 def _is_nfc(texts: pd.Series) -> pd.Series:
     import unicodedata
 

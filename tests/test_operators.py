@@ -96,9 +96,10 @@ def test_spans(spark):
 
 
 def test_normalize_flags(spark):
-    r = spark.createDataFrame([("<b>“a”</b>\n\n\n\nb ", "html"), ("plain", "plain_text")], "x string, s string").select(X.normalize_text(F.col("x"), F.col("s")).alias("r")).collect()
-    assert (r[0].r.text, r[0].r.flags) == ('"a" \n\nb', ["encoding_cleaned", "html_stripped", "newlines_collapsed", "whitespace_trimmed"])
-    assert (r[1].r.text, r[1].r.flags) == ("plain", [])
+    r = spark.createDataFrame([("<b>“a”</b>\n\n\n\nb ", "html"), ("plain", "plain_text")], "x string, s string")
+    r = X.normalize(r, "x", "s").collect()
+    assert (r[0].x, r[0].cleaning_flags) == ('"a" \n\nb', ["encoding_cleaned", "html_stripped", "newlines_collapsed", "whitespace_trimmed"])
+    assert (r[1].x, r[1].cleaning_flags) == ("plain", [])
 
 
 def test_partial_ratio():
