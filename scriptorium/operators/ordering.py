@@ -45,32 +45,42 @@ def frequency_buckets(freq: DataFrame, key: str, count: str, buckets: int = 3) -
     return ranked.crossJoin(facts).withColumn("bucket", bucket.otherwise("tail")).drop("_place", "_n", "_flat")
 
 
-def positions(df: DataFrame, order: Sequence[Column], name: str) -> DataFrame:
-    """Position of each row, from 1, in a total order, without gathering all rows in one task: a range sort, the sizes of its ranges, and positions within them."""
+def running_sum(df: DataFrame, order: Sequence[Column | str], value: Column, name: str) -> DataFrame:
+    """Sum of ``value`` up to each row in a total order, without gathering all rows in one task: a range sort, the sums of its ranges, and sums within them."""
     from scriptorium.sources.tables import written
 
-    ranged = written(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
-    sizes = ranged.groupBy("_range").agg(F.count("*").alias("_rows"))
-    before = F.coalesce(F.sum("_rows").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    within = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
-    return ranged.withColumn("_within", within).join(sizes.select("_range", before.alias("_before")), "_range").withColumn(name, F.col("_before") + F.col("_within")).drop("_range", "_within", "_before")
+    ranged = written(df.withColumn("_value", value).repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    sums = ranged.groupBy("_range").agg(F.sum("_value").alias("_sum"))
+    # a row for each partition of the sort
+    before = F.coalesce(F.sum("_sum").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    within = F.sum("_value").over(Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    return ranged.withColumn("_within", within).join(sums.select("_range", before.alias("_before")), "_range").withColumn(name, F.col("_before") + F.col("_within")).drop("_value", "_range", "_within", "_before")
 
 
-def at_index(df: DataFrame, value: str, shares: Sequence[tuple[str, int, int]], by: Sequence[str] = ()) -> DataFrame:
-    """Values at index n * num // den of the sorted non-null values, not interpolated, with ``shares`` of (name, num, den). Values are counted first, so that what is sorted are distinct values."""
+def positions(df: DataFrame, order: Sequence[Column | str], name: str) -> DataFrame:
+    """Position of each row, from 1, in a total order."""
+    return running_sum(df, order, F.lit(1), name)
+
+
+def _counted_upto(df: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
+    """Distinct non-null values with the number of rows up to each, and of all."""
     counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_c"))
+    if not by:
+        return running_sum(counts, [value], F.col("_c"), "_upto").crossJoin(counts.agg(F.sum("_c").alias("_n")))
     upto = Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    every = Window.partitionBy(*by)
-    counts = counts.withColumn("_upto", F.sum("_c").over(upto)).withColumn("_n", F.sum("_c").over(every))
+    return counts.withColumn("_upto", F.sum("_c").over(upto)).withColumn("_n", F.sum("_c").over(Window.partitionBy(*by)))
+
+
+def at_index(df: DataFrame, value: str, shares: Sequence[tuple[str, int, int]], by: Sequence[str] = ()) -> DataFrame:
+    """Values at index n * num // den of the sorted non-null values, not interpolated, with ``shares`` of (name, num, den). Values are counted first, so that what is sorted are distinct values."""
+    counts = _counted_upto(df, value, by)
     picked = [F.min(F.when(F.col("_upto") > F.least(F.floor(F.col("_n") * a / b), F.col("_n") - 1), F.col(value))).alias(name) for name, a, b in shares]
     return counts.groupBy(*by).agg(*picked)
 
 
 def nearest_rank(df: DataFrame, value: str, percents: Sequence[tuple[str, int]], by: Sequence[str] = ()) -> DataFrame:
     """Nearest-rank percentiles: the value at position ceil(p * n / 100), 1 at least."""
-    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_c"))
-    upto = Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    counts = counts.withColumn("_upto", F.sum("_c").over(upto)).withColumn("_n", F.sum("_c").over(Window.partitionBy(*by)))
+    counts = _counted_upto(df, value, by)
     picked = [F.min(F.when(F.col("_upto") >= F.greatest(F.ceil(F.col("_n") * p / 100), F.lit(1)), F.col(value))).alias(name) for name, p in percents]
     return counts.groupBy(*by).agg(*picked)
 

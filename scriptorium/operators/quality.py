@@ -7,6 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from scriptorium.functions.text import nonfinite
 
@@ -37,6 +38,11 @@ def nan_repair(df: DataFrame, numbers: Sequence[str], texts: Sequence[str] = ())
     return df.withColumns({c: F.when(~nonfinite(F.col(c)), F.col(c)) for c in numbers} | {c: F.when(~F.col(c).isin(*SENTINELS), F.col(c)) for c in texts})
 
 
+def advisory_fields(schema: StructType) -> list[str]:
+    """Fields that may be null, in which a bad value doesn't block."""
+    return [f.name for f in schema if f.nullable]
+
+
 def errors(*checks: tuple[Column, str]) -> Column:
     """Names of the checks that fail; a check that can't be told fails too."""
     return F.array_compact(F.array(*(F.when(~F.coalesce(ok, F.lit(False)), name) for ok, name in checks)))
