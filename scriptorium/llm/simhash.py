@@ -1,8 +1,9 @@
 """SimHash near-duplicates by a self-join of a binary trie.
 
-A document's fingerprint has 128 bits: each bit is the sign of a sum over its distinct words, weighted by the square
-root of their counts. Two documents are near if their first 64 bits differ in at most ``budget`` places and all
-128 in at most ``budget_all``.
+A document's fingerprint has 256 bits, each the sign of a sum of hashed bits over features: 64 over its words, weighted by the square root of
+their counts, and 192 over its runs of three words. Two documents are near if at most ``budget`` of the first differ and at
+most ``budget_runs`` of the others. The words of near copies differ little, so that the trie's error budget can be small; but those of unrelated
+long texts of a language can come close, too. Their runs don't: unrelated texts differ in half of these bits.
 
 The self-join descends a binary trie of the first 64 bits with pairs of nodes: the children of a pair differ in one more
 bit or not, and a pair that has used up the error budget is dropped. To spread this over a cluster, the
@@ -28,26 +29,62 @@ from pyspark.sql import functions as F
 from .common import by_bytes, cut, documents, fresh, numbered, repeatable, without_rows
 
 BUDGET = 9
-BUDGET_ALL = 26
+BUDGET_RUNS = 66
+PRINT = ["f0", "f1", "f2", "f3"]
+PRINT_SCHEMA = ", ".join(f"{c} bigint" for c in PRINT)
 NOT_WORD = r"[^\p{L}\p{N}_]+"
 #: Pairs of nodes with at most so many pairs of members are compared member by member.
 LEAF_PAIRS = 1024
 #: Rows joined at a time, and pairs compared at a time, in a task.
-CHUNK_ROWS, CHUNK_PAIRS = 100_000, 1_000_000
+CHUNK_ROWS, CHUNK_PAIRS = 60_000, 300_000
 
 
 # --- fingerprints ---------------------------------------------------------------------------------------------
 
 
-def _word_lanes(words: list[str]) -> np.ndarray:
-    """(32, words): each word's 128 bits, in lanes of 16 bits, four to an integer."""
-    digests = b"".join(map(xxhash.xxh128_digest, words))
-    bits = np.unpackbits(np.frombuffer(digests, dtype=np.uint8).reshape(-1, 16), axis=1)
+def _word_lanes(hashes: np.ndarray) -> np.ndarray:
+    """(16, words): each word's 64 bits, in lanes of 16 bits, four to an integer."""
+    bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1)
     return np.ascontiguousarray(bits.astype(np.uint16).view(np.uint64).T)
 
 
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _majority(h: np.ndarray, parts: np.ndarray, firsts: np.ndarray, total: np.ndarray) -> np.ndarray:
+    """For each document the 64 bits that more than half of its hashes have. ``parts`` start where a document or its next 60,000 hashes do, ``firsts`` are the parts that start a document."""
+    wide = np.empty((len(parts), 64), dtype=np.int64)
+    for shift in range(16):  # four lanes of 16 bits at a time
+        sums = np.add.reduceat((h >> np.uint64(shift)) & np.uint64(0x0001000100010001), parts)
+        wide[:, shift::16] = sums.view(np.uint16).reshape(-1, 4)
+    if len(firsts) < len(parts):
+        wide = np.add.reduceat(wide, firsts, axis=0)
+    return np.packbits(2 * wide > total[:, None], axis=1, bitorder="little").view(np.uint64)[:, 0]
+
+
+def _run_bits(owner: np.ndarray, word_hash: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Documents, and three times 64 bits of each, over its runs of three words; after the last word come blanks."""
+    starts = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
+    ends = np.r_[starts[1:], len(owner)]
+
+    def later(k: int) -> np.ndarray:
+        out = np.zeros(len(owner), dtype=np.uint64)
+        out[:-k] = np.where(owner[k:] == owner[:-k], word_hash[k:], np.uint64(0))
+        return out
+
+    h = _mixed(_mixed(word_hash) + np.uint64(3) * _mixed(later(1) + np.uint64(1)) + np.uint64(5) * _mixed(later(2) + np.uint64(2)))
+    inside = np.arange(len(owner)) - np.repeat(starts, ends - starts)
+    parts = np.flatnonzero(inside % 60_000 == 0)
+    firsts = np.searchsorted(parts, starts)
+    bits = [_majority(_mixed(h + np.uint64(k * 0x9E3779B97F4A7C15 & (1 << 64) - 1)), parts, firsts, ends - starts) for k in (1, 2, 3)]
+    return owner[starts], np.stack(bits, axis=1)
+
+
 def fingerprints_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Two arrays of 64 bits for each text, and which texts have words at all."""
+    """(texts, 4) of 64 bits each, and which texts have words at all."""
     lists = pc.split_pattern_regex(pc.fill_null(pc.utf8_lower(texts), ""), NOT_WORD)
     words = lists.flatten().dictionary_encode()
     ids = words.indices.to_numpy(zero_copy_only=False).astype(np.int64)
@@ -56,9 +93,12 @@ def fingerprints_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     if "" in vocabulary:
         real = ids != vocabulary.index("")
         ids, owner = ids[real], owner[real]
-    out = np.zeros((len(texts), 16), dtype=np.uint8)
+    out = np.zeros((len(texts), 4), dtype=np.uint64)
     if len(ids):
         n = len(vocabulary)
+        hashes = np.array([xxhash.xxh64_intdigest(w) for w in vocabulary], dtype=np.uint64)
+        found, bits = _run_bits(owner, hashes[ids])
+        out[found, 1:] = bits
         keys, counts = np.unique(owner * n + ids, return_counts=True)
         docs, ids = keys // n, keys % n
         weights = np.rint(4 * np.sqrt(counts)).astype(np.uint64)
@@ -69,18 +109,18 @@ def fingerprints_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         piece = (before - before[starts].repeat(np.diff(np.r_[starts, len(docs)]))) // np.uint64(60_000)
         parts = np.flatnonzero(np.r_[True, (docs[1:] != docs[:-1]) | (piece[1:] != piece[:-1])])
         of_part = np.searchsorted(starts, parts, side="right") - 1
-        lanes = _word_lanes(vocabulary)
-        sums = np.empty((len(parts), 32), dtype=np.uint64)
-        for k in range(32):
+        lanes = _word_lanes(hashes)
+        sums = np.empty((len(parts), 16), dtype=np.uint64)
+        for k in range(16):
             sums[:, k] = np.add.reduceat(lanes[k][ids] * weights, parts)
         wide = sums.view(np.uint16).astype(np.uint64)
         firsts = np.flatnonzero(np.r_[True, of_part[1:] != of_part[:-1]])
         if len(firsts) < len(parts):
             wide = np.add.reduceat(wide, firsts, axis=0)
-        out[docs[starts]] = np.packbits(2 * wide > total[:, None], axis=1)
+        out[docs[starts], 0] = np.packbits(2 * wide > total[:, None], axis=1).view(np.uint64)[:, 0]
     has = np.zeros(len(texts), dtype=bool)
     has[owner] = True
-    return out.view(">u8").astype(np.uint64), has
+    return out, has
 
 
 def _fingerprint_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -88,15 +128,15 @@ def _fingerprint_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Recor
         for batch in by_bytes(whole, "text"):
             prints, has = fingerprints_of(batch.column("text"))
             keep = pa.array(has)
-            columns = [batch.column("row").filter(keep), batch.column("doc").filter(keep), pa.array(prints[has, 0].view(np.int64)), pa.array(prints[has, 1].view(np.int64))]
-            yield pa.RecordBatch.from_arrays(columns, ["row", "doc", "f0", "f1"])
+            columns = [batch.column("row").filter(keep), batch.column("doc").filter(keep), *(pa.array(prints[has, k].view(np.int64)) for k in range(4))]
+            yield pa.RecordBatch.from_arrays(columns, ["row", "doc", *PRINT])
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(row, doc, f0, f1) of the documents that have words."""
+    """(row, doc, f0, f1, f2, f3) of the documents that have words."""
     texts = numbered(docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")), "row").select("row", "doc", "text")
     kind = texts.schema["doc"].dataType.simpleString()
-    return texts.mapInArrow(_fingerprint_batches, f"row bigint, doc {kind}, f0 bigint, f1 bigint")
+    return texts.mapInArrow(_fingerprint_batches, f"row bigint, doc {kind}, {PRINT_SCHEMA}")
 
 
 # --- trie self-join -------------------------------------------------------------------------------------------
@@ -132,10 +172,11 @@ def node_rows(f0: np.ndarray, blocks: list[tuple[int, int, int]]) -> tuple[np.nd
     return np.concatenate(index), np.concatenate(node).astype(np.int64)
 
 
-def trie_pairs(node: np.ndarray, f0: np.ndarray, f1: np.ndarray, budget: int, budget_all: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def trie_pairs(node: np.ndarray, f0: np.ndarray, runs: np.ndarray, budget: int, budget_runs: int, forest: list[np.ndarray] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs of indices of near fingerprints within the same node. ``node`` is sorted; within a node, f0 is.
 
-    Nodes of the trie are ranges of the sorted rows. All node pairs of a depth are advanced together.
+    Nodes of the trie are ranges of the sorted rows. All node pairs of a depth are advanced together. With a ``forest``, whose first
+    item holds the root of each row and is kept up by the caller, pairs of leaves that already lie in one tree are skipped.
     """
     size = len(node)
     starts = np.flatnonzero(np.r_[True, node[1:] != node[:-1]])
@@ -147,7 +188,7 @@ def trie_pairs(node: np.ndarray, f0: np.ndarray, f1: np.ndarray, budget: int, bu
         same = a0 == b0
         small = ((a1 - a0) * (b1 - b0) <= LEAF_PAIRS) | (bit < 0)
         if small.any():
-            yield from _leaf_pairs(a0[small], a1[small], b0[small], b1[small], same[small], f0, f1, budget, budget_all)
+            yield from _leaf_pairs(a0[small], a1[small], b0[small], b1[small], same[small], f0, runs, budget, budget_runs, forest)
         go = ~small
         if not go.any():
             return
@@ -170,27 +211,56 @@ def trie_pairs(node: np.ndarray, f0: np.ndarray, f1: np.ndarray, budget: int, bu
         a0, a1, b0, b1, error = a0[alive], a1[alive], b0[alive], b1[alive], error[alive]
 
 
-def _leaf_pairs(a0, a1, b0, b1, same, f0, f1, budget, budget_all) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    counts = (a1 - a0) * (b1 - b0)
-    total = np.cumsum(counts)
+def _spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The members of ranges, one after the other."""
+    return np.repeat(starts, sizes) + np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+
+
+def _one_tree(root: np.ndarray, a0, a1, b0, b1) -> np.ndarray:
+    """Which pairs of ranges have a single root."""
+
+    def ends(lo, hi):
+        n = hi - lo
+        roots, at = root[_spread(lo, n)], np.cumsum(n) - n
+        return np.minimum.reduceat(roots, at), np.maximum.reduceat(roots, at)
+
+    (al, ah), (bl, bh) = ends(a0, a1), ends(b0, b1)
+    return (al == ah) & (bl == bh) & (al == bl)
+
+
+def _leaf_pairs(a0, a1, b0, b1, same, f0, runs, budget, budget_runs, forest) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    # equal fingerprints can't be told apart by the trie: strips of a large range
+    strip = np.maximum(1, CHUNK_PAIRS // (b1 - b0))
+    pieces = -(-(a1 - a0) // strip)
+    if (pieces > 1).any():
+        which = np.repeat(np.arange(len(a0)), pieces)
+        k = _spread(np.zeros(len(a0), np.int64), pieces)
+        lo = a0[which] + k * strip[which]
+        a0, a1, b0, b1, same = lo, np.minimum(lo + strip[which], a1[which]), b0[which], b1[which], same[which]
+    total = np.cumsum((a1 - a0) * (b1 - b0))
     first = 0
-    while first < len(counts):
-        before = total[first] - counts[first]
+    while first < len(total):
+        before = total[first - 1] if first else 0
         last = max(first + 1, int(np.searchsorted(total, before + CHUNK_PAIRS, side="right")))
-        n = counts[first:last]
-        which = np.repeat(np.arange(first, last), n)
-        k = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        at = np.arange(first, last)
+        first = last
+        if forest:
+            at = at[~_one_tree(forest[0], a0[at], a1[at], b0[at], b1[at])]
+            if not len(at):
+                continue
+        n = (a1[at] - a0[at]) * (b1[at] - b0[at])
+        which = np.repeat(at, n)
+        k = _spread(np.zeros(len(at), np.int64), n)
         width = (b1 - b0)[which]
         i, j = a0[which] + k // width, b0[which] + k % width
         keep = ~same[which] | (i < j)
         i, j = i[keep], j[keep]
         d = np.bitwise_count(f0[i] ^ f0[j])
         near = d <= budget
-        i, j, d = i[near], j[near], d[near].astype(np.int64)
-        near = d + np.bitwise_count(f1[i] ^ f1[j]) <= budget_all
+        i, j = i[near], j[near]
+        near = np.bitwise_count(runs[i] ^ runs[j]).sum(axis=1, dtype=np.int64) <= budget_runs
         if near.any():
             yield i[near], j[near]
-        first = last
 
 
 def _joined(root: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -218,16 +288,17 @@ def _expand(blocks: list[tuple[int, int, int]]):
                 f0 = batch.column("f0").to_numpy(zero_copy_only=False).view(np.uint64)
                 index, node = node_rows(f0, blocks)
                 take = pa.array(index)
-                yield pa.RecordBatch.from_arrays([pa.array(node), *(batch.column(c).take(take) for c in ("f0", "f1", "v"))], ["node", "f0", "f1", "v"])
+                yield pa.RecordBatch.from_arrays([pa.array(node), *(batch.column(c).take(take) for c in (*PRINT, "v"))], ["node", *PRINT, "v"])
 
     return run
 
 
-def _join(budget: int, budget_all: int):
+def _join(budget: int, budget_runs: int):
     def pairs(rows: list[np.ndarray]) -> pa.RecordBatch:
-        node, f0, f1, v = rows
+        node, f0, *runs, v = rows
         order = np.lexsort((f0.view(np.uint64), node))
-        node, f0, f1, v = node[order], f0[order].view(np.uint64), f1[order].view(np.uint64), v[order]
+        node, f0, v = node[order], f0[order].view(np.uint64), v[order]
+        runs = np.stack([x[order].view(np.uint64) for x in runs], axis=1)
         root = np.arange(len(v))
         same = np.flatnonzero(np.r_[False, np.diff(np.sort(v)) == 0])
         if len(same):  # rows of one fingerprint, in different nodes
@@ -235,9 +306,10 @@ def _join(budget: int, budget_all: int):
             first = np.full(inverse.max() + 1, len(v))
             np.minimum.at(first, inverse, np.arange(len(v)))
             root = first[inverse]
-        for i, j in trie_pairs(node, f0, f1, budget, budget_all):
-            root = _joined(root, i, j)
-        root = _joined(root, np.zeros(0, np.int64), np.zeros(0, np.int64))
+        forest = [root]
+        for i, j in trie_pairs(node, f0, runs, budget, budget_runs, forest):
+            forest[0] = _joined(forest[0], i, j)
+        root = forest[0]
         both = np.stack([v[root], v], axis=1)
         both = np.unique(both[both[:, 0] != both[:, 1]], axis=0)
         return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
@@ -246,7 +318,7 @@ def _join(budget: int, budget_all: int):
         held: list[list[np.ndarray]] = []
         n = 0
         for batch in batches:  # sorted by node; whole nodes are joined
-            held.append([batch.column(c).to_numpy(zero_copy_only=False) for c in ("node", "f0", "f1", "v")])
+            held.append([batch.column(c).to_numpy(zero_copy_only=False) for c in ("node", *PRINT, "v")])
             n += batch.num_rows
             if n < CHUNK_ROWS:
                 continue
@@ -262,15 +334,15 @@ def _join(budget: int, budget_all: int):
     return run
 
 
-def near_edges(prints: DataFrame, budget: int = BUDGET, budget_all: int = BUDGET_ALL) -> DataFrame:
-    """Edges (a, b) between ``v`` of distinct rows (v, f0, f1), with the same connected components as all near pairs.
+def near_edges(prints: DataFrame, budget: int = BUDGET, budget_runs: int = BUDGET_RUNS) -> DataFrame:
+    """Edges (a, b) between ``v`` of distinct rows (v, f0 .. f3), with the same connected components as all near pairs.
 
-    A task finds all near pairs of its nodes but passes on one edge for each fingerprint that they join to another, so
-    that a group of thousands of near copies costs thousands of rows, not millions.
+    A task passes on one edge for each fingerprint that a near pair of its nodes joins to another, and doesn't compare what
+    it has joined before, so that a group of thousands of near copies costs thousands of rows, not millions.
     """
     blocks = plan_blocks(prints.count(), budget)
-    rows = prints.select("f0", "f1", "v").mapInArrow(_expand(blocks), "node bigint, f0 bigint, f1 bigint, v bigint")
-    return rows.repartition("node").sortWithinPartitions("node").mapInArrow(_join(budget, budget_all), "a bigint, b bigint").distinct()
+    rows = prints.select(*PRINT, "v").mapInArrow(_expand(blocks), f"node bigint, {PRINT_SCHEMA}, v bigint")
+    return rows.repartition("node").sortWithinPartitions("node").mapInArrow(_join(budget, budget_runs), "a bigint, b bigint").distinct()
 
 
 # --- groups ---------------------------------------------------------------------------------------------------
@@ -293,20 +365,20 @@ def connected(edges: DataFrame) -> DataFrame:
         seen = now
 
 
-def _judged(docs: DataFrame, id_col: str, text_col: str, budget: int, budget_all: int) -> DataFrame:
+def _judged(docs: DataFrame, id_col: str, text_col: str, budget: int, budget_runs: int) -> DataFrame:
     """(row, doc, canonical, is_kept) of documents that have a near duplicate."""
     prints = cut(fingerprints(docs, id_col, text_col))
-    distinct = cut(prints.groupBy("f0", "f1").agg(F.min("row").alias("v"), F.count("*").alias("n")))
-    edges = near_edges(distinct, budget, budget_all)
+    distinct = cut(prints.groupBy(*PRINT).agg(F.min("row").alias("v"), F.count("*").alias("n")))
+    edges = near_edges(distinct, budget, budget_runs)
     alone = distinct.where("n > 1").select(F.col("v"), F.col("v").alias("root"))
     roots = connected(edges).unionByName(alone).groupBy("v").agg(F.min("root").alias("root"))
-    grouped = prints.join(distinct.join(roots, "v").select("f0", "f1", "root"), ["f0", "f1"]).select("row", "doc", "root")
+    grouped = prints.join(distinct.join(roots, "v").select(*PRINT, "root"), PRINT).select("row", "doc", "root")
     grouped = cut(grouped)
     firsts = grouped.groupBy("root").agg(F.min(F.struct(F.col("doc").isNull().alias("none"), "doc", "row")).alias("first"))
     return grouped.join(firsts, "root").select("row", "doc", F.col("first.doc").alias("canonical"), (F.col("row") == F.col("first.row")).alias("is_kept"))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", budget: int = BUDGET, budget_all: int = BUDGET_ALL) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", budget: int = BUDGET, budget_runs: int = BUDGET_RUNS) -> DataFrame:
     """For each document (doc_id, canonical_id, is_kept): the least id in its group of near duplicates, and whether it is the one that stays.
 
     Groups are the connected components of near pairs. Nulls and texts without a word have no fingerprint: such a
@@ -314,15 +386,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows, exactly one stays. An empty table gives an empty result. Other columns are not read.
     """
     docs = repeatable(docs.select(id_col, text_col))
-    judged = _judged(docs, id_col, text_col, budget, budget_all).select("row", "canonical", "is_kept")
+    judged = _judged(docs, id_col, text_col, budget, budget_runs).select("row", "canonical", "is_kept")
     every = numbered(docs.select(F.col(id_col).alias("doc_id")), "row")
     return every.join(judged, "row", "left").select("doc_id", F.when(F.col("is_kept").isNull(), F.col("doc_id")).otherwise(F.col("canonical")).alias("canonical_id"), F.coalesce("is_kept", F.lit(True)).alias("is_kept"))
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", budget: int = BUDGET, budget_all: int = BUDGET_ALL) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", budget: int = BUDGET, budget_runs: int = BUDGET_RUNS) -> DataFrame:
     """``docs`` with one document of each group of near duplicates; same columns. Edge cases as in :func:`near_duplicates`."""
     docs = repeatable(docs)
-    return without_rows(docs, fresh(docs, "row"), _judged(docs, id_col, text_col, budget, budget_all).where("not is_kept").select("row"))
+    return without_rows(docs, fresh(docs, "row"), _judged(docs, id_col, text_col, budget, budget_runs).where("not is_kept").select("row"))
 
 
 def op7_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
