@@ -130,7 +130,7 @@ def train(docs: DataFrame, per_language: int = TRAIN_PER_LANGUAGE, families: Map
     place = F.row_number().over(Window.partitionBy("lang").orderBy(order_key("language", "id"), "id"))
     chosen = rows.select("id", "lang").distinct().withColumn("place", place).where(F.col("place") <= per_language).select("id", "lang")
     # at most per_language rows of a language
-    found = rows.join(F.broadcast(chosen), ["id", "lang"]).select("id", "lang", "text").collect()
+    found = rows.join(F.broadcast(chosen), ["id", "lang"]).groupBy("id", "lang").agg(F.min("text").alias("text")).collect()
     found.sort(key=lambda r: (r["id"], r["lang"], r["text"]))
     return fit([r["text"] for r in found], [r["lang"] for r in found], families)
 

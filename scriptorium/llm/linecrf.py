@@ -196,7 +196,7 @@ def train(docs: DataFrame, n_docs: int = TRAIN_DOCS, id_col: str = "doc_id", tex
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null")
     chosen = rows.select("id").where("id is not null").distinct().orderBy(order_key("lines", "id"), "id").limit(n_docs)
     # n_docs numbers at most
-    return fit([r["text"] for r in rows.join(F.broadcast(chosen), "id").select("text").collect()])
+    return fit([r["text"] for r in rows.join(F.broadcast(chosen), "id").groupBy("id").agg(F.min("text").alias("text")).collect()])
 
 
 def line_quality(docs: DataFrame, field: LineField, min_content_share: float = MIN_CONTENT_SHARE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

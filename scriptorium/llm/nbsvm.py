@@ -104,8 +104,8 @@ def train(docs: DataFrame, labels: DataFrame, per_label: int = TRAIN_PER_LABEL,
     known = labels.where("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     place = F.row_number().over(Window.partitionBy("quality").orderBy(order_key("quality", "doc_id")))
     chosen = known.withColumn("place", place).where(F.col("place") <= per_label).select(F.col("doc_id").alias("chosen_id"), "quality")
-    # at most 2 * per_label rows of two numbers
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null").join(F.broadcast(chosen), F.col("id") == F.col("chosen_id")).select("id", "text", "quality").collect()
+    # at most 2 * per_label rows of two numbers, and of an id and its text
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null").join(F.broadcast(chosen), F.col("id") == F.col("chosen_id")).groupBy("id", "quality").agg(F.min("text").alias("text")).collect()
     rows.sort(key=lambda r: (r["id"], r["text"]))
     return fit([r["text"] for r in rows], [r["quality"] for r in rows])
 

@@ -11,6 +11,7 @@ from it on grade 2.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -20,11 +21,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import by_bytes, documents, fresh, numbered, order_key, repeatable, without_rows
+from .common import by_bytes, documents, order_key
 
 #: Bound of the labelled sample that the model is fitted on: documents of either label.
-TRAIN_PER_LABEL = 2000
+TRAIN_PER_LABEL = 1200
 GRADES = 3
+#: A document is toxic if a grade above 0 has at least this probability. Training weighs toxic and clean documents alike, as if they were equally many; they aren't.
+TOXIC_FROM = 0.6
 L1 = 1e-3
 ROUNDS = 300
 MIN_DOCS = 3
@@ -74,6 +77,36 @@ def _document_features(owner: np.ndarray, ids: np.ndarray, size: int, word: np.n
     return pair // max(n_features, 1), pair % max(n_features, 1)
 
 
+def _training_features(texts: list[str], min_docs: int, at_once: int = 300) -> tuple[np.ndarray, np.ndarray, list[str], np.ndarray]:
+    """Distinct (text, feature) pairs, the features and each text's number of words, of features that may be in ``min_docs`` texts.
+
+    The texts are read twice, some at a time: first hashed features are counted, then those that can be frequent are named. Most
+    features are rare, so that this holds a small part of them.
+    """
+    size = 1 << 22
+    counts = np.zeros(size, dtype=np.int32)
+    numbers: dict[str, int] = {}
+    docs, found, n_words = [], [], np.zeros(len(texts), dtype=np.int64)
+    for counting in (True, False):
+        for start in range(0, len(texts), at_once):
+            owner, ids, vocabulary = _tokens(pa.array(texts[start : start + at_once], pa.string()))
+            word, feature = [], []
+            for i, w in enumerate(vocabulary):
+                for f in features_of(w):
+                    h = zlib.crc32(f.encode()) % size
+                    if counting or counts[h] >= min_docs:
+                        word.append(i)
+                        feature.append(h if counting else numbers.setdefault(f, len(numbers)))
+            doc, f = _document_features(owner, ids, len(vocabulary), np.array(word, dtype=np.int64), np.array(feature, dtype=np.int64), size)
+            if counting:
+                np.add.at(counts, f, 1)
+                np.add.at(n_words, owner + start, 1)
+            else:
+                docs.append((doc + start).astype(np.int32))
+                found.append(f.astype(np.int32))
+    return np.concatenate(docs), np.concatenate(found), list(numbers), n_words
+
+
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -35, 35)))
 
@@ -84,9 +117,7 @@ def fit(texts: list[str], toxic: list[int], grades: int = GRADES, l1: float = L1
     n = len(texts)
     if n == 0 or toxic.min() == toxic.max():
         return OrdinalModel({}, tuple(float(12 + g) for g in range(grades - 1)))
-    owner, ids, vocabulary = _tokens(pa.array(texts, pa.string()))
-    of_word, of_feature, names = _feature_table(vocabulary)
-    doc, word = _document_features(owner, ids, len(vocabulary), of_word, of_feature, len(names))
+    doc, word, names, n_words = _training_features(texts, min_docs)
     often = np.bincount(word, minlength=len(names)) >= min_docs
     doc, word = doc[often[word]], word[often[word]]
     number = np.full(len(names), -1)
@@ -99,7 +130,7 @@ def fit(texts: list[str], toxic: list[int], grades: int = GRADES, l1: float = L1
     bad, good = toxic.sum(), n - toxic.sum()
     odds = np.log((hit + 0.5) / (bad + 1)) - np.log((miss + 0.5) / (good + 1))
     pointed = (odds > 2) & (hit >= 0.02 * bad)
-    density = np.bincount(doc, weights=pointed[word], minlength=n) / np.maximum(1, np.bincount(owner, minlength=n))
+    density = np.bincount(doc, weights=pointed[word], minlength=n) / np.maximum(1, n_words)
     grade = np.zeros(n, dtype=np.int64)
     cuts = np.quantile(density[toxic == 1], [g / (grades - 1) for g in range(1, grades - 1)])
     grade[toxic == 1] = 1 + (density[toxic == 1][:, None] >= cuts[None, :]).sum(1)
@@ -157,45 +188,46 @@ def train(docs: DataFrame, labels: DataFrame, per_label: int = TRAIN_PER_LABEL,
     known = labels.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     first = Window.partitionBy("toxic").orderBy(order_key("toxicity", "doc_id"))
     chosen = known.withColumn("place", F.row_number().over(first)).where(F.col("place") <= per_label).select(F.col("doc_id").alias("chosen_id"), "toxic")
-    # at most 2 * per_label rows of two numbers
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null").join(F.broadcast(chosen), F.col("id") == F.col("chosen_id")).select("id", "text", "toxic").collect()
+    # at most 2 * per_label rows of two numbers, and of an id and its text
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null").join(F.broadcast(chosen), F.col("id") == F.col("chosen_id")).groupBy("id", "toxic").agg(F.min("text").alias("text")).collect()
     rows.sort(key=lambda r: (r["id"], r["text"]))
     return fit([r["text"] for r in rows], [r["toxic"] for r in rows])
 
 
 def _scored(texts: DataFrame, model: OrdinalModel) -> DataFrame:
-    """(row, doc, text) to (row, doc, severity, p_toxic)."""
+    """(doc, text) to (doc, severity, p_toxic)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in by_bytes(whole, "text"):
                 severity, p = score(batch.column("text"), model)
-                yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc"), pa.array(severity), pa.array(p)], ["row", "doc", "severity", "p_toxic"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(severity), pa.array(p)], ["doc", "severity", "p_toxic"])
 
     kind = texts.schema["doc"].dataType.simpleString()
-    return texts.mapInArrow(run, f"row bigint, doc {kind}, severity double, p_toxic double")
-
+    return texts.mapInArrow(run, f"doc {kind}, severity double, p_toxic double")
 
-def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return numbered(docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")), "row").select("row", "doc", "text")
 
+def toxicity(docs: DataFrame, model: OrdinalModel, threshold: float = TOXIC_FROM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, severity, is_toxic) of each document: the expected grade, and whether a grade above 0 has the probability ``threshold``.
 
-def toxicity(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, severity, is_toxic) of each document: the expected grade, and whether a grade above 0 is likelier than not.
-
-    Nulls: a null text counts as one without words and gets the severity of such a text, near 0; a null id stays
+    Nulls: a null text counts as one without words, which isn't toxic unless most training documents were; a null id stays
     null. Empty texts likewise. Long texts are scored whole. Repeated rows get a row each, with equal scores. An empty
     table gives an empty result. Other columns are not read.
     """
-    scored = _scored(_texts(docs.select(id_col, text_col), id_col, text_col), model)
-    return scored.select(F.col("doc").alias("doc_id"), "severity", (F.col("p_toxic") > 0.5).alias("is_toxic"))
+    scored = _scored(docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")), model)
+    return scored.select(F.col("doc").alias("doc_id"), "severity", (F.col("p_toxic") >= threshold).alias("is_toxic"))
+
+
+def drop_toxic(docs: DataFrame, model: OrdinalModel, threshold: float = TOXIC_FROM, text_col: str = "text") -> DataFrame:
+    """``docs`` without the toxic documents; same columns. Edge cases as in :func:`toxicity`."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in by_bytes(whole, text_col):
+                yield batch.filter(pa.array(score(batch.column(text_col), model)[1] < threshold))
 
-def drop_toxic(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the documents that are likelier toxic than not; same columns. Edge cases as in :func:`toxicity`."""
-    docs = repeatable(docs)
-    toxic = _scored(_texts(docs, id_col, text_col), model).where("p_toxic > 0.5").select("row")
-    return without_rows(docs, fresh(docs, "row"), toxic)
+    # rows pass through the scorer: one scan, no join
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, shared_dir
+from .common import cut, remove, table_dir
 
 PIECE = 1 << 18
 LEVEL = 6
@@ -248,15 +248,17 @@ def _index(rows: list[dict], file: str) -> pa.RecordBatch:
 
 
 def warc_index(spark: SparkSession, pages: DataFrame, folder: str) -> DataFrame:
-    """Pages written as whole-file streams and normalised: a row for each page, with (page_id, url, record, offset, length, content_length, content_sha1, file, status).
+    """Pages written as whole-file streams and normalised into FOLDER/records: a row for each page, with (page_id, url, record, offset, length, content_length, content_sha1, file, status).
 
     Nulls: a null page id or url is left out of the record's head and null in the index; a null html is written as an
     empty one. Long pages are streamed. Repeated rows are records of their own. An empty table gives an empty
     result. Other columns of ``pages`` are not read.
     """
     files = cut(write_monolithic(pages, f"{folder}/monolithic"))
-    return cut(normalise_files(files, f"{folder}/records"))
+    index = cut(normalise_files(files, f"{folder}/records"))
+    remove(spark, f"{folder}/monolithic")
+    return index
 
 
 def op9_warc_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc_index(spark, spark.read.parquet(f"{sf_dir}/pages.parquet"), f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}")
+    return warc_index(spark, spark.read.parquet(f"{sf_dir}/pages.parquet"), f"{table_dir(spark)}/warc-{uuid.uuid4().hex}")

@@ -42,7 +42,8 @@ def empty(spark):
 def models(spark, sf_dir):
     d = spark.read.parquet(f"{sf_dir}/documents.parquet")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return {"toxic": ordinal.train(d, labels), "lang": langid.train(d), "quality": nbsvm.train(d, labels), "lines": linecrf.train(d)}
+    large = [spark.read.parquet(f"/root/testdata/sf0.1/{x}.parquet") for x in ("documents", "labels")]
+    return {"toxic": ordinal.train(*large), "lang": langid.train(d), "quality": nbsvm.train(d, labels), "lines": linecrf.train(d)}
 
 
 OPERATORS = {
@@ -60,7 +61,7 @@ OPERATORS = {
 DROPS = {
     "exact": (lambda d, m: exact_dedup.drop_exact_duplicates(d), 13 - 3 - 1 - 1),
     "near": (lambda d, m: simhash.drop_near_duplicates(d), 13 - 3 - 1),
-    "toxic": (lambda d, m: ordinal.drop_toxic(d, m["toxic"]), 13),
+    "toxic": (lambda d, m: ordinal.drop_toxic(d, m["toxic"], threshold=1.1), 13),
     "mix": (lambda d, m: mixing.keep_mixture(d, budget_share=1.0), 13),
 }
 
@@ -84,6 +85,12 @@ def test_filter_on_odd_rows(name, docs, empty, models):
     assert run(empty, models).count() == 0
 
 
+def test_toxic_rows_are_those_that_go(docs, models):
+    flagged = ordinal.toxicity(docs, models["toxic"]).where("is_toxic").count()
+    assert ordinal.drop_toxic(docs, models["toxic"]).count() == len(TEXTS) - flagged < len(TEXTS) + 1
+    assert not any(r.is_toxic for r in ordinal.toxicity(docs.where("text is null or length(text) < 5"), models["toxic"]).collect())
+
+
 def test_results_that_the_docstrings_promise(docs, models):
     exact = {(r.doc_id, r.canonical_id, r.is_kept) for r in exact_dedup.exact_duplicates(docs).collect()}
     assert exact == {(1, 1, True), (2, 1, False), (None, 1, False), (4, 4, True), (None, None, True), (5, 5, True), (6, 5, False), (7, 7, True), (8, 8, True), (9, 8, False), (10, 10, True), (11, 11, True)}
