@@ -161,10 +161,10 @@ def rank_percentiles(spark, d):
     return ordering.at_index(ranks.where("rank > 0"), "rank", [("p10", 1, 10), ("p50", 1, 2), ("p90", 9, 10)]).crossJoin(ranks.agg(F.round(F.avg(F.when(F.col("rank") > 0, 1.0).otherwise(0.0)), 6).alias("recall")))
 
 
-@query(f"""WITH {RUNS_SQL} SELECT g.query_id, gold, list(doc_id ORDER BY rank) FILTER (rank <= 2) AS best FROM ra g JOIN (SELECT query_id, doc_id, rank AS r2 FROM a) x USING (query_id) WHERE g.rank = 0 GROUP BY 1, 2""".replace("ORDER BY rank) FILTER (rank <= 2)", "ORDER BY r2) FILTER (r2 <= 2)"))
+@query(f"""WITH {RUNS_SQL} SELECT g.query_id, gold, array_to_string(list(doc_id ORDER BY rank) FILTER (rank <= 2), ',') AS best FROM ra g JOIN (SELECT query_id, doc_id, rank AS r2 FROM a) x USING (query_id) WHERE g.rank = 0 GROUP BY 1, 2""".replace("ORDER BY rank) FILTER (rank <= 2)", "ORDER BY r2) FILTER (r2 <= 2)"))
 def failure_report(spark, d):
     lists = R.as_lists(_run(spark, d, "l_extendedprice"))
-    return _ranks(spark, d).where("rank = 0").join(lists, "query_id").select("query_id", "gold", F.slice(F.transform("retrieved", lambda h: h["doc_id"]), 1, 2).alias("best"))
+    return _ranks(spark, d).where("rank = 0").join(lists, "query_id").select("query_id", "gold", F.array_join(F.slice(F.transform("retrieved", lambda h: h["doc_id"].cast("string")), 1, 2), ",").alias("best"))
 
 
 @query(f"""WITH {RUNS_SQL}, p AS (SELECT a.query_id, gold, doc_id FROM a JOIN ra ON a.query_id = ra.query_id WHERE ra.rank > 0 AND a.rank BETWEEN 2 AND 100 AND doc_id <> gold)
