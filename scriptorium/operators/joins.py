@@ -14,7 +14,7 @@ def filter_chain(first: DataFrame, *steps: tuple[DataFrame, str, str]) -> DataFr
     """Each step (table, foreign key, key of the table before) keeps the rows whose parent was kept; the last table's rows come back."""
     kept = first
     for table, foreign, key in steps:
-        kept = table.join(kept.select(F.col(key).alias(foreign)).distinct(), foreign, "left_semi")
+        kept = table.join(kept.select(F.col(key).alias(foreign)), foreign, "left_semi")
     return kept
 
 

@@ -30,7 +30,8 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int, k1: float = K1, b: float =
     asked = asked.groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
     cut = docs.select("doc_id", F.filter(terms(F.col("text")), lambda t: ~t.isin(*stopwords)).alias("terms"))
     sizes = cut.agg(F.count("*").alias("n_docs"), F.avg(F.size("terms")).alias("avg_len"))
-    postings = cut.select("doc_id", F.size("terms").alias("len"), F.explode("terms").alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
+    # an inner explode would make the optimizer cut the text twice, once to see whether there are terms
+    postings = cut.select("doc_id", F.size("terms").alias("len"), F.explode_outer("terms").alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
     postings = postings.groupBy("term", "doc_id", "len").agg(F.count("*").alias("tf"))
     df = postings.groupBy("term").agg(F.count("*").alias("df"))
     weighed = asked.join(df, "term").crossJoin(sizes)

@@ -165,7 +165,8 @@ chunks AS (SELECT doc_id, chunk_index, array_to_string(w[chunk_index * 112 + 1 :
 def _chunks(spark, d) -> DataFrame:
     # the words are a column of their own: within a lambda they would be cut anew for each chunk
     words = t(spark, d, "documents").select("doc_id", X.words(F.col("text")).alias("words"))
-    return words.select("doc_id", F.posexplode(X.chunks(F.col("words"), 128, 16)).alias("chunk_index", "w")).select("doc_id", "chunk_index", F.array_join("w", " ").alias("text"))
+    # outer, or the optimizer computes the windows twice, once to see whether there are any
+    return words.select("doc_id", F.posexplode_outer(X.chunks(F.col("words"), 128, 16)).alias("chunk_index", "w")).where("chunk_index is not null").select("doc_id", "chunk_index", F.array_join("w", " ").alias("text"))
 
 
 @query(f"WITH {_CHUNKS} SELECT doc_id, chunk_index, text FROM chunks")
@@ -194,7 +195,7 @@ def chunk_count(spark, d):
 SELECT doc_id, place, array_to_string(CASE WHEN place = k - 1 THEN w[place * (len(w) // k) + 1 :] ELSE w[place * (len(w) // k) + 1 : (place + 1) * (len(w) // k)] END, ' ') AS passage FROM p""")
 def passages(spark, d):
     words = t(spark, d, "documents").select("doc_id", X.words(F.col("text")).alias("words"))
-    return words.select("doc_id", F.posexplode(X.passages(F.col("words"))).alias("place", "passage"))
+    return words.select("doc_id", F.posexplode_outer(X.passages(F.col("words"))).alias("place", "passage")).where("place is not null")
 
 
 _LEAK = r"(?i)\bLicensed under\b"
