@@ -267,3 +267,23 @@ def test_stream_equals_batch_and_resumes(spark, tmp_path):
     assert [r.id for r in spark.read.json(f"{tmp_path}/out/dead").collect()] == [2]
     events = spark.createDataFrame([("2024-01-01 00:10:00", "a"), ("2024-01-01 00:50:00", "a"), ("2024-01-01 01:10:00", "b")], "ts string, k string").withColumn("ts", F.to_timestamp("ts"))
     assert sorted((r.k, r.n) for r in ingest.windowed_counts(events, "ts", "k").collect()) == [("a", 2), ("b", 1)]
+
+
+def test_model_hooks(spark):
+    from scriptorium.operators import hooks
+
+    df = spark.createDataFrame([(1, "ab"), (2, None), (3, "b")], "id int, text string")
+
+    def encoder():
+        return lambda texts: [[float(t.count("a")), float(t.count("b"))] for t in texts]
+
+    got = {r.id: r.vector for r in hooks.encode(df, "text", encoder).collect()}
+    assert got[1] == pytest.approx([2**-0.5, 2**-0.5]) and got[2] == [0.0, 0.0] and got[3] == [0.0, 1.0]
+
+    def generator():
+        return lambda prompts: [p.upper() for p in prompts]
+
+    out = hooks.generate(df, "text", generator)
+    assert out.columns == ["id", "text", "generation"]
+    assert {r.id: r.generation for r in out.collect()} == {1: "AB", 2: None, 3: "B"}
+    assert hooks.generate(df.limit(0), "text", generator).count() == 0
