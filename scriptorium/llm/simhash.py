@@ -3,14 +3,16 @@
 A document's fingerprint has 256 bits, each the sign of a sum of hashed bits over features: 64 over its words, weighted by the square root of
 their counts, and 192 over its runs of three words. Two documents are near if at most ``budget`` of the first differ and at
 most ``budget_runs`` of the others. The words of near copies differ little, so that the trie's error budget can be small; but those of unrelated
-long texts of a language can come close, too. Their runs don't: unrelated texts differ in half of these bits.
+long texts of a language can come close, too. Their runs don't: unrelated texts differ in half of these bits. The word bits only choose
+what is compared, and their budget leaves room for short texts, in which a few other words turn many bits. A line that many texts have is a
+large part of a very short one: if more than BUDGET_SHORT word bits differ, such a text is near another only within BUDGET_RUNS_SHORT.
 
 The self-join descends a binary trie of the first 64 bits with pairs of nodes: the children of a pair differ in one more
 bit or not, and a pair that has used up the error budget is dropped. To spread this over a cluster, the
 bits are also read from other starting places: cut into ``m`` blocks that may hold ``t[i]`` errors with
 sum(t[i] + 1) > budget, a near pair keeps within t[i] in some block i. Each fingerprint is sent to the nodes that it
 can meet a partner in, at the depth of that block, with up to ceil(t[i] / 2) of the block's bits flipped; below
-these nodes, each task descends the trie of the remaining bits. The result is exact for any number of documents: the
+these nodes, each task descends the trie of the remaining bits, down to ranges that it compares member by member. The result is exact for any number of documents: the
 block width only follows their number to keep nodes small.
 """
 
@@ -28,15 +30,18 @@ from pyspark.sql import functions as F
 
 from .common import by_bytes, cut, documents, fresh, numbered, repeatable, without_rows
 
-BUDGET = 9
+BUDGET = 13
 BUDGET_RUNS = 66
+#: For texts of fewer than SHORT words.
+SHORT = 30
+BUDGET_SHORT, BUDGET_RUNS_SHORT = 9, 44
 PRINT = ["f0", "f1", "f2", "f3"]
 PRINT_SCHEMA = ", ".join(f"{c} bigint" for c in PRINT)
 NOT_WORD = r"[^\p{L}\p{N}_]+"
 #: Pairs of nodes with at most so many pairs of members are compared member by member.
-LEAF_PAIRS = 1024
-#: Rows joined at a time, and pairs compared at a time, in a task.
-CHUNK_ROWS, CHUNK_PAIRS = 60_000, 300_000
+LEAF_PAIRS = 1 << 17
+#: Rows joined at a time, pairs compared at a time, and pairs compared between two looks at the forest, in a task.
+CHUNK_ROWS, CHUNK_PAIRS, LOOK_PAIRS = 60_000, 300_000, 3_000_000
 
 
 # --- fingerprints ---------------------------------------------------------------------------------------------
@@ -85,6 +90,12 @@ def _run_bits(owner: np.ndarray, word_hash: np.ndarray) -> tuple[np.ndarray, np.
 
 def fingerprints_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(texts, 4) of 64 bits each, and which texts have words at all."""
+    prints, words = _prints_and_words(texts)
+    return prints, words > 0
+
+
+def _prints_and_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(texts, 4) of 64 bits each, and the number of each text's words."""
     lists = pc.split_pattern_regex(pc.fill_null(pc.utf8_lower(texts), ""), NOT_WORD)
     words = lists.flatten().dictionary_encode()
     ids = words.indices.to_numpy(zero_copy_only=False).astype(np.int64)
@@ -118,25 +129,24 @@ def fingerprints_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         if len(firsts) < len(parts):
             wide = np.add.reduceat(wide, firsts, axis=0)
         out[docs[starts], 0] = np.packbits(2 * wide > total[:, None], axis=1).view(np.uint64)[:, 0]
-    has = np.zeros(len(texts), dtype=bool)
-    has[owner] = True
-    return out, has
+    return out, np.bincount(owner, minlength=len(texts))
 
 
 def _fingerprint_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for batch in by_bytes(whole, "text"):
-            prints, has = fingerprints_of(batch.column("text"))
+            prints, words = _prints_and_words(batch.column("text"))
+            has = words > 0
             keep = pa.array(has)
-            columns = [batch.column("row").filter(keep), batch.column("doc").filter(keep), *(pa.array(prints[has, k].view(np.int64)) for k in range(4))]
-            yield pa.RecordBatch.from_arrays(columns, ["row", "doc", *PRINT])
+            columns = [batch.column("row").filter(keep), batch.column("doc").filter(keep), *(pa.array(prints[has, k].view(np.int64)) for k in range(4)), pa.array(words[has] < SHORT)]
+            yield pa.RecordBatch.from_arrays(columns, ["row", "doc", *PRINT, "short"])
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(row, doc, f0, f1, f2, f3) of the documents that have words."""
+    """(row, doc, f0, f1, f2, f3, short) of the documents that have words."""
     texts = numbered(docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")), "row").select("row", "doc", "text")
     kind = texts.schema["doc"].dataType.simpleString()
-    return texts.mapInArrow(_fingerprint_batches, f"row bigint, doc {kind}, {PRINT_SCHEMA}")
+    return texts.mapInArrow(_fingerprint_batches, f"row bigint, doc {kind}, {PRINT_SCHEMA}, short boolean")
 
 
 # --- trie self-join -------------------------------------------------------------------------------------------
@@ -144,7 +154,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def plan_blocks(n: int, budget: int) -> list[tuple[int, int, int]]:
     """(shift, width, errors) of each block of the 64 bits. Fewer, wider blocks for more fingerprints, so that a node holds some thousands."""
-    m = min(budget + 1, 4 if n <= 1 << 28 else 3 if n <= 1 << 33 else 2)
+    m = min(budget + 1, 5 if n <= 1 << 24 else 4 if n <= 1 << 28 else 3 if n <= 1 << 33 else 2)
     edges = [64 * i // m for i in range(m + 1)]
     errors = [(budget + 1 - m) // m + (i < (budget + 1 - m) % m) for i in range(m)]
     return [(a, b - a, e) for a, b, e in zip(edges, edges[1:], errors, strict=False)]
@@ -164,19 +174,22 @@ def node_rows(f0: np.ndarray, blocks: list[tuple[int, int, int]]) -> tuple[np.nd
         own = (f0 >> np.uint64(shift)) & np.uint64((1 << width) - 1)
         masks = _flips(width, -(-errors // 2))
         at = own[:, None] ^ masks[None, :]
-        # with one error, only the partner that has a 0 there visits
-        there = (at >= own[:, None]) if errors == 1 else np.ones(at.shape, dtype=bool)
+        there = np.ones(at.shape, dtype=bool)
+        if errors % 2:  # of an odd number, only the partner that has more 0s there flips the greater half, and only 0s
+            last = np.bitwise_count(masks) > errors // 2
+            there[:, last] = (own[:, None] & masks[None, last]) == 0
         rows, _ = np.nonzero(there)
         index.append(rows)
         node.append(np.uint64(b << 34) + at[there])
     return np.concatenate(index), np.concatenate(node).astype(np.int64)
 
 
-def trie_pairs(node: np.ndarray, f0: np.ndarray, runs: np.ndarray, budget: int, budget_runs: int, forest: list[np.ndarray] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def trie_pairs(node: np.ndarray, f0: np.ndarray, runs: np.ndarray, budget: int, budget_runs: int, forest: list[np.ndarray] | None = None, short: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs of indices of near fingerprints within the same node. ``node`` is sorted; within a node, f0 is.
 
     Nodes of the trie are ranges of the sorted rows. All node pairs of a depth are advanced together. With a ``forest``, whose first
     item holds the root of each row and is kept up by the caller, pairs of leaves that already lie in one tree are skipped.
+    ``short`` tells which rows' texts are very short.
     """
     size = len(node)
     starts = np.flatnonzero(np.r_[True, node[1:] != node[:-1]])
@@ -188,7 +201,7 @@ def trie_pairs(node: np.ndarray, f0: np.ndarray, runs: np.ndarray, budget: int,
         same = a0 == b0
         small = ((a1 - a0) * (b1 - b0) <= LEAF_PAIRS) | (bit < 0)
         if small.any():
-            yield from _leaf_pairs(a0[small], a1[small], b0[small], b1[small], same[small], f0, runs, budget, budget_runs, forest)
+            yield from _leaf_pairs(a0[small], a1[small], b0[small], b1[small], same[small], f0, runs, budget, budget_runs, forest, short)
         go = ~small
         if not go.any():
             return
@@ -228,7 +241,16 @@ def _one_tree(root: np.ndarray, a0, a1, b0, b1) -> np.ndarray:
     return (al == ah) & (bl == bh) & (al == bl)
 
 
-def _leaf_pairs(a0, a1, b0, b1, same, f0, runs, budget, budget_runs, forest) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _near(i, j, f0, runs, budget_runs, short) -> tuple[np.ndarray, np.ndarray]:
+    """Those of pairs within the budget of word bits that are near."""
+    d = np.bitwise_count(runs[i] ^ runs[j]).sum(axis=1, dtype=np.int64)
+    near = d <= budget_runs
+    if short is not None:
+        near &= (d <= BUDGET_RUNS_SHORT) | ~(short[i] | short[j]) | (np.bitwise_count(f0[i] ^ f0[j]) <= BUDGET_SHORT)
+    return i[near], j[near]
+
+
+def _leaf_pairs(a0, a1, b0, b1, same, f0, runs, budget, budget_runs, forest, short) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     # equal fingerprints can't be told apart by the trie: strips of a large range
     strip = np.maximum(1, CHUNK_PAIRS // (b1 - b0))
     pieces = -(-(a1 - a0) // strip)
@@ -241,26 +263,25 @@ def _leaf_pairs(a0, a1, b0, b1, same, f0, runs, budget, budget_runs, forest) ->
     first = 0
     while first < len(total):
         before = total[first - 1] if first else 0
-        last = max(first + 1, int(np.searchsorted(total, before + CHUNK_PAIRS, side="right")))
+        last = max(first + 1, int(np.searchsorted(total, before + LOOK_PAIRS, side="right")))
         at = np.arange(first, last)
         first = last
         if forest:
             at = at[~_one_tree(forest[0], a0[at], a1[at], b0[at], b1[at])]
-            if not len(at):
-                continue
-        n = (a1[at] - a0[at]) * (b1[at] - b0[at])
-        which = np.repeat(at, n)
-        k = _spread(np.zeros(len(at), np.int64), n)
-        width = (b1 - b0)[which]
-        i, j = a0[which] + k // width, b0[which] + k % width
-        keep = ~same[which] | (i < j)
-        i, j = i[keep], j[keep]
-        d = np.bitwise_count(f0[i] ^ f0[j])
-        near = d <= budget
-        i, j = i[near], j[near]
-        near = np.bitwise_count(runs[i] ^ runs[j]).sum(axis=1, dtype=np.int64) <= budget_runs
-        if near.any():
-            yield i[near], j[near]
+        found, n = [], 0
+        for p, q, r, s, own in zip(a0[at].tolist(), a1[at].tolist(), b0[at].tolist(), b1[at].tolist(), same[at].tolist(), strict=True):
+            hits = np.flatnonzero(np.bitwise_count(f0[p:q, None] ^ f0[None, r:s]).ravel() <= budget)
+            i, j = np.divmod(hits, s - r)
+            i, j = i + p, j + r
+            if own:
+                i, j = i[i < j], j[i < j]
+            found.append((i, j))
+            n += len(i)
+            if n >= CHUNK_PAIRS:
+                yield _near(*(np.concatenate(x) for x in zip(*found, strict=True)), f0, runs, budget_runs, short)
+                found, n = [], 0
+        if n:
+            yield _near(*(np.concatenate(x) for x in zip(*found, strict=True)), f0, runs, budget_runs, short)
 
 
 def _joined(root: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -288,16 +309,16 @@ def _expand(blocks: list[tuple[int, int, int]]):
                 f0 = batch.column("f0").to_numpy(zero_copy_only=False).view(np.uint64)
                 index, node = node_rows(f0, blocks)
                 take = pa.array(index)
-                yield pa.RecordBatch.from_arrays([pa.array(node), *(batch.column(c).take(take) for c in (*PRINT, "v"))], ["node", *PRINT, "v"])
+                yield pa.RecordBatch.from_arrays([pa.array(node), *(batch.column(c).take(take) for c in (*PRINT, "short", "v"))], ["node", *PRINT, "short", "v"])
 
     return run
 
 
 def _join(budget: int, budget_runs: int):
     def pairs(rows: list[np.ndarray]) -> pa.RecordBatch:
-        node, f0, *runs, v = rows
+        node, f0, *runs, short, v = rows
         order = np.lexsort((f0.view(np.uint64), node))
-        node, f0, v = node[order], f0[order].view(np.uint64), v[order]
+        node, f0, short, v = node[order], f0[order].view(np.uint64), short[order], v[order]
         runs = np.stack([x[order].view(np.uint64) for x in runs], axis=1)
         root = np.arange(len(v))
         same = np.flatnonzero(np.r_[False, np.diff(np.sort(v)) == 0])
@@ -307,7 +328,7 @@ def _join(budget: int, budget_runs: int):
             np.minimum.at(first, inverse, np.arange(len(v)))
             root = first[inverse]
         forest = [root]
-        for i, j in trie_pairs(node, f0, runs, budget, budget_runs, forest):
+        for i, j in trie_pairs(node, f0, runs, budget, budget_runs, forest, short):
             forest[0] = _joined(forest[0], i, j)
         root = forest[0]
         both = np.stack([v[root], v], axis=1)
@@ -318,7 +339,7 @@ def _join(budget: int, budget_runs: int):
         held: list[list[np.ndarray]] = []
         n = 0
         for batch in batches:  # sorted by node; whole nodes are joined
-            held.append([batch.column(c).to_numpy(zero_copy_only=False) for c in ("node", *PRINT, "v")])
+            held.append([batch.column(c).to_numpy(zero_copy_only=False) for c in ("node", *PRINT, "short", "v")])
             n += batch.num_rows
             if n < CHUNK_ROWS:
                 continue
@@ -335,13 +356,13 @@ def _join(budget: int, budget_runs: int):
 
 
 def near_edges(prints: DataFrame, budget: int = BUDGET, budget_runs: int = BUDGET_RUNS) -> DataFrame:
-    """Edges (a, b) between ``v`` of distinct rows (v, f0 .. f3), with the same connected components as all near pairs.
+    """Edges (a, b) between ``v`` of distinct rows (v, f0 .. f3, short), with the same connected components as all near pairs.
 
     A task passes on one edge for each fingerprint that a near pair of its nodes joins to another, and doesn't compare what
     it has joined before, so that a group of thousands of near copies costs thousands of rows, not millions.
     """
     blocks = plan_blocks(prints.count(), budget)
-    rows = prints.select(*PRINT, "v").mapInArrow(_expand(blocks), f"node bigint, {PRINT_SCHEMA}, v bigint")
+    rows = prints.select(*PRINT, "short", "v").mapInArrow(_expand(blocks), f"node bigint, {PRINT_SCHEMA}, short boolean, v bigint")
     return rows.repartition("node").sortWithinPartitions("node").mapInArrow(_join(budget, budget_runs), "a bigint, b bigint").distinct()
 
 
@@ -368,7 +389,7 @@ def connected(edges: DataFrame) -> DataFrame:
 def _judged(docs: DataFrame, id_col: str, text_col: str, budget: int, budget_runs: int) -> DataFrame:
     """(row, doc, canonical, is_kept) of documents that have a near duplicate."""
     prints = cut(fingerprints(docs, id_col, text_col))
-    distinct = cut(prints.groupBy(*PRINT).agg(F.min("row").alias("v"), F.count("*").alias("n")))
+    distinct = cut(prints.groupBy(*PRINT).agg(F.min("row").alias("v"), F.count("*").alias("n"), F.bool_and("short").alias("short")))
     edges = near_edges(distinct, budget, budget_runs)
     alone = distinct.where("n > 1").select(F.col("v"), F.col("v").alias("root"))
     roots = connected(edges).unionByName(alone).groupBy("v").agg(F.min("root").alias("root"))

@@ -330,6 +330,40 @@ def test_near_copies_are_caught_and_others_left_alone(labelled):
     assert ((d[:, 0] <= simhash.BUDGET) & (d[:, 1:].sum(1) <= simhash.BUDGET_RUNS)).mean() > 0.95
 
 
+@pytest.mark.parametrize("n", [10, 1 << 25])
+def test_trie_join_of_the_default_budget(n):
+    test_trie_join_finds_each_pair(simhash.BUDGET, n)
+
+
+def edited(text, share, kind, rng, vocabulary):
+    """``text`` with a share of its words changed or dropped, or as many inserted."""
+    words = text.split()
+    for k in sorted(rng.choice(len(words), size=max(1, round(len(words) * share)), replace=False), reverse=True):
+        w = vocabulary[rng.integers(len(vocabulary))]
+        words[k : k + 1] = {"changed": [w], "dropped": [], "inserted": [words[k], w]}[kind]
+    return " ".join(words)
+
+
+@pytest.mark.parametrize("kind", ["changed", "dropped", "inserted"])
+@pytest.mark.parametrize("share", [0.05, 0.1])
+def test_short_near_copies_are_caught(labelled, kind, share):
+    rng = np.random.default_rng(8)
+    texts = [t for t in labelled.text.drop_duplicates() if 30 <= len(t.split()) < 150][:400]
+    vocabulary = sorted({w for t in texts for w in t.split()})
+    f, _ = simhash.fingerprints_of(pa.array(texts + [edited(t, share, kind, rng, vocabulary) for t in texts]))
+    d = np.bitwise_count(f[: len(texts)] ^ f[len(texts) :])
+    assert len(texts) > 200 and ((d[:, 0] <= simhash.BUDGET) & (d[:, 1:].sum(1) <= simhash.BUDGET_RUNS)).mean() > 0.93
+
+
+def test_short_texts_with_a_common_line_are_left_alone(spark):
+    line = "The and attion to thanedble the, anea. Eriner thanea."
+    texts = [f"{line}\nHaanon a ansh.\n{line}", f"Tion was thanonontioniner. Es heonanha thou threre thre.\nHendtion ates thble a, inreor heoning.\n{line}"]
+    f, _ = simhash.fingerprints_of(pa.array(texts))
+    assert brute_pairs(f, simhash.BUDGET, simhash.BUDGET_RUNS) == {(0, 1)}
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, texts[0].upper()])], "doc_id bigint, text string")
+    assert {(r.doc_id, r.canonical_id) for r in simhash.near_duplicates(docs).collect()} == {(0, 0), (1, 1), (2, 0)}
+
+
 def test_components(spark):
     rng = np.random.default_rng(2)
     pairs = {tuple(sorted(p)) for p in rng.integers(0, 300, size=(170, 2)).tolist() if p[0] != p[1]} | {(i, i + 1) for i in range(400, 480)}
