@@ -14,7 +14,7 @@ import hashlib
 import posixpath
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Generator, Iterator
 from typing import BinaryIO
 
 import pyarrow as pa
@@ -37,36 +37,44 @@ _FIELDS = [x.split() for x in INDEX_SCHEMA.split(", ")]
 # --- streams --------------------------------------------------------------------------------------------------
 
 
-def inflated(raw: BinaryIO) -> Iterator[bytes]:
-    """Pieces of what a gzip stream holds, of one member or of many. A stream that breaks off ends without an error."""
-    inflate = zlib.decompressobj(31)
+def inflated(raw: BinaryIO) -> Generator[bytes, None, bool]:
+    """Pieces of what a gzip stream holds, of one member or of many; zeros may follow a member. A stream that breaks off ends without an error, and the generator returns whether it did."""
+    inflate, begun = zlib.decompressobj(31), False
+    ended = False  # a member has; what follows may be padding
     while data := raw.read(PIECE):
         while data:
+            if ended and not begun and not (data := data.lstrip(b"\0")):
+                break
+            begun = True
             try:
                 piece = inflate.decompress(data, 4 * PIECE)
             except zlib.error:
-                return
+                return True
             if piece:
                 yield piece
             if inflate.eof:
                 data = inflate.unused_data
-                inflate = zlib.decompressobj(31)
+                inflate, begun, ended = zlib.decompressobj(31), False, True
             else:
                 data = inflate.unconsumed_tail
     if tail := inflate.flush():
         yield tail
+    return begun and not inflate.eof
 
 
 class Pieces:
-    """Reads a stream of pieces up to a mark, or a number of bytes."""
+    """Reads a stream of pieces up to a mark, or a number of bytes. ``broken``: the stream has ended by breaking off."""
 
     def __init__(self, pieces: Iterator[bytes]) -> None:
-        self._pieces, self._held = pieces, bytearray()
+        self._pieces, self._held, self.broken = pieces, bytearray(), False
 
     def _more(self) -> bool:
-        piece = next(self._pieces, b"")
-        self._held += piece
-        return bool(piece)
+        try:
+            self._held += next(self._pieces)
+        except StopIteration as end:
+            self.broken |= bool(end.value)
+            return False
+        return True
 
     def upto(self, mark: bytes) -> bytes | None:
         """What comes before the mark, which is skipped; None if it doesn't come."""
@@ -112,7 +120,7 @@ def headers_of(block: bytes) -> dict[str, str]:
 def normalise(raw: BinaryIO, out: BinaryIO, level: int = LEVEL) -> Iterator[dict]:
     """Rewrites the records of a gzip stream one member each, and tells where each went.
 
-    A record that the stream breaks off in, or whose head has no length, gets no place; it comes last with the
+    A record that the stream breaks off in or before, or whose head has no length, gets no place; it comes last with the
     status "truncated" or "malformed", and nothing after it can be read.
     """
     pieces, offset, record = Pieces(inflated(raw)), 0, 0
@@ -120,7 +128,7 @@ def normalise(raw: BinaryIO, out: BinaryIO, level: int = LEVEL) -> Iterator[dict
         pieces.skip_blank()
         head = pieces.upto(b"\r\n\r\n")
         if head is None:
-            if pieces._held:
+            if pieces._held or pieces.broken:
                 yield {"record": record, "status": "truncated"}
             return
         fields = headers_of(head)

@@ -379,6 +379,21 @@ def records(n):
     return [warc.record_bytes(i, f"http://h/{i}", f"<html>{'x' * (i * 37 % 5000)}\r\n\r\nWARC/1.0 {i}</html>") for i in range(n)]
 
 
+def test_stream_that_breaks_off_between_records_says_so():
+    def statuses(stream):
+        return [(r["record"], r["status"]) for r in warc.normalise(io.BytesIO(stream), io.BytesIO())]
+
+    members = [gzip.compress(r) for r in records(4)]
+    whole = [(k, "ok") for k in range(4)]
+    damaged = b"\x00\x01" + members[2][2:]
+    assert statuses(b"".join([*members[:2], damaged, members[3]])) == [*whole[:2], (2, "truncated")]
+    assert statuses(b"".join(members)[: -len(members[3])] + members[3][:10]) == [*whole[:3], (3, "truncated")]
+    assert statuses(gzip.compress(b"".join(records(4)))[:-8]) == [*whole, (4, "truncated")]
+    assert statuses(b"no gzip") == [(0, "truncated")]
+    assert statuses(b"".join(members)) == statuses(b"".join(members) + bytes(700)) == whole
+    assert statuses(b"") == []
+
+
 @pytest.mark.parametrize("members", [1, 3, 40])
 def test_normaliser_round_trip(members):
     rs = records(40)
