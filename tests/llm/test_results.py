@@ -5,8 +5,9 @@ from __future__ import annotations
 import gzip
 import io
 import itertools
+import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import corpus_pipeline
 import duckdb
@@ -364,6 +365,35 @@ def test_short_texts_with_a_common_line_are_left_alone(spark):
     assert {(r.doc_id, r.canonical_id) for r in simhash.near_duplicates(docs).collect()} == {(0, 0), (1, 1), (2, 0)}
 
 
+def true_overlaps(texts):
+    """Run Jaccard of the pairs of texts that share a run of three words. By enumeration of their words, not by fingerprints."""
+    runs, having = [], defaultdict(list)
+    for k, t in enumerate(texts):
+        words = re.findall(r"\w+", t.lower())
+        runs.append(set(zip(words, [*words[1:], ""], [*words[2:], "", ""], strict=False)))
+        for r in runs[-1]:
+            having[r].append(k)
+    shared = Counter(p for v in having.values() for p in itertools.combinations(v, 2))
+    return {(a, b): n / (len(runs[a]) + len(runs[b]) - n) for (a, b), n in shared.items()}
+
+
+def test_near_copies_against_true_overlap():
+    rng = np.random.default_rng(9)
+    base = [t for (t,) in duckdb.sql("SELECT DISTINCT text FROM '/root/testdata/sf0.01/documents.parquet' WHERE text IS NOT NULL ORDER BY text").fetchall() if 10 <= len(t.split()) < 600]
+    vocabulary = sorted({w for t in base for w in t.split()})
+    copies = [edited(base[k], share, kind, rng, vocabulary) for kind in ("changed", "dropped", "inserted") for share in (0.05, 0.1) for k in rng.choice(len(base), size=60, replace=False)]
+    texts = list({" ".join(re.findall(r"\w+", t.lower())): t for t in base + copies}.values())
+    overlaps = true_overlaps(texts)
+    f, _ = simhash.fingerprints_of(pa.array(texts))
+    found = brute_pairs(f, simhash.BUDGET, simhash.BUDGET_RUNS)
+    words = [len(re.findall(r"\w+", t)) for t in texts]
+    for least, most in ((0, 150), (150, 600)):
+        near = {p for p, x in overlaps.items() if x >= 0.5 and least <= min(words[p[0]], words[p[1]]) < most}
+        assert len(near) > 60 and len(near & found) / len(near) > 0.95
+    long = {p for p in found if min(words[p[0]], words[p[1]]) >= simhash.SHORT}
+    assert sum(overlaps.get(p, 0) < 0.3 for p in long) <= len(long) / 100
+
+
 def test_components(spark):
     rng = np.random.default_rng(2)
     pairs = {tuple(sorted(p)) for p in rng.integers(0, 300, size=(170, 2)).tolist() if p[0] != p[1]} | {(i, i + 1) for i in range(400, 480)}
