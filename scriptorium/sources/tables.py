@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -13,9 +14,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession) -> str:
-    """Folder in spark.checkpoint.dir for this application's tables, removed when it ends; a local one only where that is unset."""
+    """Folder in spark.checkpoint.dir for this application's tables, removed when it ends. One of this machine is made only where that is unset and driver and executors are one process; on a cluster that is an error."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if base is None:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="scriptorium-")
         spark.sparkContext.setCheckpointDir(base)
     folder = f"{base}/scriptorium-{spark.sparkContext.applicationId}"
