@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -16,10 +17,12 @@ WORD = r"[^ \t\n\r\f]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that all executors see, from ``spark.checkpoint.dir``; a local one is made only where that is unset."""
+    """Folder that all executors see, from ``spark.checkpoint.dir``. A folder of this machine is made only where that is unset and driver and executors are one process; on a cluster that is an error."""
     given = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
+        if not given and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(given or tempfile.mkdtemp(prefix="scriptorium-"))
     return given or sc.getCheckpointDir()
 
@@ -57,14 +60,28 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+#: Nodes of an optimized plan under which rows come in the same order each time, as far as the splits of the files are the same.
+_STEADY = {"LogicalRelation", "Project", "Filter", "LocalRelation"}
+
+
+def _steady(node) -> bool:
+    if node.nodeName() not in _STEADY or node.nodeName() == "LogicalRelation" and node.relation().getClass().getSimpleName() != "HadoopFsRelation":
+        return False
+    children = node.children()
+    return all(_steady(children.apply(i)) for i in range(children.size()))
+
+
 def repeatable(docs: DataFrame) -> DataFrame:
-    """``docs`` itself if it is a plain scan, whose rows come in the same order each time it is read; else a checkpoint of it.
+    """``docs`` itself if it is a scan of files, projected and filtered, whose rows come in the same order each time it is read; else a written table of it.
 
-    Row numbers are only good for joins between two readings of ``docs`` if both readings number alike.
+    Row numbers are only good for joins between two readings of ``docs`` if both readings number alike. How Spark splits files
+    depends on the cores that it has at the time, so that the number it goes by is fixed for the session.
     """
-    plan = docs._jdf.queryExecution().executedPlan().toString()
-    moves = ("Exchange", "Python", "Arrow", "Pandas", "Join", "Union", "Sample", "Coalesce")
-    return cut(docs) if any(x in plan for x in moves) else docs
+    spark = docs.sparkSession
+    if spark.conf.get("spark.sql.files.minPartitionNum", None) is None:
+        spark.conf.set("spark.sql.files.minPartitionNum", spark.conf.get("spark.sql.leafNodeDefaultParallelism", None) or str(spark.sparkContext.defaultParallelism))
+    plan = docs._jdf.queryExecution().optimizedPlan()
+    return docs if plan.deterministic() and _steady(plan) else cut(docs)
 
 
 def numbered(docs: DataFrame, name: str) -> DataFrame:

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
 from . import exact_dedup, langid, linecrf, mixing, nbsvm, ordinal, packing, simhash, tokenbin, warc
@@ -20,7 +19,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_classifier": nbsvm.op8_quality_classifier,
     "op9_warc_normalise": warc.op9_warc_normalise,
     "op10_line_labelling": linecrf.op10_line_labelling,
-    "pipeline": corpus_pipeline.run,
 }
 
 ORACLE_SQL: dict[str, str] = {
