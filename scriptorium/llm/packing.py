@@ -12,7 +12,8 @@ import math
 from collections import defaultdict, deque
 from collections.abc import Iterable, Iterator
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -73,19 +74,24 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, open_bins: int = OPEN_BINS,
     shards = max(1, math.ceil((items.agg(F.sum("n")).first()[0] or 0) / shard_tokens))
     kind = items.schema["doc_id"].dataType.simpleString()
 
-    def shard(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["k", "doc_id", "n"], kind="stable").reset_index(drop=True)
-        lengths = rows["n"].tolist()
+    def shard(rows: pa.Table) -> pa.Table:
+        # ids stay in Arrow: numpy and pandas would make floats of integers beside a null
+        rows = rows.take(pc.sort_indices(rows, [("k", "ascending"), ("doc_id", "ascending"), ("n", "ascending")], null_placement="at_end"))
+        lengths = rows["n"].to_pylist()
         placed = list(best_fit(lengths, capacity, open_bins))
-        out = rows[["doc_id"]].iloc[[i for i, *_ in placed]].reset_index(drop=True)
-        out["token_start"] = [s for _, s, _, _ in placed]
-        out["n_tokens"] = [min(capacity, lengths[i] - s) for i, s, _, _ in placed]
-        out["shard"] = rows["shard"].iloc[0]
-        out["bin"] = [b for _, _, b, _ in placed]
-        out["bin_start"] = [s for *_, s in placed]
-        return out
+        item = [i for i, *_ in placed]
+        return pa.table(
+            {
+                "doc_id": rows["doc_id"].take(pa.array(item, pa.int64())),
+                "token_start": pa.array([s for _, s, _, _ in placed], pa.int64()),
+                "n_tokens": pa.array([min(capacity, lengths[i] - s) for i, s, _, _ in placed], pa.int64()),
+                "shard": pa.array([rows["shard"][0].as_py()] * len(placed), pa.int64()),
+                "bin": pa.array([b for _, _, b, _ in placed], pa.int64()),
+                "bin_start": pa.array([s for *_, s in placed], pa.int64()),
+            }
+        )
 
-    return items.withColumn("shard", F.pmod(F.xxhash64("k"), F.lit(shards))).groupBy("shard").applyInPandas(shard, f"doc_id {kind}, token_start bigint, n_tokens bigint, shard bigint, bin bigint, bin_start bigint")
+    return items.withColumn("shard", F.pmod(F.xxhash64("k"), F.lit(shards))).groupBy("shard").applyInArrow(shard, f"doc_id {kind}, token_start bigint, n_tokens bigint, shard bigint, bin bigint, bin_start bigint")
 
 
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
