@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import hashlib
 import posixpath
+import re
 import uuid
 import zlib
 from collections.abc import Generator, Iterator
@@ -26,6 +27,10 @@ from pyspark.sql import functions as F
 from .common import cut, remove, table_dir
 
 PIECE = 1 << 18
+#: How a gzip member starts: magic number and deflate.
+MEMBER = b"\x1f\x8b\x08"
+#: A record's head may have so many bytes.
+HEAD = 1 << 20
 LEVEL = 6
 #: Level of the whole-file streams that :func:`write_monolithic` makes.
 LEVEL_MONOLITHIC = 1
@@ -37,58 +42,97 @@ _FIELDS = [x.split() for x in INDEX_SCHEMA.split(", ")]
 # --- streams --------------------------------------------------------------------------------------------------
 
 
-def inflated(raw: BinaryIO) -> Generator[bytes, None, bool]:
-    """Pieces of what a gzip stream holds, of one member or of many; zeros may follow a member. A stream that breaks off ends without an error, and the generator returns whether it did."""
+class Break:
+    """Stands in a stream of pieces where it can't be inflated; what comes after it is of a later member."""
+
+
+def inflated(raw: BinaryIO) -> Generator[bytes | Break, None, bool]:
+    """Pieces of what a gzip stream holds, of one member or of many; zeros may follow a member.
+
+    Where the stream is damaged comes a :class:`Break`, and reading goes on at the next place that looks like the start of
+    a member. Returns whether the stream ends within a member.
+    """
     inflate, begun = zlib.decompressobj(31), False
     ended = False  # a member has; what follows may be padding
+    lost, told = False, False  # looking for the next member; the break has been told of, and nothing came since
+    kept = b""
     while data := raw.read(PIECE):
+        data = kept + data
+        kept = b""
         while data:
+            if lost:
+                at = data.find(MEMBER)
+                if at < 0:
+                    kept = data[-len(MEMBER) + 1 :]
+                    break
+                data, lost = data[at:], False
             if ended and not begun and not (data := data.lstrip(b"\0")):
                 break
-            begun = True
+            begun, before = True, data
             try:
                 piece = inflate.decompress(data, 4 * PIECE)
             except zlib.error:
-                return True
+                if not told:
+                    yield Break()
+                told = True
+                inflate, begun, ended, lost = zlib.decompressobj(31), False, True, True
+                data = before[1:]
+                continue
             if piece:
+                told = False
                 yield piece
             if inflate.eof:
                 data = inflate.unused_data
                 inflate, begun, ended = zlib.decompressobj(31), False, True
             else:
                 data = inflate.unconsumed_tail
-    if tail := inflate.flush():
+    if begun and (tail := inflate.flush()):
         yield tail
     return begun and not inflate.eof
 
 
 class Pieces:
-    """Reads a stream of pieces up to a mark, or a number of bytes. ``broken``: the stream has ended by breaking off."""
+    """Reads a stream of pieces up to a mark, or a number of bytes. ``broken``: the stream has ended within a member. ``damaged``: it stands before a break."""
 
-    def __init__(self, pieces: Iterator[bytes]) -> None:
-        self._pieces, self._held, self.broken = pieces, bytearray(), False
+    def __init__(self, pieces: Iterator[bytes | Break]) -> None:
+        self._pieces, self._held, self.broken, self.damaged = pieces, bytearray(), False, False
 
     def _more(self) -> bool:
+        if self.damaged:
+            return False
         try:
-            self._held += next(self._pieces)
+            piece = next(self._pieces)
         except StopIteration as end:
             self.broken |= bool(end.value)
             return False
+        if isinstance(piece, Break):
+            self.damaged = True
+            return False
+        self._held += piece
         return True
 
-    def upto(self, mark: bytes) -> bytes | None:
-        """What comes before the mark, which is skipped; None if it doesn't come."""
+    @property
+    def held(self) -> bool:
+        return bool(self._held)
+
+    def resume(self) -> None:
+        """Goes on behind a break; what is held from before it is let go."""
+        self._held.clear()
+        self.damaged = False
+
+    def upto(self, mark: bytes, most: int) -> bytes | None:
+        """What comes before the mark, which is skipped; None if it doesn't come within ``most`` bytes."""
         seen = 0
         while (at := self._held.find(mark, seen)) < 0:
             seen = max(0, len(self._held) - len(mark) + 1)
-            if not self._more():
+            if seen > most or not self._more():
                 return None
         out = bytes(self._held[:at])
         del self._held[: at + len(mark)]
         return out
 
     def take(self, n: int) -> Iterator[bytes]:
-        """``n`` bytes in pieces, or fewer if the stream ends."""
+        """``n`` bytes in pieces, or fewer if the stream ends or breaks."""
         while n:
             if not self._held and not self._more():
                 return
@@ -107,6 +151,11 @@ class Pieces:
             if self._held or not self._more():
                 return
 
+    def skip_to_break(self) -> None:
+        self._held.clear()
+        while self._more():
+            self._held.clear()
+
 
 def headers_of(block: bytes) -> dict[str, str]:
     out = {}
@@ -117,45 +166,71 @@ def headers_of(block: bytes) -> dict[str, str]:
     return out
 
 
+def _number(text: str, sign: bool = False) -> int | None:
+    """A decimal of ASCII digits that fits in 64 bits."""
+    return int(text) if re.fullmatch(r"-?[0-9]{1,18}" if sign else "[0-9]{1,18}", text) else None
+
+
 def normalise(raw: BinaryIO, out: BinaryIO, level: int = LEVEL) -> Iterator[dict]:
     """Rewrites the records of a gzip stream one member each, and tells where each went.
 
-    A record that the stream breaks off in or before, or whose head has no length, gets no place; it comes last with the
-    status "truncated" or "malformed", and nothing after it can be read.
+    Nothing is lost without a row that says so. A record that the stream ends or is damaged in or before gets no place but the status
+    "truncated" or "corrupt"; after damage, reading goes on with the next member that can be found. A head without a length, or
+    longer than HEAD, is "malformed": where the next record starts can't be told, so that all up to the next break or the end goes
+    with it. A stream of no records gives one row, "empty".
     """
-    pieces, offset, record = Pieces(inflated(raw)), 0, 0
+    pieces, offset, record, told = Pieces(inflated(raw)), 0, 0, False
     while True:
         pieces.skip_blank()
-        head = pieces.upto(b"\r\n\r\n")
+        head = pieces.upto(b"\r\n\r\n", HEAD)
+        fields, length = {}, None
         if head is None:
-            if pieces._held or pieces.broken:
-                yield {"record": record, "status": "truncated"}
-            return
-        fields = headers_of(head)
-        length = fields.get("content-length", "")
-        known = {"record": record, "url": fields.get("warc-target-uri"), "page_id": int(p) if (p := fields.get(PAGE_HEADER.lower(), "")).lstrip("-").isdigit() else None}
-        if not head.startswith(b"WARC/") or not length.isdigit():
-            yield known | {"status": "malformed"}
-            return
-        deflate = zlib.compressobj(level, zlib.DEFLATED, 31)
-        digest, left, written = hashlib.sha1(), int(length), 0
-        member = [deflate.compress(head + b"\r\n\r\n")]
-        for piece in pieces.take(left):
-            digest.update(piece)
-            left -= len(piece)
-            member.append(deflate.compress(piece))
-            if sum(map(len, member)) > PIECE:
+            if pieces.damaged:
+                state = "corrupt"
+            elif len(pieces._held) > HEAD:
+                state = "malformed"
+            elif pieces.held or pieces.broken:
+                state = "truncated"
+            else:
+                if not told:
+                    yield {"record": 0, "status": "empty"}
+                return
+        else:
+            fields = headers_of(head)
+            length = _number(fields.get("content-length", ""))
+            state = "ok" if head.startswith(b"WARC/") and length is not None else "malformed"
+        told = True
+        known = {"record": record, "url": fields.get("warc-target-uri"), "page_id": _number(fields.get(PAGE_HEADER.lower(), ""), sign=True), "content_length": length}
+        written, digest = 0, hashlib.sha1()
+        if state == "ok":
+            deflate = zlib.compressobj(level, zlib.DEFLATED, 31)
+            left = length
+            member = [deflate.compress(head + b"\r\n\r\n")]
+            for piece in pieces.take(left):
+                digest.update(piece)
+                left -= len(piece)
+                member.append(deflate.compress(piece))
+                if sum(map(len, member)) > PIECE:
+                    written += out.write(b"".join(member))
+                    member = []
+            if left:
+                # what was written of it lies where no index points
+                offset += written
+                state = "corrupt" if pieces.damaged else "truncated"
+            else:
+                member += [deflate.compress(b"\r\n\r\n"), deflate.flush()]
                 written += out.write(b"".join(member))
-                member = []
-        if left:
-            # what was written of it lies behind the last member, where no index points
-            yield known | {"content_length": int(length), "status": "truncated"}
-            return
-        member += [deflate.compress(b"\r\n\r\n"), deflate.flush()]
-        written += out.write(b"".join(member))
-        yield known | {"offset": offset, "length": written, "content_length": int(length), "content_sha1": digest.hexdigest(), "status": "ok"}
-        offset += written
+                yield known | {"offset": offset, "length": written, "content_sha1": digest.hexdigest(), "status": "ok"}
+                offset += written
+                record += 1
+                continue
+        yield known | {"status": state}
         record += 1
+        if state == "malformed":
+            pieces.skip_to_break()
+        if not pieces.damaged:
+            return
+        pieces.resume()
 
 
 def read_record(path: str, offset: int, length: int) -> tuple[dict[str, str], bytes]:
@@ -216,9 +291,9 @@ def write_monolithic(pages: DataFrame, folder: str, level: int = LEVEL_MONOLITHI
 def normalise_files(files: DataFrame, folder: str, level: int = LEVEL) -> DataFrame:
     """Normalises each file named in column ``file`` into ``folder``, where NAME.idx beside it holds its index, and returns the index: {schema}.
 
-    ``file`` is the new file; ``offset`` and ``length`` place the record's member in it. A record that the input breaks
-    off in has no offset, and its status says so. A null file name is skipped; equal names in different
-    folders are kept apart by a hash of the folder; a file that is listed twice is normalised once. An empty file gives no row.
+    ``file`` is the new file; ``offset`` and ``length`` place the record's member in it. What couldn't be read has a row without an
+    offset, whose status says why (:func:`normalise`); each file has a row at least. A null file name is skipped; equal names in different
+    folders are kept apart by a hash of the folder; a file that is listed twice is normalised once.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

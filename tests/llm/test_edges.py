@@ -128,3 +128,16 @@ def test_warc_on_odd_rows(spark, tmp_path):
         _, content = warc.read_record(r.file, r.offset, r.length)
         assert len(content) == r.content_length
     assert warc.warc_index(spark, pages.limit(0), f"file://{tmp_path}/b").count() == 0
+
+
+def test_rows_without_a_steady_order_are_written_first(spark, sf_dir):
+    from scriptorium.llm.common import repeatable
+
+    scan = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for steady in (scan, scan.select("doc_id", "text"), scan.where("doc_id > 3").selectExpr("doc_id + 1 AS i", "text")):
+        assert repeatable(steady) is steady
+    for loose in (scan.limit(50), scan.orderBy("doc_id"), scan.sample(0.5, 1), scan.where("rand() < 0.5"), scan.union(scan), scan.distinct(), scan.repartition(3), spark.createDataFrame(scan.limit(5).rdd, scan.schema), scan.mapInArrow(lambda x: x, scan.schema)):
+        assert repeatable(loose) is not loose
+    some = scan.limit(120)
+    left = exact_dedup.drop_exact_duplicates(some)
+    assert 0 < left.count() == left.select("text").distinct().count()

@@ -117,6 +117,22 @@ def test_packing_holds_every_token_once(spark, sf_dir, duck):
         assert b.n_tokens.sum() <= packing.CAPACITY
 
 
+def test_packing_in_shards_against_brute_force(spark):
+    rng = np.random.default_rng(6)
+    rows = [(2**53 + 1 + 2 * i if i % 10 else None, "w " * int(n)) for i, n in enumerate(rng.integers(0, 90, size=400))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    out = packing.pack(docs, capacity=64, open_bins=4, shard_tokens=3000).toArrow().to_pylist()
+    assert {r["doc_id"] for r in out} == {i for i, t in rows if t}  # none went through a float
+    shards = {r["shard"] for r in out}
+    assert len(shards) > 3
+    keyed = docs.selectExpr("doc_id", "cast(size(regexp_extract_all(text, 'w', 0)) as int) n", "md5(concat('pack:', coalesce(string(doc_id), ''))) k", f"pmod(xxhash64(md5(concat('pack:', coalesce(string(doc_id), '')))), {-(-sum(len(t) // 2 for _, t in rows) // 3000)}) s").collect()
+    for s in shards:
+        mine = sorted((r.k, r.doc_id is None, r.doc_id or 0, r.n) for r in keyed if r.s == s and r.n)
+        want = [(None if mine[i][1] else mine[i][2], start, b, at) for i, start, b, at in brute_pack([r[3] for r in mine], 64, 4)]
+        got = [(r["doc_id"], r["token_start"], r["bin"], r["bin_start"]) for r in out if r["shard"] == s]
+        assert sorted(got, key=repr) == sorted(want, key=repr)
+
+
 # --- classifiers ----------------------------------------------------------------------------------------------
 
 
@@ -409,19 +425,71 @@ def records(n):
     return [warc.record_bytes(i, f"http://h/{i}", f"<html>{'x' * (i * 37 % 5000)}\r\n\r\nWARC/1.0 {i}</html>") for i in range(n)]
 
 
-def test_stream_that_breaks_off_between_records_says_so():
-    def statuses(stream):
-        return [(r["record"], r["status"]) for r in warc.normalise(io.BytesIO(stream), io.BytesIO())]
+def statuses(stream):
+    out = io.BytesIO()
+    rows = list(warc.normalise(io.BytesIO(stream), out))
+    for r in rows:  # what the index points at can be read
+        if r["status"] == "ok":
+            assert zlib.decompress(out.getvalue()[r["offset"] : r["offset"] + r["length"]], 31).startswith(b"WARC/")
+    return [(r["record"], r["status"]) for r in rows]
 
+
+def test_stream_that_breaks_off_between_records_says_so():
     members = [gzip.compress(r) for r in records(4)]
     whole = [(k, "ok") for k in range(4)]
     damaged = b"\x00\x01" + members[2][2:]
-    assert statuses(b"".join([*members[:2], damaged, members[3]])) == [*whole[:2], (2, "truncated")]
+    # reading goes on behind the damage
+    assert statuses(b"".join([*members[:2], damaged, members[3]])) == [*whole[:2], (2, "corrupt"), (3, "ok")]
+    assert statuses(b"".join([*members[:2], b"garbage, not zeros", *members[2:]])) == [*whole[:2], (2, "corrupt"), (3, "ok"), (4, "ok")]
+    half = members[1][: len(members[1]) // 2]
+    assert statuses(b"".join([members[0], half, *members[2:]]))[:2] == [(0, "ok"), (1, "corrupt")]
     assert statuses(b"".join(members)[: -len(members[3])] + members[3][:10]) == [*whole[:3], (3, "truncated")]
     assert statuses(gzip.compress(b"".join(records(4)))[:-8]) == [*whole, (4, "truncated")]
-    assert statuses(b"no gzip") == [(0, "truncated")]
+    assert statuses(b"no gzip") == [(0, "corrupt")]
     assert statuses(b"".join(members)) == statuses(b"".join(members) + bytes(700)) == whole
-    assert statuses(b"") == []
+    assert statuses(b"") == [(0, "empty")]
+
+
+@pytest.mark.parametrize("cut", range(1, 400, 7))
+def test_each_cut_of_a_stream_has_a_status(cut):
+    raw = gzip.compress(b"".join(records(3)))
+    got = statuses(raw[:cut]) if cut < len(raw) else []
+    assert cut >= len(raw) or got[-1][1] == "truncated"
+
+
+@pytest.mark.parametrize(
+    ("head", "want"),
+    [
+        ("Content-Length: \u00b2", "malformed"), ("Content-Length: -1", "malformed"), ("Content-Length: 99999999999999999999", "malformed"), ("X: y", "malformed"), ("Content-Length: 2", "ok"),
+        ("Content-Length: 2\r\nWARC-Page-Id: --5", "ok"), ("Content-Length: 2\r\nWARC-Page-Id: \u00b2", "ok"), ("Content-Length: 2\r\nWARC-Page-Id: 99999999999999999999", "ok"),
+    ],
+)
+def test_odd_numbers_in_heads(head, want):
+    stream = gzip.compress(f"WARC/1.0\r\n{head}\r\n\r\nab\r\n\r\n".encode())
+    (row,) = warc.normalise(io.BytesIO(stream), io.BytesIO())
+    assert row["status"] == want and row["page_id"] is None
+
+
+def test_head_without_an_end_is_not_held(monkeypatch):
+    monkeypatch.setattr(warc, "HEAD", 5000)
+    stream = gzip.compress(b"WARC/1.0\r\n" + b"x: y\r\n" * 10**6) + gzip.compress(records(1)[0])
+    assert statuses(stream) == [(0, "malformed")]
+
+
+def test_files_are_normalised_in_tasks_of_their_own(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    for k in range(5):
+        (tmp_path / f"{k}.warc.gz").write_bytes(gzip.compress(b"".join(records(k))))
+    (tmp_path / "5.warc.gz").write_bytes(gzip.compress(records(1)[0]) + b"garbage" + gzip.compress(records(2)[1]))
+    files = spark.createDataFrame([(f"file://{tmp_path}/{k}.warc.gz",) for k in (*range(6), 3)] + [(None,)], "file string")
+    index = warc.normalise_files(files, f"file://{tmp_path}/out").withColumn("task", F.spark_partition_id()).collect()
+    by_file = defaultdict(list)
+    for r in index:
+        by_file[r.file].append(r)
+    assert len(by_file) == 6
+    assert sorted([r.status for r in x] for x in by_file.values()) == sorted([["empty"], ["ok"], ["ok"] * 2, ["ok"] * 3, ["ok"] * 4, ["ok", "corrupt", "ok"]])
+    assert all(warc.read_record(r.file, r.offset, r.length)[0]["warc-target-uri"] == r.url for r in index if r.status == "ok")
 
 
 @pytest.mark.parametrize("members", [1, 3, 40])
@@ -446,7 +514,6 @@ def test_normaliser_on_broken_files():
     assert short[-1]["status"] == "truncated" and short[:-1] == whole[: len(short) - 1]
     bad = list(warc.normalise(io.BytesIO(gzip.compress(rs[0] + b"WARC/1.0\r\nX: y\r\n\r\n")), io.BytesIO()))
     assert [r["status"] for r in bad] == ["ok", "malformed"]
-    assert list(warc.normalise(io.BytesIO(b""), io.BytesIO())) == []
 
 
 def test_warc_pages_round_trip(spark, duck, sf_dir):
