@@ -293,7 +293,7 @@ def normalise_files(files: DataFrame, folder: str, level: int = LEVEL) -> DataFr
 
     ``file`` is the new file; ``offset`` and ``length`` place the record's member in it. What couldn't be read has a row without an
     offset, whose status says why (:func:`normalise`); each file has a row at least. A null file name is skipped; equal names in different
-    folders are kept apart by a hash of the folder; a file that is listed twice is normalised once.
+    folders are kept apart by a hash of the folder; a file that is listed twice is normalised once. Each file is a task of its own.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -319,7 +319,9 @@ def normalise_files(files: DataFrame, folder: str, level: int = LEVEL) -> DataFr
                 if rows:
                     yield _index(rows, posixpath.join(folder, name))
 
-    return files.select("file").where("file is not null").distinct().repartition("file").mapInArrow(run, INDEX_SCHEMA)
+    names = cut(files.select("file").where("file is not null").distinct())
+    # by number, which adaptive execution leaves alone: one partition's names (some MB at most) are dealt out in turn, one to a task
+    return names.coalesce(1).repartition(max(1, names.count())).mapInArrow(run, INDEX_SCHEMA)
 
 
 normalise_files.__doc__ = normalise_files.__doc__.format(schema=INDEX_SCHEMA)
