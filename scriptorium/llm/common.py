@@ -5,10 +5,13 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from functools import reduce
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -103,6 +106,21 @@ def order_key(seed: str, doc_id: str) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(doc_id).cast("string"), F.lit(""))))
 
 
+def first_labelled(labels: DataFrame, label: str, seed: str, n: int, values: Sequence[int] | None = None) -> DataFrame:
+    """(chosen_id, label) of the first ``n`` documents of each of ``values``, or of all, in a hashed order. ``labels`` has an id once. A sort with a limit: no partition passes on more than n rows."""
+    rows = [labels if values is None else labels.where(F.col(label) == v) for v in (values or [None])]
+    chosen = [r.orderBy(order_key(seed, "doc_id"), "doc_id").limit(n).select(F.col("doc_id").alias("chosen_id"), label) for r in rows]
+    return reduce(DataFrame.unionByName, chosen)
+
+
+def labelled_texts(docs: DataFrame, chosen: DataFrame, label: str, id_col: str, text_col: str) -> tuple[list[str], list[int]]:
+    """Texts and labels of chosen documents, in a fixed order, for a model that the driver fits: as many as :func:`first_labelled` was told. Of rows with one id, the least text counts."""
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null")
+    found = rows.join(F.broadcast(chosen), F.col("id") == F.col("chosen_id")).groupBy("id", label).agg(F.min("text").alias("text")).collect()
+    found.sort(key=lambda r: (r["id"], r["text"]))
+    return [r["text"] for r in found], [r[label] for r in found]
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -120,3 +138,34 @@ def by_bytes(batch: pa.RecordBatch, column: str, limit: int = 2 << 20) -> Iterat
         yield batch.slice(start)
 
 
+def _turned(x: np.ndarray, k: int) -> np.ndarray:
+    return (x << np.uint64(k)) | (x >> np.uint64(64 - k))
+
+
+def hash_words(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """XXH64 of each word, of all words of less than 32 bytes at once. And which words aren't empty."""
+    p1, p2, p3, p4, p5 = map(np.uint64, (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+    sizes = pc.binary_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
+    raw = np.frombuffer(pc.binary_join(pa.ListArray.from_arrays([0, len(words)], words), "")[0].as_buffer(), dtype=np.uint8) if sizes.any() else np.zeros(0, np.uint8)
+    starts = np.cumsum(sizes) - sizes
+    padded = np.zeros((len(words), 32), dtype=np.uint8)
+    row, place = np.repeat(np.arange(len(words)), sizes), np.arange(len(raw)) - np.repeat(starts, sizes)
+    fits = place < 32
+    padded[row[fits], place[fits]] = raw[fits]
+    at, h = np.arange(len(words)), p5 + sizes.astype(np.uint64)
+    for i in range(3):
+        h = np.where(sizes >= 8 * i + 8, _turned(h ^ _turned(padded.view("<u8")[:, i] * p2, 31) * p1, 27) * p1 + p4, h)
+    done = sizes // 8 * 8 % 32
+    four = sizes - done >= 4
+    h = np.where(four, _turned(h ^ padded.view("<u4")[at, done // 4].astype(np.uint64) * p1, 23) * p2 + p3, h)
+    done += 4 * four
+    for _ in range(3):
+        one = done < sizes
+        h = np.where(one, _turned(h ^ padded[at, done % 32].astype(np.uint64) * p5, 11) * p1, h)
+        done += one
+    h = (h ^ (h >> np.uint64(33))) * p2
+    h = (h ^ (h >> np.uint64(29))) * p3
+    h ^= h >> np.uint64(32)
+    for i in np.flatnonzero(sizes >= 32):
+        h[i] = xxhash.xxh64_intdigest(words[i].as_py())
+    return h, sizes > 0

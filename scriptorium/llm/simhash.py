@@ -8,27 +8,28 @@ what is compared, and their budget leaves room for short texts, in which a few o
 large part of a very short one: if more than BUDGET_SHORT word bits differ, such a text is near another only within BUDGET_RUNS_SHORT.
 
 The self-join descends a binary trie of the first 64 bits with pairs of nodes: the children of a pair differ in one more
-bit or not, and a pair that has used up the error budget is dropped. To spread this over a cluster, the
-bits are also read from other starting places: cut into ``m`` blocks that may hold ``t[i]`` errors with
-sum(t[i] + 1) > budget, a near pair keeps within t[i] in some block i. Each fingerprint is sent to the nodes that it
-can meet a partner in, at the depth of that block, with up to ceil(t[i] / 2) of the block's bits flipped; below
-these nodes, each task descends the trie of the remaining bits, down to ranges that it compares member by member. The result is exact for any number of documents: the
-block width only follows their number to keep nodes small.
+bit or not, and a pair that has used up its error budget is dropped. Read from one end only, the trie would let all pairs through
+down to a depth of some twenty bits, as all errors may come late. So it is read from ``m`` places of the ring of bits: from one of them at
+least, the errors of a near pair keep in step with the depth, and the budget of a node pair grows with its depth from 1 or 2 on.
+To spread this over a cluster, the tries are cut at a depth that follows the counts of their nodes: a task has a node and
+those fingerprints whose paths to it turn half of the errors that a pair may have there, and starts from the pairs of node ranges that have met, with their errors so
+far. Below, it descends until few pairs of members are left, which it compares one by one. The result is exact for any number of documents.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import by_bytes, cut, documents, fresh, numbered, repeatable, without_rows
+from .common import by_bytes, cut, documents, fresh, hash_words, numbered, repeatable, without_rows
 
 BUDGET = 13
 BUDGET_RUNS = 66
@@ -38,8 +39,12 @@ BUDGET_SHORT, BUDGET_RUNS_SHORT = 9, 44
 PRINT = ["f0", "f1", "f2", "f3"]
 PRINT_SCHEMA = ", ".join(f"{c} bigint" for c in PRINT)
 NOT_WORD = r"[^\p{L}\p{N}_]+"
+#: Depth of the nodes that tasks start from, at least; down to what depth nodes are counted; and how many fingerprints a node may be sent before the next depth is taken.
+MIN_DEPTH, COUNT_DEPTH, NODE_ROWS = 6, 10, 1 << 20
 #: Pairs of nodes with at most so many pairs of members are compared member by member.
-LEAF_PAIRS = 1 << 17
+LEAF_PAIRS = 1 << 14
+#: Pairs of nodes that are advanced at a time.
+NODE_PAIRS = 1 << 20
 #: Rows joined at a time, pairs compared at a time, and pairs compared between two looks at the forest, in a task.
 CHUNK_ROWS, CHUNK_PAIRS, LOOK_PAIRS = 60_000, 300_000, 3_000_000
 
@@ -49,8 +54,7 @@ CHUNK_ROWS, CHUNK_PAIRS, LOOK_PAIRS = 60_000, 300_000, 3_000_000
 
 def _word_lanes(hashes: np.ndarray) -> np.ndarray:
     """(16, words): each word's 64 bits, in lanes of 16 bits, four to an integer."""
-    bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1)
-    return np.ascontiguousarray(bits.astype(np.uint16).view(np.uint64).T)
+    return np.stack([(hashes >> np.uint64(k)) & np.uint64(0x0001000100010001) for k in range(16)])
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -59,6 +63,14 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def _parts(owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where each document starts, where it or its next 60,000 items do (sums of 16 bits hold as many), and how many items it has."""
+    starts = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
+    sizes = np.diff(np.r_[starts, len(owner)])
+    inside = np.arange(len(owner)) - np.repeat(starts, sizes)
+    return starts, np.flatnonzero(inside % 60_000 == 0), sizes
+
+
 def _majority(h: np.ndarray, parts: np.ndarray, firsts: np.ndarray, total: np.ndarray) -> np.ndarray:
     """For each document the 64 bits that more than half of its hashes have. ``parts`` start where a document or its next 60,000 hashes do, ``firsts`` are the parts that start a document."""
     wide = np.empty((len(parts), 64), dtype=np.int64)
@@ -72,8 +84,7 @@ def _majority(h: np.ndarray, parts: np.ndarray, firsts: np.ndarray, total: np.nd
 
 def _run_bits(owner: np.ndarray, word_hash: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Documents, and three times 64 bits of each, over its runs of three words; after the last word come blanks."""
-    starts = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
-    ends = np.r_[starts[1:], len(owner)]
+    starts, parts, sizes = _parts(owner)
 
     def later(k: int) -> np.ndarray:
         out = np.zeros(len(owner), dtype=np.uint64)
@@ -81,10 +92,8 @@ def _run_bits(owner: np.ndarray, word_hash: np.ndarray) -> tuple[np.ndarray, np.
         return out
 
     h = _mixed(_mixed(word_hash) + np.uint64(3) * _mixed(later(1) + np.uint64(1)) + np.uint64(5) * _mixed(later(2) + np.uint64(2)))
-    inside = np.arange(len(owner)) - np.repeat(starts, ends - starts)
-    parts = np.flatnonzero(inside % 60_000 == 0)
     firsts = np.searchsorted(parts, starts)
-    bits = [_majority(_mixed(h + np.uint64(k * 0x9E3779B97F4A7C15 & (1 << 64) - 1)), parts, firsts, ends - starts) for k in (1, 2, 3)]
+    bits = [_majority(_mixed(h + np.uint64(k * 0x9E3779B97F4A7C15 & (1 << 64) - 1)), parts, firsts, sizes) for k in (1, 2, 3)]
     return owner[starts], np.stack(bits, axis=1)
 
 
@@ -99,19 +108,20 @@ def _prints_and_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     lists = pc.split_pattern_regex(pc.fill_null(pc.utf8_lower(texts), ""), NOT_WORD)
     words = lists.flatten().dictionary_encode()
     ids = words.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-    vocabulary = words.dictionary.to_pylist()
     owner = pc.list_parent_indices(lists).to_numpy(zero_copy_only=False).astype(np.int64)
-    if "" in vocabulary:
-        real = ids != vocabulary.index("")
-        ids, owner = ids[real], owner[real]
+    hashes, real = hash_words(words.dictionary)
+    if not real.all():
+        kept = real[ids]
+        ids, owner = ids[kept], owner[kept]
     out = np.zeros((len(texts), 4), dtype=np.uint64)
     if len(ids):
-        n = len(vocabulary)
-        hashes = np.array([xxhash.xxh64_intdigest(w) for w in vocabulary], dtype=np.uint64)
+        n = len(hashes)
         found, bits = _run_bits(owner, hashes[ids])
         out[found, 1:] = bits
-        keys, counts = np.unique(owner * n + ids, return_counts=True)
-        docs, ids = keys // n, keys % n
+        keys = np.sort(owner * n + ids)
+        first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+        counts = np.diff(np.r_[first, len(keys)])
+        docs, ids = keys[first] // n, keys[first] % n
         weights = np.rint(4 * np.sqrt(counts)).astype(np.uint64)
         starts = np.flatnonzero(np.r_[True, docs[1:] != docs[:-1]])
         total = np.add.reduceat(weights, starts)
@@ -119,16 +129,13 @@ def _prints_and_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         before = np.cumsum(weights) - weights
         piece = (before - before[starts].repeat(np.diff(np.r_[starts, len(docs)]))) // np.uint64(60_000)
         parts = np.flatnonzero(np.r_[True, (docs[1:] != docs[:-1]) | (piece[1:] != piece[:-1])])
-        of_part = np.searchsorted(starts, parts, side="right") - 1
         lanes = _word_lanes(hashes)
-        sums = np.empty((len(parts), 16), dtype=np.uint64)
+        wide = np.empty((len(parts), 64), dtype=np.int64)
         for k in range(16):
-            sums[:, k] = np.add.reduceat(lanes[k][ids] * weights, parts)
-        wide = sums.view(np.uint16).astype(np.uint64)
-        firsts = np.flatnonzero(np.r_[True, of_part[1:] != of_part[:-1]])
-        if len(firsts) < len(parts):
-            wide = np.add.reduceat(wide, firsts, axis=0)
-        out[docs[starts], 0] = np.packbits(2 * wide > total[:, None], axis=1).view(np.uint64)[:, 0]
+            wide[:, k::16] = np.add.reduceat(lanes[k][ids] * weights, parts).view(np.uint16).reshape(-1, 4)
+        if len(starts) < len(parts):
+            wide = np.add.reduceat(wide, np.searchsorted(parts, starts), axis=0)
+        out[docs[starts], 0] = np.packbits(2 * wide > total[:, None].astype(np.int64), axis=1, bitorder="little").view(np.uint64)[:, 0]
     return out, np.bincount(owner, minlength=len(texts))
 
 
@@ -152,76 +159,161 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 # --- trie self-join -------------------------------------------------------------------------------------------
 
 
-def plan_blocks(n: int, budget: int) -> list[tuple[int, int, int]]:
-    """(shift, width, errors) of each block of the 64 bits. Fewer, wider blocks for more fingerprints, so that a node holds some thousands."""
-    m = min(budget + 1, 5 if n <= 1 << 24 else 4 if n <= 1 << 28 else 3 if n <= 1 << 33 else 2)
+@dataclass(frozen=True)
+class Rotation:
+    """A reading order of the 64 word bits: from bit ``start`` on (counted from the highest) and around."""
+
+    start: int
+    width: int  # of the block that comes first
+    errors: int  # that this block may hold
+    allowed: tuple[int, ...]  # errors that the first d bits may hold
+
+
+def rotations(n: int, budget: int) -> list[Rotation]:
+    """One for each of ``m`` blocks; fewer, wider blocks for more fingerprints, as a wider one tells more apart.
+
+    Block i may hold errors[i], with sum(errors + 1) = budget + 1. A pair within the budget keeps, in one rotation at least,
+    within what its first block may hold, its first two, and so on (else the sums over some way around the ring would be too large).
+    """
+    m = min(budget + 1, 5 if n <= 1 << 28 else 4 if n <= 1 << 32 else 3)
     edges = [64 * i // m for i in range(m + 1)]
-    errors = [(budget + 1 - m) // m + (i < (budget + 1 - m) % m) for i in range(m)]
-    return [(a, b - a, e) for a, b, e in zip(edges, edges[1:], errors, strict=False)]
+    errors = [(budget + 1) // m + (i < (budget + 1) % m) - 1 for i in range(m)]
+    out = []
+    for r in range(m):
+        allowed, total = [0], -1
+        for i in (*range(r, m), *range(r)):
+            total += errors[i] + 1
+            allowed += [total] * (edges[i + 1] - edges[i])
+        out.append(Rotation(edges[r], edges[r + 1] - edges[r], errors[r], tuple(allowed)))
+    return out
 
 
-def _flips(width: int, most: int) -> np.ndarray:
-    masks = [0]
-    for k in range(1, most + 1):
-        masks += [sum(1 << i for i in c) for c in combinations(range(width), k)]
-    return np.array(masks, dtype=np.uint64)
+def _read(f0: np.ndarray, start: int) -> np.ndarray:
+    """The bits in a rotation's order, highest first."""
+    return (f0 << np.uint64(start)) | (f0 >> np.uint64(64 - start)) if start else f0
 
 
-def node_rows(f0: np.ndarray, blocks: list[tuple[int, int, int]]) -> tuple[np.ndarray, np.ndarray]:
-    """Nodes that each fingerprint is sent to: (index of the fingerprint, node). A node is a block's number and its value."""
-    index, node = [], []
-    for b, (shift, width, errors) in enumerate(blocks):
-        own = (f0 >> np.uint64(shift)) & np.uint64((1 << width) - 1)
-        masks = _flips(width, -(-errors // 2))
-        at = own[:, None] ^ masks[None, :]
-        there = np.ones(at.shape, dtype=bool)
-        if errors % 2:  # of an odd number, only the partner that has more 0s there flips the greater half, and only 0s
-            last = np.bitwise_count(masks) > errors // 2
-            there[:, last] = (own[:, None] & masks[None, last]) == 0
-        rows, _ = np.nonzero(there)
-        index.append(rows)
-        node.append(np.uint64(b << 34) + at[there])
-    return np.concatenate(index), np.concatenate(node).astype(np.int64)
+def _masks(depth: int, errors: int) -> np.ndarray:
+    """Sets of bits that a fingerprint's path to a node may differ in: half of what a pair may."""
+    return np.array([sum(1 << i for i in c) for k in range(-(-errors // 2) + 1) for c in combinations(range(depth), k)], dtype=np.uint64)
+
+
+def _low_bit(x: np.ndarray) -> np.ndarray:
+    return x & (~x + np.uint64(1))
 
 
-def trie_pairs(node: np.ndarray, f0: np.ndarray, runs: np.ndarray, budget: int, budget_runs: int, forest: list[np.ndarray] | None = None, short: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of indices of near fingerprints within the same node. ``node`` is sorted; within a node, f0 is.
+def node_rows(f0: np.ndarray, ways: list[Rotation], depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Nodes of a depth that each fingerprint is sent to: (index of the fingerprint, place).
 
-    Nodes of the trie are ranges of the sorted rows. All node pairs of a depth are advanced together. With a ``forest``, whose first
-    item holds the root of each row and is kept up by the caller, pairs of leaves that already lie in one tree are skipped.
-    ``short`` tells which rows' texts are very short.
+    The paths of a near pair differ in k <= errors bits there. It meets at the node between: one of them turns the lower half of these
+    bits, the other the rest, such that the lowest is 0 there. So each pair meets in one node of a rotation. A place holds rotation, node, and which bits were turned.
     """
-    size = len(node)
-    starts = np.flatnonzero(np.r_[True, node[1:] != node[:-1]])
-    ends = np.r_[starts[1:], size]
-    many = ends - starts > 1
-    a0, a1 = starts[many].astype(np.int64), ends[many].astype(np.int64)
-    b0, b1, error = a0.copy(), a1.copy(), np.zeros(len(a0), dtype=np.int16)
-    for bit in range(63, -2, -1):
+    index, place = [], []
+    for r, way in enumerate(ways):
+        own = _read(f0, way.start) >> np.uint64(64 - depth)
+        masks = _masks(depth, way.errors)
+        at = own[:, None] ^ masks[None, :]
+        there = np.ones(at.shape, dtype=bool)
+        if way.errors % 2:  # only the one that turns the lower half turns the greater one
+            most = np.bitwise_count(masks) > way.errors // 2
+            there[:, most] = (own[:, None] & _low_bit(masks[most])[None, :]) != 0
+        rows, kind = np.nonzero(there)
+        index.append(rows)
+        place.append(np.uint64(r << 48) | at[rows, kind] << np.uint64(16) | kind.astype(np.uint64))
+    return np.concatenate(index), np.concatenate(place).astype(np.int64)
+
+
+def _meetings(depth: int, errors: int) -> tuple[np.ndarray, ...]:
+    """Pairs of kinds that meet in a node: turned bits of the first and of the second, errors between them, and the bit that must be 0 in the node."""
+    masks = _masks(depth, errors)
+    first, second, k, low = [], [], [], []
+    for i, x in enumerate(masks.tolist()):
+        for j, y in enumerate(masks.tolist()):
+            bits = x | y
+            n = bits.bit_count()
+            if x & y or n > errors or x.bit_count() != -(-n // 2) or (x and y and x.bit_length() > (y & -y).bit_length()):
+                continue
+            first.append(i)
+            second.append(j)
+            k.append(n)
+            low.append(bits & -bits)
+    return tuple(np.array(x, dtype=np.int64) for x in (first, second, k, low))
+
+
+def _roots(place: np.ndarray, ways: list[Rotation], depth: int) -> tuple[np.ndarray, ...]:
+    """Pairs of ranges of the sorted rows that start the descent: (a0, a1, b0, b1, error, rotation)."""
+    starts = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
+    ends = np.r_[starts[1:], len(place)]
+    has = place[starts]
+    nodes = np.unique(has >> 16)
+    out = []
+    for r, way in enumerate(ways):
+        mine = nodes[nodes >> 32 == r]
+        first, second, k, low = _meetings(depth, way.errors)
+        node, at = (x.ravel() for x in np.meshgrid(mine, np.arange(len(k)), indexing="ij"))
+        ok = (node & low[at]) == 0
+        node, at = node[ok], at[ok]
+        x, y = node << 16 | first[at], node << 16 | second[at]
+        i, j = (np.minimum(np.searchsorted(has, z), len(has) - 1) for z in (x, y))
+        ok = (has[i] == x) & (has[j] == y)
+        i, j, at = i[ok], j[ok], at[ok]
+        out.append((starts[i], ends[i], starts[j], ends[j], k[at], np.full(len(i), r)))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def trie_pairs(
+    place: np.ndarray, f0: np.ndarray, runs: np.ndarray, ways: list[Rotation], depth: int, budget: int, budget_runs: int, forest: list[np.ndarray] | None = None, short: np.ndarray | None = None, seen: Counter | None = None
+) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of indices of near fingerprints that meet in a node. Rows are sorted by ``place``, and by their bits in the rotation's order within.
+
+    Nodes below are ranges of the sorted rows. Pairs of nodes of a depth are advanced together: their children differ in the next bit or
+    don't, and a pair that differs in more bits than its depth allows is dropped. Where so many pairs are alive that they would take
+    memory, one half waits. With a ``forest``, whose first item holds the root of each row and is kept up by the caller, pairs of leaves that already lie in one
+    tree are skipped. ``short`` tells which rows' texts are very short. ``seen`` counts node pairs that were ``visited`` and ``pruned`` by the budget, and pairs of members that were ``compared``.
+    """
+    seen = Counter() if seen is None else seen
+    allowed = np.array([w.allowed for w in ways])
+    start = np.array([w.start for w in ways], dtype=np.uint64)[place >> 48]
+    bits = np.where(start > 0, f0 << start | f0 >> (np.uint64(64) - np.maximum(start, np.uint64(1))), f0)
+    a0, a1, b0, b1, error, way = _roots(place, ways, depth)
+    alive = (a0 != b0) | (a1 - a0 > 1)
+    todo = [(depth, *(x[alive] for x in (a0, a1, b0, b1)), error[alive].astype(np.int8), way[alive].astype(np.int8))]
+    while todo:
+        d, a0, a1, b0, b1, error, way = todo.pop()
+        seen["visited"] += len(a0)
         same = a0 == b0
-        small = ((a1 - a0) * (b1 - b0) <= LEAF_PAIRS) | (bit < 0)
+        small = ((a1 - a0) * (b1 - b0) <= LEAF_PAIRS) | (d == 64)
         if small.any():
-            yield from _leaf_pairs(a0[small], a1[small], b0[small], b1[small], same[small], f0, runs, budget, budget_runs, forest, short)
+            yield from _leaf_pairs(a0[small], a1[small], b0[small], b1[small], same[small], f0, runs, budget, budget_runs, forest, short, seen)
         go = ~small
         if not go.any():
-            return
-        a0, a1, b0, b1, error, same = a0[go], a1[go], b0[go], b1[go], error[go], same[go]
-        ones = np.r_[0, np.cumsum(((f0 >> np.uint64(bit)) & np.uint64(1)).astype(np.int64))]
+            continue
+        a0, a1, b0, b1, error, way, same = a0[go], a1[go], b0[go], b1[go], error[go], way[go], same[go]
+        if len(a0) > NODE_PAIRS:
+            half = len(a0) // 2
+            todo += [(d, *(x[k] for x in (a0, a1, b0, b1, error, way))) for k in (slice(half), slice(half, None))]
+            continue
+        ones = np.r_[0, np.cumsum(((bits >> np.uint64(63 - d)) & np.uint64(1)).astype(np.int64))]
         am = a1 - (ones[a1] - ones[a0])  # the 1s of a range come last
         bm = b1 - (ones[b1] - ones[b0])
         cross = ~same
-        a0, a1, b0, b1, error = (
+        a0, a1, b0, b1, error, way = (
             np.concatenate(x)
             for x in (
                 (a0, am, a0, am[cross]),
                 (am, a1, am, a1[cross]),
                 (b0, bm, bm, b0[cross]),
                 (bm, b1, b1, bm[cross]),
-                (error, error, error + 1, error[cross] + 1),
+                (error, error, error + np.int8(1), error[cross] + np.int8(1)),
+                (way, way, way, way[cross]),
             )
         )
-        alive = (a1 > a0) & (b1 > b0) & (error <= budget)
-        a0, a1, b0, b1, error = a0[alive], a1[alive], b0[alive], b1[alive], error[alive]
+        full = (a1 > a0) & (b1 > b0) & ((a0 != b0) | (a1 - a0 > 1))
+        within = error <= allowed[way, d + 1]
+        seen["pruned"] += int((full & ~within).sum())
+        alive = full & within
+        if alive.any():
+            todo.append((d + 1, *(x[alive] for x in (a0, a1, b0, b1, error, way))))
 
 
 def _spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -250,7 +342,7 @@ def _near(i, j, f0, runs, budget_runs, short) -> tuple[np.ndarray, np.ndarray]:
     return i[near], j[near]
 
 
-def _leaf_pairs(a0, a1, b0, b1, same, f0, runs, budget, budget_runs, forest, short) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _leaf_pairs(a0, a1, b0, b1, same, f0, runs, budget, budget_runs, forest, short, seen) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     # equal fingerprints can't be told apart by the trie: strips of a large range
     strip = np.maximum(1, CHUNK_PAIRS // (b1 - b0))
     pieces = -(-(a1 - a0) // strip)
@@ -268,6 +360,7 @@ def _leaf_pairs(a0, a1, b0, b1, same, f0, runs, budget, budget_runs, forest, sho
         first = last
         if forest:
             at = at[~_one_tree(forest[0], a0[at], a1[at], b0[at], b1[at])]
+        seen["compared"] += int(((a1[at] - a0[at]) * (b1[at] - b0[at])).sum())
         found, n = [], 0
         for p, q, r, s, own in zip(a0[at].tolist(), a1[at].tolist(), b0[at].tolist(), b1[at].tolist(), same[at].tolist(), strict=True):
             hits = np.flatnonzero(np.bitwise_count(f0[p:q, None] ^ f0[None, r:s]).ravel() <= budget)
@@ -301,52 +394,50 @@ def _joined(root: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
 
 
-def _expand(blocks: list[tuple[int, int, int]]):
+def _expand(ways: list[Rotation], depth: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for start in range(0, whole.num_rows, 5_000):
                 batch = whole.slice(start, 5_000)
                 f0 = batch.column("f0").to_numpy(zero_copy_only=False).view(np.uint64)
-                index, node = node_rows(f0, blocks)
+                index, place = node_rows(f0, ways, depth)
                 take = pa.array(index)
-                yield pa.RecordBatch.from_arrays([pa.array(node), *(batch.column(c).take(take) for c in (*PRINT, "short", "v"))], ["node", *PRINT, "short", "v"])
+                yield pa.RecordBatch.from_arrays([pa.array(place), *(batch.column(c).take(take) for c in (*PRINT, "vs"))], ["place", *PRINT, "vs"])
 
     return run
 
 
-def _join(budget: int, budget_runs: int):
+def _join(ways: list[Rotation], depth: int, budget: int, budget_runs: int):
+    starts = np.array([w.start for w in ways], dtype=np.uint64)
+
     def pairs(rows: list[np.ndarray]) -> pa.RecordBatch:
-        node, f0, *runs, short, v = rows
-        order = np.lexsort((f0.view(np.uint64), node))
-        node, f0, short, v = node[order], f0[order].view(np.uint64), short[order], v[order]
+        place, f0, *runs, vs = rows
+        f0, at = f0.view(np.uint64), starts[place >> 48]
+        order = np.lexsort((np.where(at > 0, f0 << at | f0 >> (np.uint64(64) - np.maximum(at, np.uint64(1))), f0), place))
+        place, f0, v, short = place[order], f0[order], vs[order] >> 1, (vs[order] & 1).astype(bool)
         runs = np.stack([x[order].view(np.uint64) for x in runs], axis=1)
-        root = np.arange(len(v))
-        same = np.flatnonzero(np.r_[False, np.diff(np.sort(v)) == 0])
-        if len(same):  # rows of one fingerprint, in different nodes
-            _, inverse = np.unique(v, return_inverse=True)
-            first = np.full(inverse.max() + 1, len(v))
-            np.minimum.at(first, inverse, np.arange(len(v)))
-            root = first[inverse]
-        forest = [root]
-        for i, j in trie_pairs(node, f0, runs, budget, budget_runs, forest, short):
+        # rows of one fingerprint, in different nodes, are one tree
+        _, inverse = np.unique(v, return_inverse=True)
+        first = np.full(inverse.max() + 1, len(v))
+        np.minimum.at(first, inverse, np.arange(len(v)))
+        forest = [first[inverse]]
+        for i, j in trie_pairs(place, f0, runs, ways, depth, budget, budget_runs, forest, short):
             forest[0] = _joined(forest[0], i, j)
-        root = forest[0]
-        both = np.stack([v[root], v], axis=1)
+        both = np.stack([v[forest[0]], v], axis=1)
         both = np.unique(both[both[:, 0] != both[:, 1]], axis=0)
         return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []
         n = 0
-        for batch in batches:  # sorted by node; whole nodes are joined
-            held.append([batch.column(c).to_numpy(zero_copy_only=False) for c in ("node", *PRINT, "short", "v")])
+        for batch in batches:  # sorted by place; whole nodes are joined
+            held.append([batch.column(c).to_numpy(zero_copy_only=False) for c in ("place", *PRINT, "vs")])
             n += batch.num_rows
-            if n < CHUNK_ROWS:
+            if n < CHUNK_ROWS or held[0][0][0] >> 16 == held[-1][0][-1] >> 16:
                 continue
             rows = [np.concatenate(x) for x in zip(*held, strict=True)]
-            end = int(np.searchsorted(rows[0], rows[0][-1]))  # the last node may go on
-            if end:
-                yield pairs([x[:end] for x in rows])
+            end = int(np.searchsorted(rows[0], rows[0][-1] >> 16 << 16))  # the last node may go on
+            yield pairs([x[:end] for x in rows])
             held = [[x[end:] for x in rows]]
             n = len(held[0][0])
         if n:
@@ -355,15 +446,38 @@ def _join(budget: int, budget_runs: int):
     return run
 
 
+def plan_depth(prints: DataFrame, n: int, ways: list[Rotation], node_rows: int = NODE_ROWS) -> int:
+    """Depth at which the trie is cut into tasks: the least, from MIN_DEPTH on, at which no node is sent more than ``node_rows`` fingerprints, if it isn't beyond COUNT_DEPTH; else the first block's width."""
+    most = min(w.width for w in ways)
+    depth = min(MIN_DEPTH, most)
+    if n <= node_rows:  # no node can have more
+        return depth
+    deep = min(COUNT_DEPTH, most)
+    prefix = [F.struct(F.lit(r).alias("r"), F.shiftrightunsigned(F.shiftleft("f0", w.start).bitwiseOR(F.shiftrightunsigned("f0", 64 - w.start) if w.start else F.lit(0).cast("bigint")), 64 - deep).alias("node")) for r, w in enumerate(ways)]
+    # a row for each node at most: len(ways) * 2**COUNT_DEPTH
+    counts = np.zeros((len(ways), 1 << deep), dtype=np.int64)
+    for row in prints.select(F.explode(F.array(*prefix)).alias("p")).groupBy("p.r", "p.node").count().collect():
+        counts[row["r"], row["node"]] = row["count"]
+    while depth <= deep:
+        at = counts.reshape(len(ways), 1 << depth, -1).sum(2)
+        node = np.arange(1 << depth)
+        if max(int(sum(at[r][node ^ int(x)] for x in _masks(depth, w.errors)).max()) for r, w in enumerate(ways)) <= node_rows:
+            return depth
+        depth += 1
+    return most
+
+
 def near_edges(prints: DataFrame, budget: int = BUDGET, budget_runs: int = BUDGET_RUNS) -> DataFrame:
     """Edges (a, b) between ``v`` of distinct rows (v, f0 .. f3, short), with the same connected components as all near pairs.
 
     A task passes on one edge for each fingerprint that a near pair of its nodes joins to another, and doesn't compare what
     it has joined before, so that a group of thousands of near copies costs thousands of rows, not millions.
     """
-    blocks = plan_blocks(prints.count(), budget)
-    rows = prints.select(*PRINT, "short", "v").mapInArrow(_expand(blocks), f"node bigint, {PRINT_SCHEMA}, short boolean, v bigint")
-    return rows.repartition("node").sortWithinPartitions("node").mapInArrow(_join(budget, budget_runs), "a bigint, b bigint").distinct()
+    n = prints.count()
+    ways = rotations(n, budget)
+    depth = plan_depth(prints, n, ways)
+    rows = prints.select(*PRINT, (F.col("v") * 2 + F.col("short").cast("bigint")).alias("vs")).mapInArrow(_expand(ways, depth), f"place bigint, {PRINT_SCHEMA}, vs bigint")
+    return rows.repartition(F.shiftright("place", 16)).sortWithinPartitions("place").mapInArrow(_join(ways, depth, budget, budget_runs), "a bigint, b bigint").distinct()
 
 
 # --- groups ---------------------------------------------------------------------------------------------------
