@@ -5,9 +5,9 @@ A document is its sequence of lines. A line's score of being content is linear i
 rights, whether it repeats an earlier line); a chain of two labels with transition scores joins the lines. Viterbi decoding gives
 the best labels, and a document stays if content lines hold enough of its characters.
 
-No line is labelled by hand. The field is fitted on the lines of a bounded sample of documents, labelled by seeds: notices
-of rights, tables, lines of signs or capitals, of one word over and over, and lines that a document says again. The
-field weighs these signs against each other and carries them over to neighbouring lines. That other documents share a line says
+No line is labelled by hand. The field learns from documents whose quality is known: the lines of bad ones count as boilerplate, those of
+good ones as content, notices of rights aside. What makes a line boilerplate is thus found in the labels, not in a list of
+rules; the field weighs the signs against each other and carries them over to neighbouring lines. That other documents share a line says
 nothing here: copies of a good document share all of theirs.
 """
 
@@ -22,15 +22,16 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import by_bytes, documents, order_key
+from .common import by_bytes, documents, first_labelled, labelled_texts
 
-#: Bound of the sample that the field is fitted on: documents.
+#: Bound of the labelled sample that the field is fitted on: documents.
 TRAIN_DOCS = 1500
 MIN_CONTENT_SHARE = 0.5
 L2 = 1e-3
 ROUNDS = 200
 NOTICE = r"(?i)licen[sc]ed? under|all rights reserved|copyright|\(c\) ?\d{4}|terms of (use|service)|privacy policy|cookies?\b|subscribe|sign up|log ?in\b|click here|MIT License|General Public License|derechos reservados|droits r.serv.s|alle rechte vorbehalten"
-FEATURES = 21
+FEATURES = 25
+NOTICE_FEATURE = 16
 
 
 @dataclass(frozen=True)
@@ -59,20 +60,15 @@ def features(edges: np.ndarray, lines: pa.Array) -> np.ndarray:
 
     size = ints(pc.binary_length(lines)).astype(np.int64)
     raw = np.frombuffer(pc.binary_join(pa.ListArray.from_arrays([0, n], lines), "")[0].as_buffer(), dtype=np.uint8) if size.sum() else np.zeros(0, np.uint8)
-    at = np.r_[0, np.cumsum(size)]
-
-    def share(mark: np.ndarray) -> np.ndarray:
-        c = np.r_[0, np.cumsum(mark[raw], dtype=np.int64)]
-        return (c[at[1:]] - c[at[:-1]]) / np.maximum(size, 1)
-
     code = np.arange(256)
     lower = ((code >= 97) & (code <= 122)) | (code >= 128)
     upper = (code >= 65) & (code <= 90)
     digit = (code >= 48) & (code <= 57)
     space = (code == 32) | ((code >= 9) & (code <= 13))
     plain = np.isin(code, [ord(x) for x in ".,;:'-?()\""])
-    sign = ~(lower | upper | digit | space | plain)
-    sl, su, sd, ss, sp, sw = (share(x.astype(np.int8)) for x in (lower, upper, digit, sign, plain, space))
+    kind = np.select([lower, upper, digit, plain, space], [0, 1, 2, 4, 5], 3)  # 3: other signs
+    counts = np.bincount(np.repeat(6 * np.arange(n), size) + kind[raw], minlength=6 * n).reshape(n, 6)
+    sl, su, sd, ss, sp, sw = (counts / np.maximum(size, 1)[:, None]).T
     notice = ints(pc.match_substring_regex(lines, NOTICE)) > 0
     ends = ints(pc.match_substring_regex(lines, r"[.!?]\s*$")) > 0
     bars = ints(pc.match_substring_regex(lines, r"\|.*\||\t.*\t")) > 0
@@ -82,7 +78,10 @@ def features(edges: np.ndarray, lines: pa.Array) -> np.ndarray:
     where = pc.list_parent_indices(lists).to_numpy(zero_copy_only=False).astype(np.int64)
     ids = word.indices.to_numpy(zero_copy_only=False).astype(np.int64)
     n_words = np.bincount(where[ids >= 0], minlength=n)
-    distinct = np.bincount(np.unique(where * max(len(word.dictionary), 1) + ids) // max(len(word.dictionary), 1), minlength=n)
+    key = np.sort(where * max(len(word.dictionary), 1) + ids)
+    distinct = np.bincount(key[np.r_[True, key[1:] != key[:-1]]] // max(len(word.dictionary), 1), minlength=n) if len(key) else np.zeros(n)
+    follows = np.flatnonzero((ids[1:] == ids[:-1]) & (where[1:] == where[:-1]) & (ids[1:] >= 0)) + 1
+    stutter = np.bincount(where[follows], minlength=n) / np.maximum(n_words, 1)  # words that say the one before again
     words = lines.dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)
     owner = np.repeat(np.arange(len(edges) - 1), np.diff(edges))
     _, first = np.unique(owner * (words.max() + 1) + words, return_index=True)
@@ -92,6 +91,7 @@ def features(edges: np.ndarray, lines: pa.Array) -> np.ndarray:
         np.ones(n), size == 0, (size > 0) & (size < 20), (size >= 20) & (size < 60), (size >= 60) & (size < 200), size >= 200,
         sl > 0.6, su > 0.2, su > 0.5, sd > 0.1, sd > 0.3, ss > 0.02, ss > 0.1, ss > 0.2, sp > 0.2, sw > 0.3,
         notice, ends & (size > 0), bars | link, again, (n_words >= 8) & (distinct <= np.maximum(2, 0.1 * n_words)),
+        stutter > 0.1, stutter > 0.4, (n_words >= 8) & (distinct <= 0.6 * n_words), (n_words >= 8) & (distinct <= 0.3 * n_words),
     ]
     return np.stack(columns, axis=1).astype(np.float32)
 
@@ -173,15 +173,14 @@ def fit_labelled(edges: np.ndarray, x: np.ndarray, y: np.ndarray, rounds: int =
     return LineField(w[:-6], w[-6:-2].reshape(2, 2), w[-2:])
 
 
-def fit(texts: Sequence[str]) -> LineField:
-    texts = sorted(set(texts))
+def fit(texts: Sequence[str], good: Sequence[int]) -> LineField:
+    """Fits on documents whose quality is known: lines of bad ones are boilerplate, those of good ones content, except notices of rights, which stand in either."""
     edges, lines = lines_of(pa.array(texts, pa.string()))
     x = features(edges, lines)
     if not len(x):
-        return LineField(np.zeros(FEATURES), np.zeros((2, 2)), np.zeros(2))
-    # signs, capitals, notice, table or link, said again, one word over and over
-    seeds = x[:, [13, 8, 16, 18, 19, 20]].any(axis=1)
-    return fit_labelled(edges, x.astype(np.float64), (~seeds).astype(np.int64))
+        return LineField(np.eye(FEATURES)[0], np.zeros((2, 2)), np.zeros(2))
+    content = np.repeat(np.asarray(good, dtype=bool), np.diff(edges)) & (x[:, NOTICE_FEATURE] == 0)
+    return fit_labelled(edges, x.astype(np.float64), content.astype(np.int64))
 
 
 def label_texts(texts: pa.Array, field: LineField) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -191,12 +190,10 @@ def label_texts(texts: pa.Array, field: LineField) -> tuple[np.ndarray, np.ndarr
     return edges, viterbi(edges, x @ field.emit, field), pc.utf8_length(lines).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
-def train(docs: DataFrame, n_docs: int = TRAIN_DOCS, id_col: str = "doc_id", text_col: str = "text") -> LineField:
-    """Fits on ``n_docs`` documents at most, the first in a hashed order. Null texts aren't used."""
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null")
-    chosen = rows.select("id").where("id is not null").distinct().orderBy(order_key("lines", "id"), "id").limit(n_docs)
-    # n_docs numbers at most
-    return fit([r["text"] for r in rows.join(F.broadcast(chosen), "id").groupBy("id").agg(F.min("text").alias("text")).collect()])
+def train(docs: DataFrame, labels: DataFrame, n_docs: int = TRAIN_DOCS, id_col: str = "doc_id", text_col: str = "text") -> LineField:
+    """Fits on ``n_docs`` labelled documents at most, the first in a hashed order. Rows with a null label, id or text aren't used; without any that are, all lines are content."""
+    known = labels.where("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    return fit(*labelled_texts(docs, first_labelled(known, "quality", "lines", n_docs), "quality", id_col, text_col))
 
 
 def line_quality(docs: DataFrame, field: LineField, min_content_share: float = MIN_CONTENT_SHARE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -221,4 +218,4 @@ def line_quality(docs: DataFrame, field: LineField, min_content_share: float = M
 
 def op10_line_labelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    return line_quality(docs, train(docs))
+    return line_quality(docs, train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
