@@ -11,17 +11,16 @@ from it on grade 2.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import by_bytes, documents, order_key
+from .common import by_bytes, documents, first_labelled, hash_words, labelled_texts
 
 #: Bound of the labelled sample that the model is fitted on: documents of either label.
 TRAIN_PER_LABEL = 1200
@@ -41,70 +40,69 @@ class OrdinalModel:
     thresholds: tuple[float, ...]
 
 
-def _tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
+def _tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     """Text and word number of each word, and the words."""
     lists = pc.split_pattern_regex(pc.fill_null(pc.utf8_lower(texts), ""), NOT_WORD)
     words = lists.flatten().dictionary_encode()
-    return pc.list_parent_indices(lists).to_numpy(zero_copy_only=False).astype(np.int64), words.indices.to_numpy(zero_copy_only=False).astype(np.int64), words.dictionary.to_pylist()
+    return pc.list_parent_indices(lists).to_numpy(zero_copy_only=False).astype(np.int64), words.indices.to_numpy(zero_copy_only=False).astype(np.int64), words.dictionary
 
 
-def features_of(word: str) -> list[str]:
-    """The word and its beginnings, which inflected forms share."""
-    return [word, *(word[:k] + "-" for k in BEGINNINGS if len(word) > k)] if word else []
+def features_of(words: pa.Array) -> list[pa.Array]:
+    """Each word, and its beginnings of some lengths with a dash, which inflected forms share; null for empty words and those that aren't longer."""
+    length = pc.utf8_length(words)
+    null = pa.scalar(None, pa.string())
+    out = [pc.if_else(pc.greater(length, 0), words, null)]
+    for k in BEGINNINGS:
+        out.append(pc.if_else(pc.greater(length, k), pc.binary_join_element_wise(pc.utf8_slice_codeunits(words, 0, k), "-", ""), null))
+    return out
 
 
-def _feature_table(vocabulary: list[str], keep: dict[str, float] | None = None) -> tuple[np.ndarray, np.ndarray, list[str]]:
-    """(word, feature) numbers of the features of all words, or of those in ``keep``, and the features."""
-    numbers: dict[str, int] = {}
-    word, feature = [], []
-    for i, w in enumerate(vocabulary):
-        for f in features_of(w):
-            if keep is None or f in keep:
-                word.append(i)
-                feature.append(numbers.setdefault(f, len(numbers)))
-    return np.array(word, dtype=np.int64), np.array(feature, dtype=np.int64), list(numbers)
+def _distinct(keys: np.ndarray) -> np.ndarray:
+    keys = np.sort(keys)
+    return keys[np.r_[True, keys[1:] != keys[:-1]]] if len(keys) else keys
 
 
-def _document_features(owner: np.ndarray, ids: np.ndarray, size: int, word: np.ndarray, feature: np.ndarray, n_features: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct (text, feature) pairs. ``word`` is sorted."""
-    first = np.searchsorted(word, np.arange(size + 1))
-    has = (first[1:] > first[:-1])[ids] if len(ids) else np.zeros(0, dtype=bool)
-    key = np.unique(owner[has] * size + ids[has])
-    doc, w = key // size, key % size
-    n = first[w + 1] - first[w]
-    at = np.repeat(first[w], n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-    pair = np.unique(np.repeat(doc, n) * n_features + feature[at]) if len(at) else np.zeros(0, np.int64)
-    return pair // max(n_features, 1), pair % max(n_features, 1)
+def _pairs(owner: np.ndarray, ids: np.ndarray, numbers: list[np.ndarray], n_features: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct (text, feature) pairs. ``numbers`` hold the feature's number of each word, for each kind of feature; -1 for none."""
+    keys = []
+    for number in numbers:
+        f = number[ids]
+        has = f >= 0
+        keys.append(owner[has] * n_features + f[has])
+    key = _distinct(np.concatenate(keys))
+    return key // max(n_features, 1), key % max(n_features, 1)
 
 
 def _training_features(texts: list[str], min_docs: int, at_once: int = 300) -> tuple[np.ndarray, np.ndarray, list[str], np.ndarray]:
-    """Distinct (text, feature) pairs, the features and each text's number of words, of features that may be in ``min_docs`` texts.
+    """Distinct (text, feature) pairs, the features and each text's number of words, of features that ``min_docs`` texts have.
 
-    The texts are read twice, some at a time: first hashed features are counted, then those that can be frequent are named. Most
-    features are rare, so that this holds a small part of them.
+    The texts are read some at a time; features go by 64 bits until the rare ones, which are most, have been left out.
     """
-    size = 1 << 22
-    counts = np.zeros(size, dtype=np.int32)
-    numbers: dict[str, int] = {}
-    docs, found, n_words = [], [], np.zeros(len(texts), dtype=np.int64)
-    for counting in (True, False):
-        for start in range(0, len(texts), at_once):
-            owner, ids, vocabulary = _tokens(pa.array(texts[start : start + at_once], pa.string()))
-            word, feature = [], []
-            for i, w in enumerate(vocabulary):
-                for f in features_of(w):
-                    h = zlib.crc32(f.encode()) % size
-                    if counting or counts[h] >= min_docs:
-                        word.append(i)
-                        feature.append(h if counting else numbers.setdefault(f, len(numbers)))
-            doc, f = _document_features(owner, ids, len(vocabulary), np.array(word, dtype=np.int64), np.array(feature, dtype=np.int64), size)
-            if counting:
-                np.add.at(counts, f, 1)
-                np.add.at(n_words, owner + start, 1)
-            else:
-                docs.append((doc + start).astype(np.int32))
-                found.append(f.astype(np.int32))
-    return np.concatenate(docs), np.concatenate(found), list(numbers), n_words
+    docs, found, vocabularies, n_words = [], [], [], np.zeros(len(texts), dtype=np.int64)
+    for start in range(0, len(texts), at_once):
+        owner, ids, words = _tokens(pa.array(texts[start : start + at_once], pa.string()))
+        np.add.at(n_words, owner + start, 1)
+        names = pa.concat_arrays(features_of(words)).dictionary_encode()
+        numbers = names.indices.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64).reshape(-1, len(words))
+        doc, feature = _pairs(owner, ids, list(numbers), len(names.dictionary))
+        hashes, _ = hash_words(names.dictionary)
+        docs.append((doc + start).astype(np.int32))
+        found.append(hashes[feature])
+        vocabularies.append((hashes, names.dictionary))
+    if not docs:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), [], n_words
+    kinds, index, counts = np.unique(np.concatenate(found), return_inverse=True, return_counts=True)
+    often = np.flatnonzero(counts >= min_docs)
+    number = np.full(len(kinds), -1)
+    number[often] = np.arange(len(often))
+    name = {}
+    for hashes, dictionary in vocabularies:
+        at = np.minimum(np.searchsorted(kinds, hashes), len(kinds) - 1)
+        mine = np.flatnonzero((kinds[at] == hashes) & (number[at] >= 0))
+        name.update(zip(number[at[mine]].tolist(), dictionary.take(pa.array(mine)).to_pylist(), strict=True))
+    doc, feature = np.concatenate(docs).astype(np.int64), number[index]
+    kept = feature >= 0
+    return doc[kept], feature[kept], [name[i] for i in range(len(often))], n_words
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -118,11 +116,6 @@ def fit(texts: list[str], toxic: list[int], grades: int = GRADES, l1: float = L1
     if n == 0 or toxic.min() == toxic.max():
         return OrdinalModel({}, tuple(float(12 + g) for g in range(grades - 1)))
     doc, word, names, n_words = _training_features(texts, min_docs)
-    often = np.bincount(word, minlength=len(names)) >= min_docs
-    doc, word = doc[often[word]], word[often[word]]
-    number = np.full(len(names), -1)
-    number[np.flatnonzero(often)] = np.arange(int(often.sum()))
-    word, names = number[word], [w for w, keep in zip(names, often, strict=True) if keep]
     m = len(names)
 
     hit = np.bincount(word, weights=toxic[doc], minlength=m)
@@ -175,10 +168,11 @@ def fit(texts: list[str], toxic: list[int], grades: int = GRADES, l1: float = L1
 
 def score(texts: pa.Array, model: OrdinalModel) -> tuple[np.ndarray, np.ndarray]:
     """Expected severity and P(grade > 0)."""
-    owner, ids, vocabulary = _tokens(texts)
-    of_word, of_feature, names = _feature_table(vocabulary, model.weights)
-    doc, feature = _document_features(owner, ids, len(vocabulary), of_word, of_feature, len(names))
-    s = np.bincount(doc, weights=np.array([model.weights[f] for f in names])[feature] if names else None, minlength=len(texts))
+    owner, ids, words = _tokens(texts)
+    names = pa.array(list(model.weights), pa.string())
+    numbers = [pc.index_in(f, value_set=names, skip_nulls=True).fill_null(-1).to_numpy(zero_copy_only=False) for f in features_of(words)]
+    doc, feature = _pairs(owner, ids, numbers, len(names))
+    s = np.bincount(doc, weights=np.array(list(model.weights.values()), dtype=float)[feature], minlength=len(texts))
     p = _sigmoid(s[:, None] - np.array(model.thresholds)[None, :])
     return p.sum(1), p[:, 0]
 
@@ -186,12 +180,7 @@ def score(texts: pa.Array, model: OrdinalModel) -> tuple[np.ndarray, np.ndarray]
 def train(docs: DataFrame, labels: DataFrame, per_label: int = TRAIN_PER_LABEL, id_col: str = "doc_id", text_col: str = "text") -> OrdinalModel:
     """Fits on at most ``per_label`` documents of each label, the first in a hashed order. Rows with a null label, id or text aren't used."""
     known = labels.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    first = Window.partitionBy("toxic").orderBy(order_key("toxicity", "doc_id"))
-    chosen = known.withColumn("place", F.row_number().over(first)).where(F.col("place") <= per_label).select(F.col("doc_id").alias("chosen_id"), "toxic")
-    # at most 2 * per_label rows of two numbers, and of an id and its text
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null").join(F.broadcast(chosen), F.col("id") == F.col("chosen_id")).groupBy("id", "toxic").agg(F.min("text").alias("text")).collect()
-    rows.sort(key=lambda r: (r["id"], r["text"]))
-    return fit([r["text"] for r in rows], [r["toxic"] for r in rows])
+    return fit(*labelled_texts(docs, first_labelled(known, "toxic", "toxicity", per_label, (0, 1)), "toxic", id_col, text_col))
 
 
 def _scored(texts: DataFrame, model: OrdinalModel) -> DataFrame:
