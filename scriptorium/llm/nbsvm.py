@@ -13,15 +13,17 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import by_bytes, documents, order_key
+from .common import by_bytes, documents, first_labelled, labelled_texts
 from .linear import hinge_dual
 
 #: Bound of the labelled sample that the model is fitted on: documents of either label.
 TRAIN_PER_LABEL = 1500
 BITS = 18
+#: Bytes of a text that are read at a time.
+PIECE = 1 << 20
 NGRAMS = (2, 3)
 ALPHA = 1.0
 C = 1.0
@@ -36,7 +38,16 @@ class QualityModel:
 
 
 def ngram_set(data: np.ndarray, place: np.ndarray) -> np.ndarray:
-    """Distinct hashed n-grams of the bytes of one text, in the order of their last occurrence. ``place`` is scratch of 2**BITS integers."""
+    """Distinct hashed n-grams of the bytes of one text, in ascending order. ``place`` is scratch of 2**BITS integers. A long text is read in pieces that overlap by an n-gram less a byte."""
+    if len(data) <= PIECE:
+        return np.sort(_ngrams(data, place))
+    seen = np.zeros(1 << BITS, dtype=bool)
+    for start in range(0, len(data) - max(NGRAMS) + 1, PIECE):
+        seen[_ngrams(data[start : start + PIECE + max(NGRAMS) - 1], place)] = True
+    return np.flatnonzero(seen).astype(np.uint32)
+
+
+def _ngrams(data: np.ndarray, place: np.ndarray) -> np.ndarray:
     x = data.astype(np.uint32)
     parts = []
     for n in NGRAMS:
@@ -60,7 +71,9 @@ def _scratch() -> np.ndarray:
 
 
 def fit(texts: Sequence[str], good: Sequence[int]) -> QualityModel:
-    good = np.asarray(good, dtype=bool)
+    """Texts of fewer than two bytes have no n-gram and teach nothing; if only one label is left, the model calls all texts that, and bad if none is."""
+    long = [len(t.encode()) >= min(NGRAMS) for t in texts]
+    texts, good = [t for t, k in zip(texts, long, strict=True) if k], np.asarray(good, dtype=bool)[np.array(long, dtype=bool)]
     place = _scratch()
     sets = [ngram_set(np.frombuffer(t.encode(), dtype=np.uint8), place).astype(np.int64) for t in texts]
     if good.all() or not good.any():
@@ -76,7 +89,7 @@ def fit(texts: Sequence[str], good: Sequence[int]) -> QualityModel:
         rows.append((np.r_[s, 1 << BITS], np.r_[x / max(np.sqrt(x @ x), 1e-9), 0.3]))
     w = hinge_dual(rows, np.where(good, 1.0, -1.0), (1 << BITS) + 1, C)
     bias, w = 0.3 * w[-1], w[:-1]
-    mean = np.abs(w[seen]).mean()
+    mean = np.abs(w[seen]).mean() if seen.any() else 0.0
     w = np.where(seen, (1 - BETA) * mean + BETA * w, 0.0)
     # the bias that separates the training scores best after the weights have moved
     scores = np.array([float((w[s] * ratio[s]).sum() / max(np.sqrt((ratio[s] ** 2).sum()), 1e-9)) for s in sets])
@@ -102,12 +115,7 @@ def score(texts: pa.Array, model: QualityModel, place: np.ndarray | None = None)
 def train(docs: DataFrame, labels: DataFrame, per_label: int = TRAIN_PER_LABEL, id_col: str = "doc_id", text_col: str = "text") -> QualityModel:
     """Fits on at most ``per_label`` documents of each label, the first in a hashed order. Rows with a null label, id or text aren't used."""
     known = labels.where("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    place = F.row_number().over(Window.partitionBy("quality").orderBy(order_key("quality", "doc_id")))
-    chosen = known.withColumn("place", place).where(F.col("place") <= per_label).select(F.col("doc_id").alias("chosen_id"), "quality")
-    # at most 2 * per_label rows of two numbers, and of an id and its text
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null").join(F.broadcast(chosen), F.col("id") == F.col("chosen_id")).groupBy("id", "quality").agg(F.min("text").alias("text")).collect()
-    rows.sort(key=lambda r: (r["id"], r["text"]))
-    return fit([r["text"] for r in rows], [r["quality"] for r in rows])
+    return fit(*labelled_texts(docs, first_labelled(known, "quality", "quality", per_label, (0, 1)), "quality", id_col, text_col))
 
 
 def quality(docs: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
