@@ -24,6 +24,8 @@ FAMILIES: dict[str, tuple[str, ...]] = {"germanic": ("en", "de"), "romance": ("f
 #: Bound of the labelled sample that the machines are fitted on: documents of each language.
 TRAIN_PER_LANGUAGE = 300
 BITS = 16
+#: Bytes whose weights are held at a time.
+PIECE = 1 << 20
 C = 10.0
 #: Frequencies of trigrams are multiplied by this before fitting.
 SCALE = 20.0
@@ -61,11 +63,20 @@ def margins(texts: pa.Array, model: LanguageModel) -> tuple[np.ndarray, np.ndarr
     raw, edges = _bytes(texts)
     n = np.maximum(edges[1:] - edges[:-1] - 2, 0)
     out = np.zeros((len(n), len(model.bias)), dtype=np.float64)
-    if n.sum():
-        w = np.concatenate([model.weights[trigrams(raw)], np.zeros((3, len(model.bias)), np.float32)])
-        has = np.flatnonzero(n)
-        at = np.stack([edges[has], edges[has] + n[has]], axis=1).ravel()
-        out[has] = np.add.reduceat(w, at, axis=0, dtype=np.float64)[::2] / n[has, None]
+    # texts, or pieces of a long one, up to PIECE bytes at a time
+    pieces = -(-n // PIECE)
+    of = np.repeat(np.arange(len(n)), pieces)
+    start = edges[of] + PIECE * (np.arange(len(of)) - np.repeat(np.cumsum(pieces) - pieces, pieces))
+    stop = np.minimum(start + PIECE, edges[of] + n[of])
+    first = 0
+    while first < len(of):
+        last = max(first + 1, int(np.searchsorted(stop, start[first] + PIECE, side="right")))
+        base = start[first]
+        w = np.concatenate([model.weights[trigrams(raw[base : stop[last - 1] + 2])], np.zeros((1, len(model.bias)), np.float32)])
+        at = np.stack([start[first:last], stop[first:last]], axis=1).ravel() - base
+        np.add.at(out, of[first:last], np.add.reduceat(w, at, axis=0, dtype=np.float64)[::2])
+        first = last
+    out /= np.maximum(n, 1)[:, None]
     return SCALE * out + model.bias, n > 0
 
 
@@ -87,7 +98,9 @@ def decide(margin: np.ndarray, model: LanguageModel) -> tuple[np.ndarray, list[n
 
 
 def predict(texts: pa.Array, model: LanguageModel) -> tuple[list[str | None], list[str | None]]:
-    """Family and language of each text; None without a trigram."""
+    """Family and language of each text; None without a trigram, and of all texts by a model that was fitted on none."""
+    if not model.families:
+        return [None] * len(texts), [None] * len(texts)
     margin, known = margins(texts, model)
     family, within = decide(margin, model)
     return (
@@ -125,7 +138,7 @@ def fit(texts: Sequence[str], languages: Sequence[str], families: Mapping[str, S
 
 
 def train(docs: DataFrame, per_language: int = TRAIN_PER_LANGUAGE, families: Mapping[str, Sequence[str]] = FAMILIES, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LanguageModel:
-    """Fits on at most ``per_language`` documents of each labelled language, the first in a hashed order. Rows with a null id, text or language, or a text below three bytes, aren't used."""
+    """Fits on at most ``per_language`` documents of each labelled language, the first in a hashed order. Rows with a null id, text or language, or a text below three bytes, aren't used. Without any that are, the model knows no language, and :func:`identify` gives nulls."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where("id is not null and lang is not null and length(text) >= 3")
     place = F.row_number().over(Window.partitionBy("lang").orderBy(order_key("language", "id"), "id"))
     chosen = rows.select("id", "lang").distinct().withColumn("place", place).where(F.col("place") <= per_language).select("id", "lang")
