@@ -43,7 +43,7 @@ def models(spark, sf_dir):
     d = spark.read.parquet(f"{sf_dir}/documents.parquet")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     large = [spark.read.parquet(f"/root/testdata/sf0.1/{x}.parquet") for x in ("documents", "labels")]
-    return {"toxic": ordinal.train(*large), "lang": langid.train(d), "quality": nbsvm.train(d, labels), "lines": linecrf.train(d)}
+    return {"toxic": ordinal.train(*large), "lang": langid.train(d), "quality": nbsvm.train(d, labels), "lines": linecrf.train(d, labels)}
 
 
 OPERATORS = {
@@ -118,6 +118,34 @@ def test_stage_on_odd_rows(k, spark, docs, empty, sf_dir):
     assert stage(spark, empty, sf_dir).count() == 0
 
 
+def ids(df):
+    return sorted((r.doc_id for r in df.select("doc_id").collect()), key=lambda i: (i is None, i or 0))
+
+
+def test_stages_keep_the_rows_that_they_say(spark, docs, sf_dir):
+    import duckdb
+
+    stage = dict(corpus_pipeline.STAGES)
+    assert ids(stage["exact_dedup"](spark, docs, sf_dir)) == [1, 4, 5, 7, 8, 10, 11, None]
+    assert ids(stage["simhash_near_dedup"](spark, docs, sf_dir)) == [1, 4, 5, 6, 7, 8, 10, 11, None]
+    for kept in (stage["exact_dedup"](spark, docs, sf_dir), stage["simhash_near_dedup"](spark, docs, sf_dir)):
+        assert {tuple(r)[5:] for r in kept.collect()} == {("x",) * len(CLASHING)}  # clashing columns pass through
+        assert [r.text for r in kept.collect() if r.doc_id is None] == [None]
+    model = ordinal.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    assert ids(stage["toxicity"](spark, docs, sf_dir)) == ids(ordinal.toxicity(docs, model).where("not is_toxic"))
+    table = docs.select("doc_id", "text", "source").toPandas()
+    con = duckdb.connect()
+    con.register("odd", table.astype({"doc_id": "Int64"}))
+    want = con.sql(mixing.mixing_sql("odd", "doc_id", budget_share=corpus_pipeline.MIX_BUDGET_SHARE)).fetchall()
+    assert ids(stage["mix_sources"](spark, docs, sf_dir)) == sorted((i for (i,) in want), key=lambda i: (i is None, i or 0))
+    tokens: dict = {}
+    for r in stage["best_fit_packing"](spark, docs, sf_dir).collect():
+        tokens[r.doc_id] = tokens.get(r.doc_id, 0) + r.n_tokens
+    assert tokens == {1: 14, 2: 28, None: 14, 8: 48_000, 9: 48_000, 10: 11, 11: 2}
+    nothing = spark.createDataFrame([(i, None, None, None, None, *["x"] * len(CLASHING)) for i in (1, 1, None)], SCHEMA)
+    assert [len(ids(f(spark, nothing, sf_dir))) for _, f in corpus_pipeline.STAGES] == [3, 3, 3, 3, 0]
+
+
 def test_warc_on_odd_rows(spark, tmp_path):
     rows = [(1, "http://a/1", "<p>x</p>", "z"), (1, "http://a/1", "<p>x</p>", "z"), (None, None, None, None), (2, "http://a/2\r\nX: y", "", "z"), (3, "http://a/3", "long " * 300_000, "z")]
     pages = spark.createDataFrame(rows, "page_id bigint, url string, html string, record string")
