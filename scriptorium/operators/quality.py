@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from scriptorium.functions.jsonlines import findings
 from scriptorium.functions.text import nonfinite
 
 SENTINELS = ("nan", "NaN", "inf", "-inf", "Infinity", "-Infinity")
@@ -19,9 +20,10 @@ def size_bucket(n: Column) -> Column:
 
 
 def shard_audit(lines: DataFrame, shard: str, line: str) -> DataFrame:
-    """Lines of each shard that aren't blank, and how many of them are JSON."""
+    """Lines of each shard that aren't blank, and how many of them are JSON, bare NaN and Infinity included and nothing behind it."""
     real = lines.where(F.length(F.trim(F.col(line))) > 0)
-    decoded = F.get_json_object(F.col(line), "$").isNotNull()
+    real = real.withColumn("_ok", findings(F.col(line))["decoded"])
+    decoded = F.col("_ok")
     return real.groupBy(shard).agg(F.count("*").alias("n_lines"), F.count_if(~decoded).alias("n_errors"), F.count_if(decoded).alias("n_decoded"))
 
 

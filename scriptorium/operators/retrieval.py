@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,14 +45,52 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int, k1: float = K1, b: float =
     return rank(postings.join(weighed, "term").groupBy("query_id", "doc_id").agg(F.sum(part).alias("score")), k)
 
 
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+def _blocks(rows: DataFrame, key: str, vector: str, size: int) -> DataFrame:
+    """(ids, width, data): up to ``size`` vectors of a partition as one row of packed doubles. Rows without a vector are left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, size):
+                part = whole.slice(at, size)
+                lists = part.column(vector)
+                widths = np.unique(pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+                if len(widths) > 1:
+                    raise ValueError(f"vectors of different lengths: {widths.tolist()}")
+                data = lists.flatten().cast(pa.float64()).to_numpy(zero_copy_only=False).tobytes()
+                ids = pa.ListArray.from_arrays(pa.array([0, part.num_rows], pa.int32()), part.column(key))
+                yield pa.RecordBatch.from_arrays([ids, pa.array(widths, pa.int32()), pa.array([data], pa.binary())], ["ids", "width", "data"])
+
+    kind = rows.schema[key].dataType.simpleString()
+    return rows.where(F.col(vector).isNotNull()).select(key, vector).mapInArrow(run, f"ids array<{kind}>, width int, data binary")
 
 
-def dense(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """Top k by inner product of every query (query_id, query_vector) with every vector (doc_id, vector), exhaustively. Spark sends the smaller side around while it is small; the top k is cut in each partition."""
-    pairs = vectors.crossJoin(queries)
-    return rank(pairs.select("query_id", "doc_id", dot(F.col("vector"), F.col("query_vector")).alias("score")), k)
+def dense(vectors: DataFrame, queries: DataFrame, k: int, block: int = 4096) -> DataFrame:
+    """Top k by inner product of every query (query_id, query_vector) with every vector (doc_id, vector), exhaustively.
+
+    Both sides are packed into blocks, and each pair of blocks is one matrix product, of which the top k of each query go on (and what ties
+    with them). Spark sends the queries' blocks around while they are few; else pairs of blocks are spread.
+    """
+    doc, query = vectors.schema["doc_id"].dataType.simpleString(), queries.schema["query_id"].dataType.simpleString()
+    left = _blocks(vectors, "doc_id", "vector", block).toDF("doc_ids", "width", "docs")
+    right = _blocks(queries, "query_id", "query_vector", block).toDF("query_ids", "query_width", "queries")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                cell = lambda c: batch.column(c)[i]  # noqa: B023, E731
+                width = cell("width").as_py()
+                if width != cell("query_width").as_py():
+                    raise ValueError("vectors and queries of different lengths")
+                docs, asked = (np.frombuffer(cell(c).as_buffer(), dtype=np.float64).reshape(-1, width) for c in ("docs", "queries"))
+                scores = asked @ docs.T
+                if scores.shape[1] > k:
+                    least = np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k]
+                    q, d = np.nonzero(scores >= least[:, None] - 2 * 10.0**-DIGITS)  # scores are rounded before ties are broken
+                else:
+                    q, d = (x.ravel() for x in np.indices(scores.shape))
+                yield pa.RecordBatch.from_arrays([cell("query_ids").values.take(pa.array(q)), cell("doc_ids").values.take(pa.array(d)), pa.array(scores[q, d])], ["query_id", "doc_id", "score"])
+
+    return rank(left.crossJoin(right).mapInArrow(run, f"query_id {query}, doc_id {doc}, score double"), k)
 
 
 def max_passage(scored: DataFrame) -> DataFrame:

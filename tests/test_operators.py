@@ -122,6 +122,35 @@ def test_histogram_of_one_value(spark):
     assert [(r.bin, r.n) for r in ordering.histogram(spark.createDataFrame([(2.0,), (2.0,), (None,)], "v double"), "v").collect()] == [(0, 2)]
 
 
+@pytest.mark.parametrize("block", [3, 4096])
+def test_dense_blocks_against_brute_force(spark, block):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    v, q = rng.integers(-2, 3, size=(40, 6)).astype(float), rng.integers(-2, 3, size=(7, 6)).astype(float)  # many ties
+    vectors = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)] + [(99, None)], "doc_id bigint, vector array<float>").repartition(3)
+    queries = spark.createDataFrame([(f"q{i}", x.tolist()) for i, x in enumerate(q)], "query_id string, query_vector array<double>").repartition(2)
+    for k in (1, 5, 100):
+        got = {(r.query_id, r["rank"]): (r.doc_id, r.score) for r in retrieval.dense(vectors, queries, k, block).collect()}
+        want = {(f"q{i}", n + 1): (d, s) for i, x in enumerate(q) for n, (s, d) in enumerate(sorted(((float(x @ y), d) for d, y in enumerate(v)), key=lambda p: (-p[0], p[1]))[:k])}
+        assert got == want
+    assert retrieval.dense(vectors, queries.limit(0), 3, block).count() == 0 == retrieval.dense(vectors.limit(0), queries, 3, block).count()
+
+
+def test_splits_sort_only_what_they_take(spark):
+    df = spark.range(20_000).select("id", F.when(F.col("id") % 10 == 0, "small").otherwise("large").alias("stratum"))
+    out = sampling.stratified_split(df, "stratum", "id", 60, 40, "s")
+    assert out.count() == 20_000 and out.columns == ["id", "stratum", "fold"]
+    want = {}
+    for s in ("small", "large"):
+        mine = [r.id for r in df.where(F.col("stratum") == s).orderBy(ordering.hashed("s", "id"), "id").limit(100).collect()]
+        n = 6 if s == "small" else 54
+        want |= dict.fromkeys(mine[:n], "val") | dict.fromkeys(mine[n : n + (5 if s == "small" else 35)], "test")
+    assert {r.id: r.fold for r in out.where("fold != 'train'").collect()} == want
+    near, _ = sampling._by_prefix(df, "stratum", "id", "s", spark.createDataFrame([("large", 30), ("small", 3)], "stratum string, _take int"))
+    assert 33 <= near.count() < 60
+
+
 def test_ranks_and_metrics(spark):
     run = spark.createDataFrame([(1, 10, 5.0), (1, 11, 5.0), (1, 12, 9.0), (2, 10, 1.0)], "query_id int, doc_id int, score double")
     ranked = retrieval.rank(run, 2)
@@ -206,18 +235,95 @@ def test_jsonl(spark, tmp_path):
     assert (a.n_lines, a.n_blank, a.n_decoded, a.n_errors) == (4, 1, 2, 1)
 
 
+def test_csv_by_names_and_ragged_rows(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('note,id,name\nx,1,"a, \\"b\\", c"\n,2,\nz,3,too,\nz,4,too,,\ny\n"multi\nline, here",6,w,more\n"multi\nline, here",7,w\n')
+    read = lambda **k: {tuple(r) for r in readers.read_csv(spark, str(tmp_path / "a.csv"), ["id", "name", "note"], **k).collect()}
+    kept = {("1", 'a, "b", c', "x"), ("2", None, None), (None, None, "y"), ("7", "w", "multi\nline, here")}
+    assert read() == kept
+    assert read(ragged="truncate") == kept | {("3", "too", "z"), ("4", "too", "z"), ("6", "w", "multi\nline, here")}
+    assert readers.csv_has_columns(spark, str(tmp_path / "a.csv"), ["id", "note"]) and not readers.csv_has_columns(spark, str(tmp_path / "a.csv"), ["zip"])
+    assert not readers.csv_has_columns(spark, str(tmp_path / "none.csv"), ["id"])
+    with pytest.raises(ValueError, match="zip"):
+        readers.read_csv(spark, str(tmp_path / "a.csv"), ["zip"])
+    (tmp_path / "b.csv").write_text("id,name\n" + "".join(f"{i},n{i}\n" for i in range(100)))
+    assert readers.read_csv(spark, str(tmp_path / "b.csv"), multi_line=False).count() == 100
+
+
+LINES = [
+    ('{"id": 1, "case_name": NaN, "p": {"k": [1, -Infinity]}}', (True, ["case_name", "p"], True, False, '{"id": 1, "case_name": null, "p": {"k": [1, null]}}', True)),
+    ('{"t": "it is NaN, \\"NaN\\" or Infinity", "u": "nan-x"}', (True, [], False, False, None, False)),
+    ('{"a": ["NaN"], "b": {"c": "-Inf"}}', (True, ["a", "b"], False, True, None, False)),
+    ('{"a": 1} trailing', (False, [], False, False, None, False)),
+    ("1, 2", (False, [], False, False, None, False)),
+    ('{"a": 1}] [2', (False, [], False, False, None, False)),
+    ('1, "§§ end of value §§"] x', (False, [], False, False, None, False)),
+    ('{"a": 1', (False, [], False, False, None, False)),
+    ('{"a": 1e999, "b": 1e-999}', (True, ["a"], True, False, '{"a": null, "b": 0.0}', True)),
+    ('[NaN, {"x": 1}]', (True, [], True, False, '[null, {"x": 1}]', True)),
+    ('{"caf\u00e9": "\u00fc", "n": null}', (True, [], False, False, None, False)),
+    ("7", (True, [], False, False, None, False)),
+]
+
+
+def test_findings_of_json_lines(spark):
+    from scriptorium.functions import jsonlines
+
+    df = spark.createDataFrame([(i, x) for i, (x, _) in enumerate(LINES)], "i int, line string")
+    got = {r.i: r for r in df.select("i", jsonlines.findings(F.col("line")).alias("f")).select("i", "f.*").collect()}
+    for i, (line, want) in enumerate(LINES):
+        assert (got[i].decoded, got[i].fields, got[i].nonfinite, got[i].sentinel, got[i].repaired, got[i].changed) == (*want[:4], want[4] or line, want[5])
+    fixed = jsonlines.repair(df, "line")
+    assert not any(r.changed for r in jsonlines.repair(fixed.drop("changed"), "line").collect())  # once is enough
+    assert jsonlines.repair(spark.createDataFrame([(None,)], "line string"), "line").first().line is None
+
+
+def test_json_audit_verdicts(spark):
+    from scriptorium.functions import jsonlines
+
+    rows = [("a", x) for x in ('{"id": 1}', "", "  ", '{"case_name": NaN}', '{"case_name": "NaN", "raw_text": [Infinity]}')] + [("b", '{"id": 1}'), ("c", '{"id": NaN, "case_name": NaN}'), ("d", '{"id": 1'), ("d", '{"case_name": NaN}')]
+    shards = jsonlines.audit(spark.createDataFrame(rows, "s string, line string"), "s", "line")
+    got = {r.shard: (r.total_lines, r.nan_lines, r.nonfinite_lines, r.sentinel_lines, r.decode_errors, r.fields) for r in shards.collect()}
+    assert got == {"a": (3, 2, 2, 1, 0, {"case_name": 2, "raw_text": 1}), "b": (1, 0, 0, 0, 0, {}), "c": (1, 1, 1, 0, 0, {"case_name": 1, "id": 1}), "d": (2, 2, 1, 0, 1, {"case_name": 1})}
+    verdicts = {r.shard: r.v for r in shards.select("shard", jsonlines.verdict(F.col("nan_lines"), F.col("decode_errors"), F.col("fields")).alias("v")).collect()}
+    assert verdicts == {"a": "REPAIRABLE", "b": "CLEAN", "c": "HARD_FAILURE", "d": "PARSE_FAILURE"}
+    whole = jsonlines.health(shards).first()
+    assert (whole.total_shards, whole.nan_shards, whole.contaminated, whole.total_lines, whole.verdict, whole.fields) == (4, 3, ["a", "c", "d"], 7, "PARSE_FAILURE", {"case_name": 4, "id": 1, "raw_text": 1})
+    none = jsonlines.health(shards.limit(0)).first()
+    assert (none.total_shards, none.contaminated, none.verdict) == (0, [], "CLEAN")
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.recursive(st.one_of(st.none(), st.booleans(), st.floats(), st.integers(-9, 9), st.sampled_from(["NaN", "x", "Inf y"])), lambda x: st.lists(x, max_size=4) | st.dictionaries(st.sampled_from("abc"), x, max_size=3), max_leaves=12))
+def test_repaired_lines_are_strict(value):
+    from scriptorium.functions import jsonlines
+
+    line = json.dumps(value)
+    decoded, _, nonfinite, _, fixed, changed = jsonlines.findings_of(line)
+    assert decoded and nonfinite == changed == bool([x for x in ("NaN", "Infinity") if x in json.dumps(value).replace('"NaN"', "")])
+
+    def refuse(x):
+        raise AssertionError(x)
+
+    json.loads(fixed, parse_constant=refuse)
+    assert jsonlines.findings_of(fixed)[2:] == (False, jsonlines.findings_of(line)[3], fixed, False)
+
+
 def test_ids_pairs_and_maps(spark, tmp_path):
     (tmp_path / "ids.gz").write_bytes(gzip.compress(b"12\n7\n"))
     assert sorted(r.id for r in readers.read_ids(spark, str(tmp_path / "ids.gz")).collect()) == [7, 12]
     for bad in ("007", "+1", "0", "1.5", "-3"):
         (tmp_path / "bad").write_text(f"1\n{bad}\n")
-        with pytest.raises(Exception, match="not an id"):
+        with pytest.raises(Exception, match="line 2 is not an id"):
             readers.read_ids(spark, str(tmp_path / "bad")).collect()
     (tmp_path / "pairs").write_text('{"source_id": 1, "dest_id": 2}\n')
     assert readers.read_pairs(spark, str(tmp_path / "pairs")).first() == (1, 2)
     (tmp_path / "pairs").write_text('{"source_id": 1.0, "dest_id": true}\n')
     with pytest.raises(Exception, match="no whole number"):
         readers.read_pairs(spark, str(tmp_path / "pairs")).collect()
+    for bad in ('{"source_id": 1, "dest_id": 2} x', "no json", '{"source_id": 1}', '{"source_id": "1", "dest_id": 2}'):
+        (tmp_path / "pairs").write_text(bad + "\n")
+        with pytest.raises(Exception, match="not JSON|no whole number"):
+            readers.read_pairs(spark, str(tmp_path / "pairs")).collect()
     (tmp_path / "map.json").write_text(json.dumps({"1": "x", "2": "y"}))
     assert {tuple(r) for r in readers.read_map(spark, str(tmp_path / "map.json")).collect()} == {("1", "x"), ("2", "y")}
     assert readers.read_map(spark, str(tmp_path / "none.json")).count() == 0
@@ -265,6 +371,11 @@ def test_stream_equals_batch_and_resumes(spark, tmp_path):
     run()
     assert sorted((r.id, r.text) for r in spark.read.parquet(f"{tmp_path}/out/good").collect()) == [(1, "long"), (3, "other")]
     assert [r.id for r in spark.read.json(f"{tmp_path}/out/dead").collect()] == [2]
+    timed = T.StructType([*schema.fields, T.StructField("ts", T.TimestampType())])
+    (tmp_path / "timed").mkdir()
+    (tmp_path / "timed/a.json").write_text("".join(json.dumps({"id": i, "text": "long", "ts": f"2024-01-01T0{h}:00:00Z"}) + "\n" for i, h in ((1, 1), (1, 1), (2, 2))))
+    ingest.ingest_stream(ingest.stream_files(spark, f"{tmp_path}/timed", timed), reason, f"{tmp_path}/out2", f"{tmp_path}/cp2", ["id"], "ts", "1 hour").awaitTermination(60)
+    assert sorted(r.id for r in spark.read.parquet(f"{tmp_path}/out2/good").collect()) == [1, 2]
     events = spark.createDataFrame([("2024-01-01 00:10:00", "a"), ("2024-01-01 00:50:00", "a"), ("2024-01-01 01:10:00", "b")], "ts string, k string").withColumn("ts", F.to_timestamp("ts"))
     assert sorted((r.k, r.n) for r in ingest.windowed_counts(events, "ts", "k").collect()) == [("a", 2), ("b", 1)]
 
