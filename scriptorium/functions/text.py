@@ -199,6 +199,34 @@ def merge_spans(spans: Column, gap: int = 0) -> Column:
     return F.aggregate(F.array_sort(spans.cast(kind)), F.array().cast(kind), step)
 
 
+def spans_of(text: Column, pattern: str | Column) -> Column:
+    """Where a pattern matches: (start, stop) structs, from 0, stop excluded. ``pattern`` has no groups of its own that capture."""
+    form = F.concat(F.lit("("), pattern if isinstance(pattern, Column) else F.lit(pattern), F.lit(")"))
+    # the parts between marks are, in turn, outside of a match and inside
+    parts = F.split(F.regexp_replace(text, form, F.lit("\x01$1\x01")), "\x01", -1)
+    kind = "array<struct<start:int,stop:int>>"
+    start = F.struct(F.lit(0).alias("at"), F.lit(False).alias("inside"), F.array().cast(kind).alias("found"))
+
+    def step(s: Column, x: Column) -> Column:
+        stop = s["at"] + F.length(x)
+        span = F.array(F.struct(s["at"].alias("start"), stop.alias("stop")))
+        return F.struct(stop.alias("at"), (~s["inside"]).alias("inside"), F.when(s["inside"], F.concat(s["found"], span)).otherwise(s["found"]).cast(kind).alias("found"))
+
+    return F.aggregate(parts, start, step, lambda s: s["found"])
+
+
+def names_pattern(names: Column) -> Column:
+    """A pattern of an array of names, as whole words in any case; it matches nothing if there are none."""
+    real = F.filter(names, lambda x: F.length(x) > 0)
+    return F.when(F.size(real) > 0, F.concat(F.lit(r"(?i:\b(?:"), F.array_join(F.transform(real, lambda x: F.concat(F.lit("\\Q"), x, F.lit("\\E"))), "|"), F.lit(r")\b)"))).otherwise(F.lit("(?!)"))
+
+
+def mask_citations(text: Column, names: Column, mask: str = "[MASK]", gap: int = 0) -> Column:
+    """``text`` with citations and the parties' names masked; spans that overlap or are ``gap`` apart become one."""
+    cited = rf"\b[0-9]+ +{REPORTER} +(?:at +)?{_PAGES}"
+    return mask_spans(text, F.concat(spans_of(text, cited), spans_of(text, names_pattern(names))), mask, gap)
+
+
 def mask_spans(text: Column, spans: Column, mask: str = "[MASK]", gap: int = 0) -> Column:
     """``text`` with each merged span (from 0, stop excluded) replaced by ``mask``."""
     start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))

@@ -64,3 +64,65 @@ def split_dead(df: DataFrame, reason: Column) -> tuple[DataFrame, DataFrame]:
 def not_done(todo: DataFrame, done: DataFrame, keys: Sequence[str]) -> DataFrame:
     """What a resumed job still has to do."""
     return todo.join(done, list(keys), "left_anti")
+
+
+def enrich(rows: DataFrame, index: DataFrame, on: str, key: str, value: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(enriched, unmatched, summary): ``rows`` with ``value`` from the index row whose ``key`` is ``on`` (the greatest, if it has several), an own value going first; rows that end
+    without one; and one row (n_total, n_enriched, n_unmatched, unmatched_rate, sample_unmatched) with the first 20 ids of those."""
+    found = index.groupBy(F.col(key).alias("_key")).agg(F.max(value).alias("_value"))
+    own = F.col(value) if value in rows.columns else F.lit(None).cast(index.schema[value].dataType)
+    out = rows.withColumn("_own", own).join(found, F.col(on) == F.col("_key"), "left").withColumn(value, F.coalesce("_own", "_value")).drop("_own", "_key", "_value")
+    missing = F.col(value).isNull()
+    sums = out.agg(F.count("*").alias("n_total"), F.count_if(~missing).alias("n_enriched"), F.count_if(missing).alias("n_unmatched"))
+    first = out.where(missing).select(on).orderBy(on).limit(20).agg(F.array_sort(F.collect_list(on)).alias("sample_unmatched"))
+    summary = sums.withColumn("unmatched_rate", F.round(F.col("n_unmatched") / F.greatest(F.col("n_total"), F.lit(1)), 6)).crossJoin(first)
+    return out.where(~missing), out.where(missing).drop(value), summary
+
+
+def write_enriched(parts: tuple[DataFrame, DataFrame, DataFrame], path: str, max_unmatched_rate: float = 1.0) -> dict:
+    """Writes PATH/good and, if there are any, PATH/dead, and returns the summary; then an error if more than a rate is unmatched, when the dead letters are there to look at."""
+    from scriptorium.sources.sinks import write_shards
+
+    good, dead, summary = parts
+    write_shards(good, f"{path}/good")
+    facts = summary.first().asDict()
+    if facts["n_unmatched"]:
+        write_shards(dead, f"{path}/dead", "json")
+    if facts["n_unmatched"] > max_unmatched_rate * max(facts["n_total"], 1):
+        raise RuntimeError(f"{facts['n_unmatched']} of {facts['n_total']} rows are unmatched, more than {max_unmatched_rate:.2%}; see {path}/dead")
+    return facts
+
+
+def aligned(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Inner join of two runs on their keys; an error, when it is read, if a key is in one only or comes twice."""
+    left = a.groupBy(*keys).agg(F.count("*").alias("_na"), F.first(F.struct(*[c for c in a.columns if c not in keys])).alias("_a"))
+    right = b.groupBy(*keys).agg(F.count("*").alias("_nb"), F.first(F.struct(*[c for c in b.columns if c not in keys])).alias("_b"))
+    both = left.join(right, list(keys), "full")
+    ok = (F.coalesce("_na", F.lit(0)) == 1) & (F.coalesce("_nb", F.lit(0)) == 1)
+    name = F.concat_ws(",", *(F.col(k).cast("string") for k in keys))
+    checked = both.withColumn("_a", F.when(ok, F.col("_a")).otherwise(F.raise_error(F.concat(F.lit("the runs aren't aligned at "), name)).cast(both.schema["_a"].dataType)))
+    return checked.select(*keys, "_a.*", "_b.*")
+
+
+def alignment(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """One row: n_a, n_b, keys in both, only in a, only in b, and that come more than once in either."""
+    both = a.groupBy(*keys).agg(F.count("*").alias("na")).join(b.groupBy(*keys).agg(F.count("*").alias("nb")), list(keys), "full").select(F.coalesce("na", F.lit(0)).alias("na"), F.coalesce("nb", F.lit(0)).alias("nb"))
+    n = F.count_if
+    return both.agg(F.sum("na").alias("n_a"), F.sum("nb").alias("n_b"), n((F.col("na") > 0) & (F.col("nb") > 0)).alias("n_both"), n(F.col("nb") == 0).alias("n_only_a"), n(F.col("na") == 0).alias("n_only_b"), n((F.col("na") > 1) | (F.col("nb") > 1)).alias("n_repeated"))
+
+
+def citation_chain(rows: DataFrame, cite: Column, index: DataFrame, order: Sequence[str], opinions: DataFrame, snippet: str) -> DataFrame:
+    """The six stages from a citing row to a checked opinion: its citation is parsed; looked up in an index (volume, reporter, page, cluster_id) that keeps the first row of a key in ``order``;
+    the cluster's least opinion (cluster_id, opinion_id, text) is taken; and that one holds the row's ``snippet`` or doesn't.
+
+    ``rows`` with (cluster_id, opinion_id, stage, confirmed); ``stage`` says how far a row came: unparsed, unindexed, no_opinion, unconfirmed or confirmed.
+    """
+    from scriptorium.functions.text import normalize_reporter, parse_citation
+
+    key = ["volume", "reporter", "page"]
+    first = dedupe_first(index.withColumn("reporter", normalize_reporter(F.col("reporter"))), key, order).select(*(F.col(k).alias(f"_{k}") for k in key), "cluster_id")
+    least = opinions.groupBy("cluster_id").agg(F.min(F.struct("opinion_id", "text")).alias("_o")).select("cluster_id", "_o.opinion_id", F.col("_o.text").alias("_text"))
+    parsed = rows.withColumn("_c", parse_citation(cite)).withColumns({"_volume": F.col("_c.volume"), "_reporter": normalize_reporter(F.col("_c.reporter")), "_page": F.col("_c.page")})
+    out = parsed.join(first, [f"_{k}" for k in key], "left").join(least, "cluster_id", "left").withColumn("confirmed", F.coalesce(F.contains("_text", snippet), F.lit(False)))
+    stage = F.when(F.col("_volume").isNull(), "unparsed").when(F.col("cluster_id").isNull(), "unindexed").when(F.col("opinion_id").isNull(), "no_opinion").when(~F.col("confirmed"), "unconfirmed").otherwise("confirmed")
+    return out.withColumn("stage", stage).select(*rows.columns, "cluster_id", "opinion_id", "stage", "confirmed")

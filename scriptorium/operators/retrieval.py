@@ -143,6 +143,13 @@ def metrics(hits: tuple[int, ...] = (1, 5, 10, 100), ndcg: tuple[int, ...] = (10
     ]
 
 
+def evaluate(gold: DataFrame, run: DataFrame, hits: tuple[int, ...] = (1, 5, 10, 100), ndcg: tuple[int, ...] = (10,)) -> DataFrame:
+    """Metrics of a run (query_id, doc_id, rank) over its queries that are in ``gold`` (query_id, gold), and ``n_skipped``: how many of its queries aren't."""
+    asked = run.groupBy("query_id").agg(F.lit(1).alias("_asked")).join(gold, "query_id", "left")
+    skipped = asked.agg(F.count_if(F.col("gold").isNull()).alias("n_skipped"))
+    return gold_ranks(asked.where("gold is not null").select("query_id", "gold"), run).agg(*metrics(hits, ndcg)).crossJoin(skipped)
+
+
 def paired(ranks: DataFrame, a: str, b: str, top: int) -> DataFrame:
     """Wins and ties of two ranks of the same query; a miss or a rank beyond ``top`` is the worst."""
     worst = lambda c: F.when((F.col(c) == 0) | (F.col(c) > top), top + 1).otherwise(F.col(c))

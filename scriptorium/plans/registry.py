@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from . import evaluation, relational, splits, textual  # noqa: F401
+from . import corpus, evaluation, relational, splits, textual  # noqa: F401
 from .base import ORACLE_SQL, QUERIES  # noqa: F401
