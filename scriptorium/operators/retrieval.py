@@ -98,6 +98,13 @@ def max_passage(scored: DataFrame) -> DataFrame:
     return scored.groupBy("query_id", "doc_id").agg(F.max("score").alias("score"))
 
 
+def merge_shards(scored: DataFrame, shard: str, k: int) -> DataFrame:
+    """Top k of each query from the top k of each shard: (query_id, doc_id, score) with a shard, in one scan. A document may have passages in several shards."""
+    best = scored.groupBy("query_id", "doc_id", shard).agg(F.max("score").alias("score"))
+    partial = top_k(best.withColumn("score", F.round("score", DIGITS)), ["query_id", shard], [F.desc("score"), F.col("doc_id")], k, "_place").drop("_place", shard)
+    return rank(max_passage(partial), k)
+
+
 def reciprocal_rank_fusion(runs: list[DataFrame], k: int = 60, top: int = 100) -> DataFrame:
     """Sum of 1 / (k + rank) over runs of (query_id, doc_id, rank)."""
     if k < 0:

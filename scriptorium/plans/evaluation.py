@@ -11,6 +11,7 @@ from scriptorium.operators import ordering, retrieval as R
 from scriptorium.sources.tables import table as t
 
 from .base import query
+from .textual import _CHUNKS, chunk_rows
 
 _TERMS = f"unnest(regexp_extract_all(lower(text), '{X.TERM}'))"
 _STOP = ", ".join(f"'{w}'" for w in R.STOPWORDS)
@@ -82,12 +83,8 @@ def maxp(spark, d):
 
 @query(f"WITH {RUNS_SQL} SELECT query_id, doc_id, score, rank FROM a")
 def shard_merge(spark, d):
-    rows = t(spark, d, "lineitem").select(F.col("l_orderkey").alias("query_id"), F.col("l_partkey").alias("doc_id"), F.col("l_extendedprice").alias("score"))
-    shards = [R.rank(R.max_passage(rows.where(F.col("doc_id") % 4 == k)), TOP) for k in range(4)]
-    merged = shards[0]
-    for s in shards[1:]:
-        merged = merged.unionByName(s)
-    return R.rank(R.max_passage(merged), TOP)
+    rows = t(spark, d, "lineitem").select(F.col("l_orderkey").alias("query_id"), F.col("l_partkey").alias("doc_id"), F.col("l_extendedprice").alias("score"), (F.col("l_partkey") % 4).alias("shard"))
+    return R.merge_shards(rows, "shard", TOP)
 
 
 @query(f"""WITH {RUNS_SQL}, f AS (SELECT query_id, doc_id, round(sum(1.0::DOUBLE / (60 + rank)), 6) AS score FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY 1, 2)
@@ -192,18 +189,27 @@ def _length_score(texts: pd.Series) -> pd.Series:
     return texts.str.len().astype("float64")
 
 
-@query(f"""WITH {BM25_SQL}, c AS (SELECT query_id, list(substring(d.text, 1, 200) ORDER BY rank) AS ctx FROM bm25 JOIN documents d USING (doc_id) WHERE rank <= 3 GROUP BY 1)
-SELECT query_id, 'Sources:' || chr(10) || array_to_string(list_transform(ctx, lambda x, i: '[' || i || '] ' || x), chr(10)) || chr(10) || chr(10) || 'Text: ' || text || chr(10) || 'Answer from the sources alone:' AS prompt FROM c JOIN benchmark ON item_id = query_id""")
+#: A hit's context: its document's first chunks, whole.
+CONTEXT_CHUNKS = 2
+_CTX = f"{_CHUNKS}, x AS (SELECT doc_id, string_agg(text, ' ' ORDER BY chunk_index) AS context FROM chunks WHERE chunk_index < {CONTEXT_CHUNKS} GROUP BY 1)"
+
+
+@query(f"""WITH {BM25_SQL}, {_CTX}, ctx AS (SELECT query_id, list(context ORDER BY rank) AS ctx FROM bm25 JOIN x USING (doc_id) WHERE rank <= 3 GROUP BY 1)
+SELECT query_id, 'Sources:' || chr(10) || array_to_string(list_transform(ctx, lambda x, i: '[' || i || '] ' || x), chr(10)) || chr(10) || chr(10) || 'Text: ' || text || chr(10) || 'Answer from the sources alone:' AS prompt FROM ctx JOIN benchmark ON item_id = query_id""")
 def build_prompt(spark, d):
     return _contexts(spark, d).join(t(spark, d, "benchmark").withColumnRenamed("item_id", "query_id"), "query_id").select("query_id", X.build_prompt(F.col("text"), F.col("contexts")).alias("prompt"))
 
 
 def _contexts(spark, d):
-    hits = _bm25(spark, d, 3).join(t(spark, d, "documents").select("doc_id", F.substring("text", 1, 200).alias("context")), "doc_id")
-    return hits.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "context"))), lambda x: x["context"]).alias("contexts"))
+    hits = _bm25(spark, d, 3)
+    # only documents that are hit are cut into chunks
+    docs = t(spark, d, "documents").select("doc_id", "text").join(hits.select("doc_id").distinct(), "doc_id", "left_semi")
+    parts = chunk_rows(docs).where(F.col("chunk_index") < CONTEXT_CHUNKS).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("chunk_index", "text"))).alias("c"))
+    texts = parts.select("doc_id", F.array_join(F.transform("c", lambda x: x["text"]), " ").alias("context"))
+    return hits.join(texts, "doc_id").groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "context"))), lambda x: x["context"]).alias("contexts"))
 
 
-@query(f"WITH {BM25_SQL} SELECT query_id, array_to_string(list(substring(d.text, 1, 200) ORDER BY rank), ' ') AS context FROM bm25 JOIN documents d USING (doc_id) WHERE rank <= 3 GROUP BY 1")
+@query(f"WITH {BM25_SQL}, {_CTX} SELECT query_id, array_to_string(list(context ORDER BY rank), ' ') AS context FROM bm25 JOIN x USING (doc_id) WHERE rank <= 3 GROUP BY 1")
 def context_assembly(spark, d):
     return _contexts(spark, d).select("query_id", F.array_join("contexts", " ").alias("context"))
 

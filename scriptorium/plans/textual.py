@@ -163,8 +163,13 @@ chunks AS (SELECT doc_id, chunk_index, array_to_string(w[chunk_index * 112 + 1 :
 
 
 def _chunks(spark, d) -> DataFrame:
+    return chunk_rows(t(spark, d, "documents"))
+
+
+def chunk_rows(docs: DataFrame) -> DataFrame:
+    """(doc_id, chunk_index, text): windows of 128 words that share 16."""
     # the words are a column of their own: within a lambda they would be cut anew for each chunk
-    words = t(spark, d, "documents").select("doc_id", X.words(F.col("text")).alias("words"))
+    words = docs.select("doc_id", X.words(F.col("text")).alias("words"))
     # outer, or the optimizer computes the windows twice, once to see whether there are any
     return words.select("doc_id", F.posexplode_outer(X.chunks(F.col("words"), 128, 16)).alias("chunk_index", "w")).where("chunk_index is not null").select("doc_id", "chunk_index", F.array_join("w", " ").alias("text"))
 
