@@ -1,7 +1,6 @@
 """Token ids, bit-packed: each id takes the bits that the vocabulary needs, no more.
 
-The text is cut into word pieces by Spark's regular expressions, as the byte-level tokenizer cuts it; each batch's distinct pieces are
-encoded once. A document's ids are packed in blocks of ``block`` ids, each starting on a byte, so that
+The tokenizer's own library cuts and encodes each text whole, in compiled code. A document's ids are packed in blocks of ``block`` ids, each starting on a byte, so that
 any range of ids is unpacked by numpy from the blocks it touches, without the rest.
 """
 
@@ -13,22 +12,19 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import by_bytes, documents
 
 #: Ranks of a public byte-level tokenizer; any file of lines "base64 rank" will do.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 BLOCK = 1024
-_SPACE = r"\t\n\u000B\f\r \u0085   -     　"
-#: The tokenizer's cut, with white space written out.
-PIECES = rf"'(?:[sdmt]|ll|ve|re)| ?\p{{L}}+| ?\p{{N}}+| ?[^{_SPACE}\p{{L}}\p{{N}}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+"
+#: How the tokenizer cuts a text into the pieces that it encodes.
 _PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Pieces encoded at a time.
-PIECES_AT_ONCE = 1_000_000
+#: The ids of texts from this many characters on come as an array, not as a list of Python's integers, which takes nine times the memory.
+LONG = 1 << 20
 
 
 def bit_width(vocabulary_size: int) -> int:
@@ -80,27 +76,10 @@ def encoding(ranks: bytes) -> tiktoken.Encoding:
     return tiktoken.Encoding("public", pat_str=_PATTERN, mergeable_ranks=table, special_tokens={})
 
 
-def encode_pieces(lists: pa.Array, enc: tiktoken.Encoding, known: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """All ids, and the number of ids up to each text. ``known`` keeps the ids of pieces from batch to batch."""
-    flat = lists.flatten().dictionary_encode()
-    pieces = flat.dictionary.to_pylist()
-    if len(known) > 200_000:
-        known.clear()
-    coded = []
-    for p in pieces:
-        ids = known.get(p)
-        if ids is None:
-            ids = known[p] = np.array(enc.encode_ordinary(p), dtype=np.uint32)
-        coded.append(ids)
-    lengths = np.array([len(x) for x in coded], dtype=np.int64)
-    where = np.r_[0, np.cumsum(lengths)]
-    table = np.concatenate(coded) if coded else np.zeros(0, np.uint32)
-    index = flat.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-    n = lengths[index]
-    upto = np.r_[0, np.cumsum(n)]
-    ids = table[np.repeat(where[index], n) + np.arange(upto[-1]) - np.repeat(upto[:-1], n)]
-    sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
-    return ids, upto[np.r_[0, np.cumsum(sizes)].astype(np.int64)]
+def ids_of(text: str, enc: tiktoken.Encoding) -> np.ndarray:
+    if len(text) < LONG:
+        return np.array(enc.encode_ordinary(text), dtype=np.uint32)
+    return enc.encode_to_numpy(text, disallowed_special=())
 
 
 def token_binary(docs: DataFrame, vocabulary: str = VOCABULARY, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -114,22 +93,23 @@ def token_binary(docs: DataFrame, vocabulary: str = VOCABULARY, block: int = BLO
     bits = bit_width(1 + max(int(x.split()[1]) for x in ranks.splitlines() if x))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, known = encoding(ranks), {}
+        enc = encoding(ranks)
         for whole in batches:
-            sizes = pc.fill_null(pc.list_value_length(whole.column("pieces")), 0).to_numpy(zero_copy_only=False)
-            group = np.cumsum(sizes) // PIECES_AT_ONCE
-            cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), whole.num_rows]
-            for a, b in zip(cuts, cuts[1:], strict=False):
-                batch = whole.slice(a, b - a)
-                ids, edges = encode_pieces(batch.column("pieces"), enc, known)
-                packed = [pack_ids(ids[x:y], bits, block) for x, y in zip(edges, edges[1:], strict=False)]
+            for batch in by_bytes(whole, "text"):
+                counts, offsets, packed = [], [], []
+                for text in batch.column("text"):
+                    ids = ids_of(text.as_py() or "", enc)
+                    data, at = pack_ids(ids, bits, block)
+                    counts.append(len(ids))
+                    offsets.append(at)
+                    packed.append(data)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id"), pa.array(np.diff(edges)), pa.array(np.full(b - a, bits, np.int32)), pa.array([o for _, o in packed], pa.list_(pa.int64())), pa.array([p for p, _ in packed], pa.binary())],
+                    [batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(np.full(len(counts), bits, np.int32)), pa.array(offsets, pa.list_(pa.int64())), pa.array(packed, pa.binary())],
                     ["doc_id", "n_tokens", "bits", "block_offsets", "packed"],
                 )
 
-    pieces = docs.select(F.col(id_col).alias("doc_id"), F.regexp_extract_all(F.col(text_col), F.lit(PIECES), F.lit(0)).alias("pieces"))
-    return pieces.mapInArrow(run, f"doc_id {pieces.schema['doc_id'].dataType.simpleString()}, n_tokens bigint, bits int, block_offsets array<bigint>, packed binary")
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    return texts.mapInArrow(run, f"doc_id {texts.schema['doc_id'].dataType.simpleString()}, n_tokens bigint, bits int, block_offsets array<bigint>, packed binary")
 
 
 def op6_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:

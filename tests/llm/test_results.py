@@ -442,6 +442,15 @@ def test_ids_are_those_of_the_library(spark, sf_dir, duck):
         assert tokenbin.unpack_ids(bytes(r.packed), r.block_offsets, r.n_tokens, r.bits).tolist() == enc.encode_ordinary(t), repr(t)
 
 
+def test_ids_of_long_texts_come_as_arrays(monkeypatch):
+    enc = tokenbin.encoding(tokenbin.read_ranks())
+    text = "It's one  word,\n and <|endoftext|> 12 more \U0001f600 " * 50
+    want = enc.encode_ordinary(text)
+    assert tokenbin.ids_of(text, enc).tolist() == want
+    monkeypatch.setattr(tokenbin, "LONG", 10)
+    assert tokenbin.ids_of(text, enc).tolist() == want and enc.decode(want) == text
+
+
 # --- near duplicates ------------------------------------------------------------------------------------------
 
 
