@@ -28,18 +28,22 @@ def rank(scored: DataFrame, k: int) -> DataFrame:
 def bm25(docs: DataFrame, queries: DataFrame, k: int, k1: float = K1, b: float = B, stopwords: tuple[str, ...] = STOPWORDS) -> DataFrame:
     """Top k of ``docs`` (doc_id, text) for ``queries`` (query_id, text). A term counts as often as the query has it.
 
-    The postings hold only terms that some query has: they are cut down by a semi-join, which Spark broadcasts while the queries are few, before anything is
-    shuffled, and counted within each partition first.
+    The documents are read and cut into terms once: what is kept of them are counts of the terms that some query has, and a row for each document's
+    length. Terms are looked up among the queries', which Spark sends around while they are few, and counted within each partition before they are shuffled.
+    The counts are written, as document frequencies and scores both come from them.
     """
+    from scriptorium.sources.tables import written
+
     asked = queries.select("query_id", F.explode(terms(F.col("text"))).alias("term")).where(~F.col("term").isin(*stopwords))
     asked = asked.groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
-    cut = docs.select("doc_id", F.filter(terms(F.col("text")), lambda t: ~t.isin(*stopwords)).alias("terms"))
-    sizes = cut.agg(F.count("*").alias("n_docs"), F.avg(F.size("terms")).alias("avg_len"))
-    # an inner explode would make the optimizer cut the text twice, once to see whether there are terms
-    postings = cut.select("doc_id", F.size("terms").alias("len"), F.explode_outer("terms").alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
-    postings = postings.groupBy("term", "doc_id", "len").agg(F.count("*").alias("tf"))
-    df = postings.groupBy("term").agg(F.count("*").alias("df"))
-    weighed = asked.join(df, "term").crossJoin(sizes)
+    cut = docs.select("doc_id", F.filter(terms(F.coalesce("text", F.lit(""))), lambda t: ~t.isin(*stopwords)).alias("terms"))
+    # a null behind the terms stands for the document; outer, or the optimizer would cut the text twice, once to see whether there are terms
+    every = cut.select("doc_id", F.size("terms").alias("len"), F.explode_outer(F.concat("terms", F.array(F.lit(None).cast("string")))).alias("term"))
+    every = every.join(asked.select("term", F.lit(True).alias("asked")).distinct(), "term", "left")
+    counts = written(every.groupBy("doc_id", "len", F.when(F.col("asked"), F.col("term")).alias("term")).agg(F.count("*").alias("tf")))
+    sizes = counts.where("term is null").agg(F.count("*").alias("n_docs"), F.avg("len").alias("avg_len"))
+    postings = counts.where("term is not null")
+    weighed = asked.join(postings.groupBy("term").agg(F.count("*").alias("df")), "term").crossJoin(sizes)
     idf = F.ln(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = F.col("qtf") * idf * F.col("tf") / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
     return rank(postings.join(weighed, "term").groupBy("query_id", "doc_id").agg(F.sum(part).alias("score")), k)

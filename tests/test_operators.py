@@ -108,6 +108,44 @@ def test_partial_ratio():
     assert 60 < partial_ratio_of("abcdefgh", "xxabcdXfghxx") < 100
 
 
+def brute_partial_ratio(a, b):
+    """All windows, by the textbook table of the longest common subsequence."""
+    short, long = sorted((a, b), key=len)
+    best = 0
+    for p in range(len(long) - len(short) + 1):
+        row = [0] * (len(short) + 1)
+        for c in long[p : p + len(short)]:
+            before = row[:]
+            for i, d in enumerate(short):
+                row[i + 1] = before[i] + 1 if c == d else max(before[i + 1], row[i])
+        best = max(best, row[-1])
+    return 100 * best / len(short) if short else 0.0
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.text(alphabet="abc ", min_size=1, max_size=20), st.text(alphabet="abc ", min_size=1, max_size=40))
+def test_partial_ratio_of_short_texts(a, b):
+    assert partial_ratio_of(a, b) == pytest.approx(brute_partial_ratio(a, b))
+
+
+def test_partial_ratio_of_planted_quotes():
+    import random
+
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(1, 8)))
+    for k in range(24):
+        quote = " ".join(word() for _ in range(14))
+        edited = list(quote)
+        for _ in range(int(len(quote) * (0.02 + 0.01 * (k % 16)))):
+            i = rng.randrange(len(edited))
+            edited[i : i + 1] = rng.choice([[], ["z"], [edited[i], "y"]])
+        text = " ".join(word() for _ in range(20)) + " " + "".join(edited) + " " + " ".join(word() for _ in range(20))
+        want, got = brute_partial_ratio(quote, text), partial_ratio_of(quote, text)
+        assert got <= want + 1e-9 and got > want - 3
+        assert (got >= 80) == (want >= 80) or abs(want - 80) < 3
+    assert partial_ratio_of(" ".join(word() for _ in range(30)), " ".join(word() for _ in range(300))) < 70
+
+
 def test_equal_frequencies_are_head(spark):
     f = spark.createDataFrame([(i, 3) for i in range(7)], "k int, n int")
     assert {r.bucket for r in ordering.frequency_buckets(f, "k", "n").collect()} == {"head"}
