@@ -77,6 +77,11 @@ def audit_jsonl(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return lines.groupBy("file").agg(F.count("*").alias("n_lines"), F.count_if(blank).alias("n_blank"), F.count_if(~blank & decoded).alias("n_decoded"), F.count_if(~blank & ~decoded).alias("n_errors"))
 
 
+def file_errors(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(file, failed) of each file: one bad line fails it as a whole, as a reader of whole files would have it."""
+    return audit_jsonl(spark, path).select("file", (F.col("n_errors") > 0).alias("failed"))
+
+
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
     """One positive decimal without sign or leading zero a line, plain or gz; anything else is an error that names the line. A list is read whole, as one row a file, so that its lines have numbers."""
     lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.regexp_replace("value", r"\n\z", ""), "\n")).alias("at", "value")).withColumn("value", F.rtrim("value", F.lit("\r")))

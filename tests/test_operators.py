@@ -393,6 +393,128 @@ def test_shards_and_manifest(spark, tmp_path):
     assert not sinks.ingest(df.limit(20), f"{tmp_path}/j", verify_only=True)["same"]
 
 
+def test_landing_is_idempotent_and_heals(spark, tmp_path):
+    import pathlib
+
+    df, path, source = spark.range(50).coalesce(2), f"{tmp_path}/landed", {"dataset": "d", "revision": "a" * 40}
+    assert sinks.land(df, path, 30, source, dry_run=True) == {"rows_written": 30} and not (tmp_path / "landed").exists()
+    with pytest.raises(FileNotFoundError):
+        sinks.land(df, path, 30, source, verify_only=True)
+    made = sinks.land(df, path, 30, source)
+    assert made["rows_written"] == 30 and sinks.land(df, path, 30, source)["skipped"]
+    assert sinks.land(df, path, 30, source, verify_only=True) == made
+    with pytest.raises(ValueError, match="cap: 30 is not 31"):
+        sinks.land(df, path, 31, source, verify_only=True)
+    with pytest.raises(ValueError, match="source"):
+        sinks.land(df, path, 30, {"dataset": "e"}, verify_only=True)
+    (tmp_path / "landed/_manifest.json").unlink()
+    with pytest.raises(ValueError, match="no manifest"):
+        sinks.land(df, path, 30, source, verify_only=True)
+    assert sinks.land(df, path, 30, source) == made | {"provenance_reconstructed": True}
+    first = sorted(pathlib.Path(path).glob("part-*"))[0]
+    first.write_text(first.read_text() + '{"id": 99}\n')
+    for x in pathlib.Path(path).glob(".*.crc"):
+        x.unlink()
+    with pytest.raises(ValueError, match="sha256"):
+        sinks.land(df, path, 30, source, verify_only=True)
+    assert sinks.land(df, path, 20, source, force=True)["rows_written"] == 20
+    with pytest.raises(ValueError):
+        sinks.land(df, path, 0, source)
+
+
+def test_shards_done_are_not_done_again(spark, tmp_path):
+    names = ["a.json", "b.json", "c.json"]
+    df = spark.createDataFrame([(n, i) for i, n in enumerate(names[:2])], "name string, i int")
+    assert sinks.pending(spark, [f"/x/{n}" for n in names], f"{tmp_path}/out") == [f"/x/{n}" for n in names]
+    sinks.write_by_shard(df, "name", f"{tmp_path}/out")
+    assert sinks.pending(spark, [f"/x/{n}" for n in names], f"{tmp_path}/out") == ["/x/c.json"]
+    sinks.write_by_shard(spark.createDataFrame([("b.json", 7)], "name string, i int"), "name", f"{tmp_path}/out")
+    assert sorted((r.shard, r.i) for r in spark.read.parquet(f"{tmp_path}/out").collect()) == [("a.json", 0), ("b.json", 7)]
+    (tmp_path / "j").mkdir()
+    (tmp_path / "j/a.json").write_text('{"a": 1}\n')
+    (tmp_path / "j/b.json").write_text('{"a": 1}\nx\n')
+    assert sorted(r.failed for r in readers.file_errors(spark, f"{tmp_path}/j").collect()) == [False, True]
+
+
+def test_extraction_of_odd_rows(spark):
+    from scriptorium.operators import extract
+
+    text = "word " * 20
+    rows = [(" 1 ", "7", text, "p"), ("2", "x", text, "p"), ("y", "7", text, "p"), ("3", "8", text, "p"), ("4", "7", " short ", None), ("5", "7", None, "<b>" + "<i></i>" * 20 + "</b>"), ("6", None, text, None), ("+9", "7", text, None)]
+    opinions = spark.createDataFrame(rows, "id string, cluster_id string, plain_text string, html string")
+    clusters = spark.createDataFrame([(7, 3, "", "nan", "Published"), (7, 3, "", "nan", "Published")], "id bigint, docket_id bigint, case_name string, date_filed string, precedential_status string")
+    dockets = spark.createDataFrame([(3, "ca9", "a v. b", "2020-01-01")], "id bigint, court_id string, case_name string, date_filed string")
+    courts = spark.createDataFrame([("ca9", "Ninth Circuit")], "id string, full_name string")
+    records, quarantine, counts = extract.extract(opinions, extract.last_by_key(clusters, "id", "docket_id"), dockets, courts, ["plain_text", "html"])
+    assert {r.outcome: r.n for r in counts.collect()} == {"kept": 2, "bad_cluster_id": 2, "bad_opinion_id": 1, "outside": 1, "empty": 1, "stub": 1}
+    assert sorted((r.reason, r.id) for r in quarantine.collect()) == [("bad_cluster_id", "2"), ("bad_cluster_id", "6"), ("bad_opinion_id", "y")]
+    got = records.orderBy("id").collect()
+    assert len(records.columns) == 23 and [r.id for r in got] == [1, 9]
+    assert (got[0].case_name, got[0].date_filed, got[0].court_name, got[0].is_precedential, got[0].text_length) == ("a v. b", "nan", "Ninth Circuit", True, 99)
+    numbers = spark.createDataFrame([(x,) for x in ("12", " -3 ", "+4", "1_000", "1.0", "", None, "\u00b2", "9" * 19, "9" * 30)], "x string")
+    assert [r.v for r in numbers.select(extract.safe_int(F.col("x")).alias("v")).collect()] == [12, -3, 4, 1000, None, None, None, None, None, None]
+
+
+def test_contracts_of_damaged_shards(spark, tmp_path):
+    from scriptorium.operators import contracts
+
+    def of(path, manifest, **k):
+        return {r.contract: (r.passed, r.n_bad) for r in contracts.corpus_contracts(spark, f"{path}", manifest, ["html"], **k).collect()}
+
+    none = of(tmp_path / "none", None)
+    assert set(none) == set(contracts.NAMES) and not any(none[c][0] for c in ("shard_dir_exists", "manifest_exists", "shards_exist", "total_count", "multiple_circuits")) and none["checksums"][0]
+    good = {c: "x" for c in contracts.PROVENANCE} | {"text_source": "html", "raw_text": "t", "text": "t" * 60, "cleaning_flags": []}
+    lines = [good | {"court_id": f"c{i}"} for i in range(8)] + [good | {"text": ""}, {k: v for k, v in good.items() if k != "docket_id"}, {k: v for k, v in good.items() if k != "raw_text"}, good | {"text_source": "other"}]
+    (tmp_path / "d").mkdir()
+    (tmp_path / "d/part-0.json").write_text("\n".join(map(json.dumps, lines)) + "\nno json\n\n")
+    got = of(tmp_path / "d", {"files": {"part-0.json": {"sha256": "0"}}}, min_total=20)
+    assert {c: n for c, (ok, n) in got.items() if not ok} == {"total_count": 7, "valid_json": 1, "text_present": 2, "text_substantive": 1, "provenance_fields": 2, "raw_and_normalized_text": 2, "text_source_tracked": 2, "schema_consistent": 1, "checksums": 1}
+    (tmp_path / "e").mkdir()
+    (tmp_path / "e/part-0.json").write_text("\n".join(json.dumps(x) for x in lines[:8]))
+    assert contracts.all_passed(contracts.corpus_contracts(spark, f"{tmp_path}/e", {"files": {}}, ["html"]))
+
+
+def test_enrichment_fails_over_a_rate(spark, tmp_path):
+    rows = spark.createDataFrame([(1, None), (2, 50), (3, None), (4, None)], "id int, cluster_id int")
+    index = spark.createDataFrame([(1, 10), (1, 11), (2, 20)], "key int, cluster_id int")
+    parts = joins.enrich(rows, index, "id", "key", "cluster_id")
+    assert {(r.id, r.cluster_id) for r in parts[0].collect()} == {(1, 11), (2, 50)} and {r.id for r in parts[1].collect()} == {3, 4}
+    assert joins.write_enriched(parts, f"{tmp_path}/a", 0.5)["sample_unmatched"] == [3, 4]
+    with pytest.raises(RuntimeError, match="2 of 4"):
+        joins.write_enriched(parts, f"{tmp_path}/b", 0.4)
+    assert spark.read.json(f"{tmp_path}/b/dead").count() == 2  # the dead letters are there to look at
+    whole = joins.enrich(rows.where("id < 3"), index, "id", "key", "cluster_id")
+    assert joins.write_enriched(whole, f"{tmp_path}/c", 0.0)["n_unmatched"] == 0 and not (tmp_path / "c/dead").exists()
+
+
+def test_runs_that_are_not_aligned(spark):
+    a = spark.createDataFrame([(1, 2, 0.5), (1, 3, 0.6)], "s int, d int, x double")
+    b = spark.createDataFrame([(1, 3, "u"), (1, 2, "v")], "s int, d int, y string")
+    assert {tuple(r) for r in joins.aligned(a, b, ["s", "d"]).collect()} == {(1, 2, 0.5, "v"), (1, 3, 0.6, "u")}
+    for other in (b.limit(1), b.union(b.limit(1)), b.union(spark.createDataFrame([(9, 9, "w")], b.schema))):
+        with pytest.raises(Exception, match="aren't aligned"):
+            joins.aligned(a, other, ["s", "d"]).collect()
+    assert tuple(joins.alignment(a, b.limit(1).union(b.limit(1)), ["s", "d"]).first()) == (2, 2, 1, 1, 0, 1)
+
+
+def test_metrics_skip_queries_without_gold(spark):
+    run = spark.createDataFrame([(1, 10, 1), (1, 11, 2), (2, 11, 1), (3, 10, 1)], "query_id int, doc_id int, rank int")
+    gold = spark.createDataFrame([(1, 11), (2, 10), (7, 10)], "query_id int, gold int")
+    m = retrieval.evaluate(gold, run, (1, 2), (2,)).first()
+    assert (m.n_queries, m.n_skipped, m.hit_1, m.hit_2, m.mrr) == (2, 1, 0.0, 0.5, 0.25)
+
+
+def test_spans_are_found(spark):
+    kind = "x string, n array<string>"
+    text = "Roe v. Wade, 410 U.S. 113 and 12 F. Supp. 2d at 9; wade (x.y)"
+    mask = lambda t, n, gap=0: one(spark, X.mask_citations(F.col("x"), F.col("n"), "#", gap), kind, (t, n))
+    assert mask(text, ["Wade", "Roe", ""]) == "# v. #, # and #; # (x.y)"
+    assert mask(text, ["Wade"], 2) == "Roe v. # and # (x.y)"
+    assert mask(text, []) == "Roe v. Wade, # and #; wade (x.y)"
+    assert mask("", ["a"]) == "" and mask("x.y and xzy", ["x.y"]) == "# and xzy"
+    assert [(s.start, s.stop) for s in one(spark, X.spans_of(F.col("x"), "a+"), "x string", ("aab aaa",))] == [(0, 2), (4, 7)]
+
+
 def test_stream_equals_batch_and_resumes(spark, tmp_path):
     schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("text", T.StringType())])
     (tmp_path / "in").mkdir()
