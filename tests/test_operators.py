@@ -515,6 +515,52 @@ def test_spans_are_found(spark):
     assert [(s.start, s.stop) for s in one(spark, X.spans_of(F.col("x"), "a+"), "x string", ("aab aaa",))] == [(0, 2), (4, 7)]
 
 
+def test_remote_stores(spark, tmp_path):
+    import io
+
+    from scriptorium.sources import remote
+
+    waits: list[float] = []
+    quiet = {"sleep": waits.append}
+    page = lambda keys, token: "<?xml version='1.0'?><L xmlns='http://x/'>" + "".join(f"<Contents><Key>{k}</Key><LastModified>2024-01-0{i + 1}</LastModified><Size>{i}</Size></Contents>" for i, k in enumerate(keys)) + (f"<IsTruncated>true</IsTruncated><NextContinuationToken>{token}</NextContinuationToken>" if token else "<IsTruncated>false</IsTruncated>") + "</L>"
+    pages, fails = {None: page(["a", "b"], "t1"), "t1": page(["c"], None)}, [remote.Unavailable("503"), ConnectionError()]
+
+    def fetch(token):
+        if token == "t1" and fails:
+            raise fails.pop()
+        return pages[token]
+
+    assert [(r.key, r.size) for r in remote.listing(spark, fetch, **quiet).collect()] == [("a", 0), ("b", 1), ("c", 0)] and len(waits) == 2
+    fails += [remote.Unavailable("429")] * 3
+    with pytest.raises(remote.Unavailable):
+        list(remote.list_objects(fetch, **quiet))
+    with pytest.raises(ValueError, match="goes round"):
+        list(remote.list_objects(lambda t: page(["a"], "same")))
+    assert list(remote.list_objects(lambda t: page([], None))) == []
+
+    class Broken(io.BytesIO):
+        def read(self, n=-1):
+            raise ConnectionError
+
+    streams = [io.BytesIO(b"whole"), Broken()]
+    at = f"file://{tmp_path}/x.bin"
+    assert remote.download(lambda: streams.pop(), at, **quiet) and not remote.download(lambda: streams.pop(), at)
+    assert (tmp_path / "x.bin").read_bytes() == b"whole" and [x.name for x in tmp_path.iterdir()] == ["x.bin"]
+    schema = T.StructType([T.StructField("id", T.LongType())])
+    tries = [0]
+
+    def opener(revision):
+        tries[0] += 1
+        for i in range(5):
+            if i == 3 and tries[0] == 1:
+                raise remote.Unavailable
+            yield {"id": i}
+
+    assert sorted(r.id for r in remote.land_stream(spark, opener, "a" * 40, f"file://{tmp_path}/h.jsonl", schema, 4, **quiet).collect()) == [0, 1, 2, 3] and tries == [2]
+    with pytest.raises(ValueError):
+        remote.land_stream(spark, opener, "main", f"file://{tmp_path}/i.jsonl", schema)
+
+
 def test_stream_equals_batch_and_resumes(spark, tmp_path):
     schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("text", T.StringType())])
     (tmp_path / "in").mkdir()
