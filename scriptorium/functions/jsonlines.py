@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, StringType, StructField, StructType
 
-SENTINELS = frozenset({"NaN", "nan", "Infinity", "-Infinity", "Inf", "-Inf"})
+SENTINELS = frozenset(sign + word for word in ("NaN", "nan", "Infinity", "Inf") for sign in ("", "-")) - {"-NaN", "-nan"}
 #: Fields in which a bad value can be repaired; in others it blocks.
 ADVISORY = ("case_name", "raw_text", "cleaning_flags")
 #: Also exponents of three digits: a number too large for a double is infinite.

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from scriptorium.functions.jsonlines import findings
 from scriptorium.sources.sinks import verify_manifest
 
-PROVENANCE = ("court_id", "docket_id", "case_name", "date_filed", "precedential_status", "text_source")
+PROVENANCE = tuple("case_name court_id date_filed docket_id precedential_status text_source".split())
 TEXTS = ("raw_text", "text", "cleaning_flags")
 NAMES = (
     "shard_dir_exists", "manifest_exists", "shards_exist", "total_count", "valid_json", "text_present", "text_substantive", "provenance_fields", "raw_and_normalized_text", "text_source_tracked", "multiple_circuits", "schema_consistent", "checksums",

@@ -14,10 +14,8 @@ from .quality import errors
 
 MIN_TEXT = 50
 PRECEDENTIAL = ("published", "precedential")
-APPELLATE = (
-    "first circuit", "second circuit", "third circuit", "fourth circuit", "fifth circuit", "sixth circuit", "seventh circuit", "eighth circuit", "ninth circuit", "tenth circuit",
-    "eleventh circuit", "district of columbia circuit", "d.c. circuit", "federal circuit", "court of appeals",
-)
+_NUMBERED = "first second third fourth fifth sixth seventh eighth ninth tenth eleventh".split()
+APPELLATE = ("court of appeals", *(f"{x} circuit" for x in (*_NUMBERED, "federal", "d.c.", "district of columbia")))
 
 
 def safe_int(text: Column) -> Column:

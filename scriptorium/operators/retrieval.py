@@ -17,6 +17,7 @@ from .ordering import top_k
 K1, B = 1.5, 0.75
 STOPWORDS = tuple("a an and are as at be but by for from has he her his if in into is it its no not of on or she so such that the their them then there these they this to was we were which will with you".split())
 DIGITS = 6
+HITS = (1, 5, 10, 100)
 
 
 def rank(scored: DataFrame, k: int) -> DataFrame:
@@ -143,7 +144,7 @@ def gold_ranks(gold: DataFrame, run: DataFrame, name: str = "rank") -> DataFrame
     return gold.join(r, ["query_id", "gold"], "left").withColumn(name, F.coalesce("_rank", F.lit(0)).cast("bigint")).drop("_rank")
 
 
-def metrics(hits: tuple[int, ...] = (1, 5, 10, 100), ndcg: tuple[int, ...] = (10,), rank: str = "rank") -> list[Column]:
+def metrics(hits: tuple[int, ...] = HITS, ndcg: tuple[int, ...] = (10,), rank: str = "rank") -> list[Column]:
     """Aggregates of ranks with one relevant document each; 0 is a miss."""
     r = F.col(rank)
     return [
@@ -154,7 +155,7 @@ def metrics(hits: tuple[int, ...] = (1, 5, 10, 100), ndcg: tuple[int, ...] = (10
     ]
 
 
-def evaluate(gold: DataFrame, run: DataFrame, hits: tuple[int, ...] = (1, 5, 10, 100), ndcg: tuple[int, ...] = (10,)) -> DataFrame:
+def evaluate(gold: DataFrame, run: DataFrame, hits: tuple[int, ...] = HITS, ndcg: tuple[int, ...] = (10,)) -> DataFrame:
     """Metrics of a run (query_id, doc_id, rank) over its queries that are in ``gold`` (query_id, gold), and ``n_skipped``: how many of its queries aren't."""
     asked = run.groupBy("query_id").agg(F.lit(1).alias("_asked")).join(gold, "query_id", "left")
     skipped = asked.agg(F.count_if(F.col("gold").isNull()).alias("n_skipped"))

@@ -21,7 +21,7 @@ from .base import SP, n_words, query
 from .evaluation import METRICS_SQL, RUNS_SQL, _gold, _run
 from .textual import _CHARS, _CITES, _ENC, _SIGNALS, _boiler, _html, _signals
 
-# --- nested JSON ----------------------------------------------------------------------------------------------
+# --- nested JSON ---
 
 #: (condition on event_id, line) in order; else the event's own line. The id stands for {}.
 _ODD = [
@@ -75,7 +75,7 @@ def shard_audit_damaged(spark, d):
     return quality.shard_audit(_lines(spark, d), "shard", "line")
 
 
-# --- extraction -----------------------------------------------------------------------------------------------
+# --- extraction ---
 
 _OPINIONS = """o AS (SELECT CASE WHEN doc_id % 29 = 0 THEN 'x' || doc_id ELSE ' ' || doc_id END AS id, CASE WHEN doc_id % 31 = 0 THEN '1.5' ELSE CAST(doc_id % 700 AS VARCHAR) END AS cluster_id, doc_id,
 CASE WHEN doc_id % 3 = 0 THEN text END AS plain_text, CASE WHEN doc_id % 3 = 1 THEN '<p>' || text || '</p>' WHEN doc_id % 3 = 2 AND doc_id % 5 = 0 THEN '<b>' || substring(text, 1, 20) || '</b>' || repeat('<br/>', 10) WHEN doc_id % 3 = 2 THEN 'Not Reported in F.' || chr(10) || text END AS html FROM documents)"""
@@ -123,7 +123,7 @@ status = 'Published' AS is_precedential, text_source, length(raw) AS raw_length,
 FROM g JOIN c ON cl = cid LEFT JOIN k ON docket_id = did LEFT JOIN r ON court_id = rid WHERE outcome = 'kept'""")
 def extract_records(spark, d):
     r = _extracted(spark, d)[0].withColumn("raw_length", F.length("raw_text")).withColumn("text_entropy", F.round("text_entropy", 5))
-    return r.select("id", "cluster_id", "docket_id", "court_id", "court_name", "case_name", "date_filed", "precedential_status", "is_precedential", "text_source", "raw_length", "text_length", "token_count", "citation_count", "text_hash", "text_entropy", "source")
+    return r.select("court_name", "court_id", "docket_id", "cluster_id", "id", "case_name", "date_filed", "precedential_status", "is_precedential", "text_source", "raw_length", "text_length", "token_count", "citation_count", "text_hash", "text_entropy", "source")
 
 
 @query("SELECT n_nationkey, n_name FROM nation WHERE regexp_matches(lower(CASE n_nationkey % 4 WHEN 0 THEN 'U.S. COURT OF APPEALS, ' || n_name WHEN 1 THEN 'Second Circuit ' || n_name WHEN 2 THEN n_name || ' District Court' END), 'court of appeals|second circuit')")
@@ -178,7 +178,7 @@ def ordered_pairs(spark, d):
     return t(spark, d, "lineitem").where("l_quantity > 0").groupBy("l_orderkey", "l_suppkey").agg(F.min("l_linenumber").alias("first_seen"))
 
 
-# --- contracts, enrichment, alignment -------------------------------------------------------------------------
+# --- contracts, enrichment, alignment ---
 
 
 @query("""WITH s AS (SELECT * FROM documents WHERE doc_id < 150) SELECT unnest(['shard_dir_exists', 'manifest_exists', 'shards_exist', 'total_count', 'valid_json', 'text_present', 'provenance_fields', 'raw_and_normalized_text', 'schema_consistent', 'checksums']) AS contract, true AS passed, 0::BIGINT AS n_bad
@@ -264,7 +264,7 @@ def detected_spans(spark, d):
     return docs.select("doc_id", X.mask_citations(F.col("text"), F.array(F.lit("Acme Ltd"), F.lit("")), gap=2).alias("text"))
 
 
-# --- details of gates -----------------------------------------------------------------------------------------
+# --- details of gates ---
 
 _CHECKS = {
     "missing_text": ("text IS NULL", "presence"), "missing_source": ("source IS NULL", "presence"), "negative_length": ("n_chars < 0", "range"), "unknown_lang": ("lang NOT IN ('en', 'fr', 'de')", "vocabulary"),

@@ -227,7 +227,7 @@ def truncation_estimate(spark, d):
     return t(spark, d, "documents").agg(F.count_if(over).alias("truncated"), F.round(quality.share(over), 6).alias("share"))
 
 
-# --- signals, gates, contracts --------------------------------------------------------------------------------
+# --- signals, gates, contracts ---
 
 _NOTICE = ("licensed under", "all rights reserved", "released under the mit")
 

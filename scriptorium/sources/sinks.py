@@ -115,15 +115,15 @@ def _landed(spark: SparkSession, path: str) -> dict:
     return {"rows_written": spark.read.text(path).count(), "sha256": hashlib.sha256("".join(f"{f}:{h}\n" for f, h in files).encode()).hexdigest()}
 
 
-def land(df: DataFrame, path: str, cap: int, source: dict[str, str], force: bool = False, dry_run: bool = False, verify_only: bool = False) -> dict:
+def land(df: DataFrame, path: str, cap: int, source: dict[str, str], verify_only: bool = False, force: bool = False, dry_run: bool = False) -> dict:
     """Lands at most ``cap`` rows as JSON lines under ``path``, with a manifest of where they are from, their number and the digest of their files.
 
     What is complete isn't written again (``skipped``). Data whose manifest is gone, as after a crash between the two, gets a new one, made from the files, that says
     so (``provenance_reconstructed``). ``force`` writes in any case; ``dry_run`` only counts; ``verify_only`` raises ValueError unless data and manifest are there and agree in
     source, cap, rows and digest.
     """
-    if cap <= 0:
-        raise ValueError(f"cap: above 0, not {cap}")
+    if cap < 1:
+        raise ValueError("cap: 1 at least")
     spark = df.sparkSession
     system, at = _at(spark, f"{path}/_SUCCESS")
     complete, manifest = system.exists(at), read_manifest(spark, path)

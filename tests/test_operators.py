@@ -254,7 +254,7 @@ def test_length_and_finite(spark):
     assert [r.o for r in off] == [False, True, True, True]
 
 
-# --- sources, sinks, streams ----------------------------------------------------------------------------------
+# --- sources, sinks, streams ---
 
 
 def test_csv(spark, tmp_path):
