@@ -11,7 +11,10 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import pyarrow.dataset as ds
 import xxhash
+from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -91,9 +94,47 @@ def numbered(docs: DataFrame, name: str) -> DataFrame:
     return docs.withColumn(name, F.monotonically_increasing_id())
 
 
+#: Bits of a row number below those of its partition, and of a partition's number below those of its group.
+ROW_BITS, GROUP_BITS = 33, 6
+
+
+def arrow_path(uri: str) -> tuple[fs.FileSystem, str]:
+    return fs.FileSystem.from_uri(re.sub(r"^s3[an]://", "s3://", uri))
+
+
 def without_rows(docs: DataFrame, row: str, dropped: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose number ``row`` isn't in ``dropped``, with the columns of ``docs``. Only the numbers of dropped rows travel, if they are few."""
-    return numbered(docs, row).join(dropped.select(F.col(dropped.columns[0]).alias(row)), row, "left_anti").select(*[f"`{c}`" for c in docs.columns])
+    """Rows of ``docs`` whose number ``row`` isn't in ``dropped`` (one column, no nulls), with the columns of ``docs``.
+
+    A row's number says which partition it is in. So the dropped numbers, sorted, are written to the shared folder by groups of partitions, and each
+    task of the scan reads those of its own partition: neither texts nor their sort keys are shuffled, and nothing is broadcast, however many rows go. Where pyarrow can't reach
+    the folder, it is an anti-join.
+    """
+    spark = docs.sparkSession
+    path = f"{table_dir(spark)}/{uuid.uuid4().hex}"
+    numbers = dropped.select(F.col(dropped.columns[0]).alias("row"))
+    try:
+        arrow_path(path)
+    except (pa.ArrowException, OSError):
+        return numbered(docs, row).join(numbers.withColumnRenamed("row", row), row, "left_anti").select(*[f"`{c}`" for c in docs.columns])
+    grouped = numbers.withColumn("part", F.shiftright("row", ROW_BITS + GROUP_BITS))
+    grouped.repartition("part").sortWithinPartitions("part", "row").write.partitionBy("part").parquet(path)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mine = TaskContext.get().partitionId()
+        system, folder = arrow_path(f"{path}/part={mine >> GROUP_BITS}")
+        gone = np.zeros(0, dtype=np.int64)
+        if system.get_file_info(folder).type == fs.FileType.Directory:
+            first = mine << ROW_BITS
+            rows = ds.dataset(folder, filesystem=system, format="parquet").to_table(columns=["row"], filter=(ds.field("row") >= first) & (ds.field("row") < first + (1 << ROW_BITS)))
+            gone = np.sort(rows["row"].to_numpy())
+        for batch in batches:
+            number = batch.column(row).to_numpy(zero_copy_only=False)
+            if len(gone):
+                stays = gone[np.minimum(np.searchsorted(gone, number), len(gone) - 1)] != number
+                batch = batch.filter(pa.array(stays))
+            yield batch.select([c for c in batch.schema.names if c != row])
+
+    return numbered(docs, row).mapInArrow(run, docs.schema)
 
 
 def word_count(text: str | Column) -> Column:
