@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .common import cut, documents, fresh, numbered, repeatable, without_rows
 
-BLOCK_CHARS = 4096
+BLOCK_CHARS = 32_768
 HOT_ROWS = 200_000
 SALTS = 64
 #: Bits of a name: 6 level, 20 bucket, 7 salt, 30 rank.
@@ -31,12 +31,14 @@ def _packed(level: int, bucket: str, salt: Column, rank: Column) -> Column:
     return F.lit(level << LEVEL_SHIFT).cast("bigint") + F.shiftleft(F.col(bucket).cast("bigint"), SALT_BITS + RANK_BITS) + F.shiftleft(salt.cast("bigint"), RANK_BITS) + rank.cast("bigint")
 
 
-def name_keys(rows: DataFrame, keys: list[str], level: int, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Rows without ``keys`` but with ``name``, an integer that is the same for equal keys and differs for others. The result is cut from its lineage."""
+def name_keys(rows: DataFrame, keys: list[str], level: int, hot_rows: int = HOT_ROWS, most_rows: int | None = None) -> DataFrame:
+    """Rows without ``keys`` but with ``name``, an integer that is the same for equal keys and differs for others. The result is cut from its lineage. Where there are ``most_rows`` at most, and they are few, no key can be hot."""
     keep = [c for c in rows.columns if c not in keys]
     rows = rows.withColumn("h", F.xxhash64(*keys))
-    hot = cut(rows.groupBy("h").count().where(F.col("count") > hot_rows).select("h"))
-    n_hot = hot.count()
+    n_hot = 0
+    if most_rows is None or most_rows > hot_rows:
+        hot = cut(rows.groupBy("h").count().where(F.col("count") > hot_rows).select("h"))
+        n_hot = hot.count()
     rows = rows.withColumn("bucket", F.pmod("h", F.lit(BUCKETS)).cast("int"))
     if not n_hot:
         ranked = rows.withColumn("rank", F.dense_rank().over(Window.partitionBy("bucket").orderBy(*keys)))
@@ -63,7 +65,8 @@ def identities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = texts.select("row", "doc", blocks.alias("blocks")).select("row", "doc", F.size("blocks").alias("n"), F.posexplode("blocks").alias("pos", "block"))
     level, done = 0, []
     named = name_keys(rows, ["block"], level, hot_rows)
-    most = named.agg(F.max("n")).first()[0] or 0
+    most, left = named.agg(F.max("n"), F.count_if(F.col("n") > 1)).first()
+    most = most or 0
     while True:
         done.append(named.where("n = 1").select("row", "doc", "name"))
         if most <= 1:
@@ -72,7 +75,7 @@ def identities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         half = F.floor(F.col("pos") / 2).cast("int").alias("pos")
         even = F.col("pos") % 2 == 0
         pairs = named.where("n > 1").groupBy("row", "doc", ((F.col("n") + 1) / 2).cast("int").alias("n"), half).agg(F.max(F.when(even, F.col("name"))).alias("left"), F.coalesce(F.max(F.when(~even, F.col("name"))), F.lit(-1)).alias("right"))
-        named = name_keys(pairs, ["left", "right"], level, hot_rows)
+        named = name_keys(pairs, ["left", "right"], level, hot_rows, left)  # as many rows as the level before had, at most
     out = done[0]
     for x in done[1:]:
         out = out.unionByName(x)
