@@ -31,6 +31,8 @@ L2 = 1e-3
 ROUNDS = 200
 NOTICE = r"(?i)licen[sc]ed? under|all rights reserved|copyright|\(c\) ?\d{4}|terms of (use|service)|privacy policy|cookies?\b|subscribe|sign up|log ?in\b|click here|MIT License|General Public License|derechos reservados|droits r.serv.s|alle rechte vorbehalten"
 FEATURES = 25
+#: Bytes that are told apart at a time.
+PIECE = 1 << 21
 NOTICE_FEATURE = 16
 
 
@@ -67,7 +69,15 @@ def features(edges: np.ndarray, lines: pa.Array) -> np.ndarray:
     space = (code == 32) | ((code >= 9) & (code <= 13))
     plain = np.isin(code, [ord(x) for x in ".,;:'-?()\""])
     kind = np.select([lower, upper, digit, plain, space], [0, 1, 2, 4, 5], 3)  # 3: other signs
-    counts = np.bincount(np.repeat(6 * np.arange(n), size) + kind[raw], minlength=6 * n).reshape(n, 6)
+    counts, ends, first = np.zeros((n, 6)), np.cumsum(size), 0
+    while first < n:  # lines of about PIECE bytes at a time
+        begin = int(ends[first] - size[first])
+        last = max(first + 1, int(np.searchsorted(ends, begin + PIECE, side="right")))
+        which = kind[raw[begin : ends[last - 1]]]
+        if last - first > 1:
+            which = which + np.repeat(6 * np.arange(last - first), size[first:last])
+        counts[first:last] = np.bincount(which, minlength=6 * (last - first)).reshape(-1, 6)
+        first = last
     sl, su, sd, ss, sp, sw = (counts / np.maximum(size, 1)[:, None]).T
     notice = ints(pc.match_substring_regex(lines, NOTICE)) > 0
     ends = ints(pc.match_substring_regex(lines, r"[.!?]\s*$")) > 0
