@@ -188,11 +188,10 @@ def hash_words(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     p1, p2, p3, p4, p5 = map(np.uint64, (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
     sizes = pc.binary_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
     raw = np.frombuffer(pc.binary_join(pa.ListArray.from_arrays([0, len(words)], words), "")[0].as_buffer(), dtype=np.uint8) if sizes.any() else np.zeros(0, np.uint8)
-    starts = np.cumsum(sizes) - sizes
+    fits = sizes < 32
+    raw, held = raw if fits.all() else raw[np.repeat(fits, sizes)], sizes[fits]
     padded = np.zeros((len(words), 32), dtype=np.uint8)
-    row, place = np.repeat(np.arange(len(words)), sizes), np.arange(len(raw)) - np.repeat(starts, sizes)
-    fits = place < 32
-    padded[row[fits], place[fits]] = raw[fits]
+    padded[np.repeat(np.flatnonzero(fits), held), np.arange(len(raw)) - np.repeat(np.cumsum(held) - held, held)] = raw
     at, h = np.arange(len(words)), p5 + sizes.astype(np.uint64)
     for i in range(3):
         h = np.where(sizes >= 8 * i + 8, _turned(h ^ _turned(padded.view("<u8")[:, i] * p2, 31) * p1, 27) * p1 + p4, h)

@@ -39,7 +39,7 @@ INDEX_SCHEMA = "file string, record bigint, page_id bigint, url string, offset b
 _FIELDS = [x.split() for x in INDEX_SCHEMA.split(", ")]
 
 
-# --- streams --------------------------------------------------------------------------------------------------
+# --- streams ---
 
 
 class Break:
@@ -243,7 +243,7 @@ def read_record(path: str, offset: int, length: int) -> tuple[dict[str, str], by
     return fields, rest[: int(fields["content-length"])]
 
 
-# --- files ----------------------------------------------------------------------------------------------------
+# --- files ---
 
 
 def _attempt() -> str:
