@@ -357,3 +357,39 @@ def contracts(spark, d):
     extra = docs.groupBy("doc_id").agg(F.count("*").alias("n")).agg((F.sum("n") - F.count("*")).alias("ids_unique"))
     rows = [F.struct(F.lit(k).alias("contract"), F.col(k).alias("n_bad"), (F.col(k) == 0).alias("passed")) for k in [*CONTRACTS, "ids_unique"]]
     return one.crossJoin(extra).select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+
+
+_ODD_TS = """CASE event_id % 8 WHEN 0 THEN 'on ' || strftime(ts, '%Y-%m-%d') WHEN 1 THEN strftime(ts, '%Y-%m-') || lpad(CAST(event_id % 40 AS VARCHAR), 2, '0') WHEN 2 THEN strftime(ts, '%Y-%m-%d') || 'T' || lpad(CAST(event_id % 30 AS VARCHAR), 2, '0') || ':15:00Z'
+WHEN 3 THEN '2023-02-' || (20 + event_id % 12) || 'T01:02:03-0530' WHEN 4 THEN strftime(ts, '%Y-%m-%d') || 'T01:02:03' WHEN 5 THEN '2024-' || lpad(CAST(event_id % 15 AS VARCHAR), 2, '0') || '-05T00:00:00+00:00' WHEN 6 THEN strftime(ts, '%Y-%m-%d') || 'T01:02:03.25Z' ELSE props END"""
+
+
+@query(rf"""WITH r AS (SELECT event_id, regexp_extract({_ODD_TS}, '[0-9]{{4}}(-[0-9]{{2}}){{2}}(T[0-9]{{2}}(:[0-9]{{2}}){{2}}(\.[0-9]+Z?|[-+][0-9]{{2}}:?[0-9]{{2}}|Z)?)?') AS raw FROM events),
+p AS (SELECT *, substring(raw, 1, 10) AS day, substring(raw, 12, 8) AS clock, substring(raw, 20) AS rest FROM r),
+v AS (SELECT *, try_strptime(day || ' ' || CASE WHEN clock = '' THEN '00:00:00' ELSE clock END, '%Y-%m-%d %H:%M:%S') IS NOT NULL AS real FROM p)
+SELECT event_id, CASE WHEN NOT real OR raw = '' OR rest LIKE '.%' THEN '' WHEN clock = '' THEN day ELSE day || 'T' || clock || CASE WHEN rest IN ('Z', '+00:00', '-00:00', '+0000', '-0000') THEN 'Z' WHEN length(rest) = 5 THEN left(rest, 3) || ':' || right(rest, 2) ELSE rest END END AS stamp FROM v""")
+def normalize_timestamp_odd(spark, d):
+    """Times whose days and hours may not exist; what each becomes is worked out by the other engine."""
+    i, day = F.col("event_id"), F.date_format("ts", "yyyy-MM-dd")
+    two = lambda x: F.lpad(x.cast("string"), 2, "0")
+    raw = (
+        F.when(i % 8 == 0, F.concat(F.lit("on "), day)).when(i % 8 == 1, F.concat(F.date_format("ts", "yyyy-MM-"), two(i % 40))).when(i % 8 == 2, F.concat(day, F.lit("T"), two(i % 30), F.lit(":15:00Z")))
+        .when(i % 8 == 3, F.concat(F.lit("2023-02-"), 20 + i % 12, F.lit("T01:02:03-0530"))).when(i % 8 == 4, F.concat(day, F.lit("T01:02:03"))).when(i % 8 == 5, F.concat(F.lit("2024-"), two(i % 15), F.lit("-05T00:00:00+00:00")))
+        .when(i % 8 == 6, F.concat(day, F.lit("T01:02:03.25Z"))).otherwise(F.col("props"))
+    )
+    return t(spark, d, "events").select("event_id", X.normalize_timestamp(raw).alias("stamp"))
+
+
+_SAID = "CASE WHEN conv_id % 5 = 0 THEN text || ' so: Partial, not faithful.' WHEN conv_id % 5 = 1 THEN 'unfaithful ' || text WHEN conv_id % 5 = 2 THEN upper(text) || ' HALLUCINATED' WHEN conv_id % 5 = 3 THEN 'faithful-ish? ' || text ELSE text END"
+
+
+@query(rf"SELECT conv_id, turn, CASE WHEN regexp_matches({_SAID}, '(?i)\b(FAITHFUL|PARTIAL|HALLUCINATED)\b') THEN upper(regexp_extract({_SAID}, '(?i)\b(FAITHFUL|PARTIAL|HALLUCINATED)\b', 1)) ELSE 'UNKNOWN' END AS verdict FROM conversations")
+def parse_verdict_in_text(spark, d):
+    k, text = F.col("conv_id") % 5, F.col("text")
+    said = F.when(k == 0, F.concat(text, F.lit(" so: Partial, not faithful."))).when(k == 1, F.concat(F.lit("unfaithful "), text)).when(k == 2, F.concat(F.upper(text), F.lit(" HALLUCINATED"))).when(k == 3, F.concat(F.lit("faithful-ish? "), text)).otherwise(text)
+    return t(spark, d, "conversations").select("conv_id", "turn", X.parse_verdict(said).alias("verdict"))
+
+
+@query(f"WITH s AS ({_SIGNALS} WHERE doc_id IN (SELECT doc_id FROM documents ORDER BY doc_id LIMIT 150)) SELECT signal, count(*) AS n FROM (SELECT unnest(signals) AS signal FROM s) GROUP BY 1")
+def signals_first_n(spark, d):
+    first = t(spark, d, "documents").select("doc_id", "text").orderBy("doc_id").limit(150)
+    return _signals(first).select(F.explode("signals").alias("signal")).groupBy("signal").agg(F.count("*").alias("n"))
