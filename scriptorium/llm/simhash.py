@@ -40,16 +40,20 @@ PRINT = ["f0", "f1", "f2", "f3"]
 PRINT_SCHEMA = ", ".join(f"{c} bigint" for c in PRINT)
 NOT_WORD = r"[^\p{L}\p{N}_]+"
 #: Depth of the nodes that tasks start from, at least; down to what depth nodes are counted; and how many fingerprints a node may be sent before the next depth is taken.
-MIN_DEPTH, COUNT_DEPTH, NODE_ROWS = 6, 10, 1 << 20
+MIN_DEPTH, COUNT_DEPTH, NODE_ROWS = 6, 13, 1 << 20
+#: A node that is too large at the last depth is split into 2**MOST_PART_BITS parts at most.
+MOST_PART_BITS = 6
 #: Pairs of nodes with at most so many pairs of members are compared member by member.
 LEAF_PAIRS = 1 << 14
 #: Pairs of nodes that are advanced at a time.
 NODE_PAIRS = 1 << 20
+#: So many edges are joined into groups by one task.
+ONE_TASK_EDGES = 1 << 20
 #: Rows joined at a time, pairs compared at a time, and pairs compared between two looks at the forest, in a task.
 CHUNK_ROWS, CHUNK_PAIRS, LOOK_PAIRS = 60_000, 300_000, 3_000_000
 
 
-# --- fingerprints ---------------------------------------------------------------------------------------------
+# --- fingerprints ---
 
 
 def _word_lanes(hashes: np.ndarray) -> np.ndarray:
@@ -156,7 +160,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return texts.mapInArrow(_fingerprint_batches, f"row bigint, doc {kind}, {PRINT_SCHEMA}, short boolean")
 
 
-# --- trie self-join -------------------------------------------------------------------------------------------
+# --- trie self-join ---
 
 
 @dataclass(frozen=True)
@@ -202,15 +206,28 @@ def _low_bit(x: np.ndarray) -> np.ndarray:
     return x & (~x + np.uint64(1))
 
 
-def node_rows(f0: np.ndarray, ways: list[Rotation], depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Nodes of a depth that each fingerprint is sent to: (index of the fingerprint, place).
+@dataclass(frozen=True)
+class Cut:
+    """Where the tries are cut into tasks: at a depth, and nodes that are still ``large`` there (sorted; rotation << 32 | node) into pairs of their parts by the next ``bits``."""
+
+    depth: int
+    bits: int = 0
+    large: tuple[int, ...] = ()
+
+
+def node_rows(f0: np.ndarray, ways: list[Rotation], cut_at: Cut) -> tuple[np.ndarray, np.ndarray]:
+    """Nodes that each fingerprint is sent to: (index of the fingerprint, place).
 
     The paths of a near pair differ in k <= errors bits there. It meets at the node between: one of them turns the lower half of these
-    bits, the other the rest, such that the lowest is 0 there. So each pair meets in one node of a rotation. A place holds rotation, node, and which bits were turned.
+    bits, the other the rest, such that the lowest is 0 there. So each pair meets in one node of a rotation. Of a large node, a fingerprint goes to each pair of parts that has its
+    own. A place holds rotation, pair of parts, node, and which bits were turned.
     """
     index, place = [], []
+    depth, bits = cut_at.depth, cut_at.bits
+    large = np.array(cut_at.large, dtype=np.uint64)
     for r, way in enumerate(ways):
-        own = _read(f0, way.start) >> np.uint64(64 - depth)
+        key = _read(f0, way.start)
+        own = key >> np.uint64(64 - depth)
         masks = _masks(depth, way.errors)
         at = own[:, None] ^ masks[None, :]
         there = np.ones(at.shape, dtype=bool)
@@ -218,8 +235,16 @@ def node_rows(f0: np.ndarray, ways: list[Rotation], depth: int) -> tuple[np.ndar
             most = np.bitwise_count(masks) > way.errors // 2
             there[:, most] = (own[:, None] & _low_bit(masks[most])[None, :]) != 0
         rows, kind = np.nonzero(there)
+        node = at[rows, kind]
+        if len(large):
+            split = np.isin(np.uint64(r << 32) | node, large)
+            part = ((key >> np.uint64(64 - depth - bits)) & np.uint64((1 << bits) - 1))[rows[split]]
+            other = np.arange(1 << bits, dtype=np.uint64)
+            pair = np.minimum(part[:, None], other) << np.uint64(bits) | np.maximum(part[:, None], other)
+            rows, kind, node = (np.concatenate([x[~split], np.repeat(x[split], 1 << bits)]) for x in (rows, kind, node))
+            node |= np.concatenate([np.zeros(int((~split).sum()), np.uint64), pair.ravel()]) << np.uint64(16)
         index.append(rows)
-        place.append(np.uint64(r << 48) | at[rows, kind] << np.uint64(16) | kind.astype(np.uint64))
+        place.append(np.uint64(r << 48) | node << np.uint64(16) | kind.astype(np.uint64))
     return np.concatenate(index), np.concatenate(place).astype(np.int64)
 
 
@@ -394,13 +419,13 @@ def _joined(root: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
 
 
-def _expand(ways: list[Rotation], depth: int):
+def _expand(ways: list[Rotation], cut_at: Cut):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for start in range(0, whole.num_rows, 5_000):
                 batch = whole.slice(start, 5_000)
                 f0 = batch.column("f0").to_numpy(zero_copy_only=False).view(np.uint64)
-                index, place = node_rows(f0, ways, depth)
+                index, place = node_rows(f0, ways, cut_at)
                 take = pa.array(index)
                 yield pa.RecordBatch.from_arrays([pa.array(place), *(batch.column(c).take(take) for c in (*PRINT, "vs"))], ["place", *PRINT, "vs"])
 
@@ -446,25 +471,26 @@ def _join(ways: list[Rotation], depth: int, budget: int, budget_runs: int):
     return run
 
 
-def plan_depth(prints: DataFrame, n: int, ways: list[Rotation], node_rows: int = NODE_ROWS) -> int:
-    """Depth at which the trie is cut into tasks: the least, from MIN_DEPTH on, at which no node is sent more than ``node_rows`` fingerprints, if it isn't beyond COUNT_DEPTH; else the first block's width."""
-    most = min(w.width for w in ways)
-    depth = min(MIN_DEPTH, most)
+def plan_cut(prints: DataFrame, n: int, ways: list[Rotation], node_rows: int = NODE_ROWS) -> Cut:
+    """The least depth, from MIN_DEPTH on, at which no node is sent more than ``node_rows`` fingerprints. If some are down to the depth that is counted, they are split into parts such that a pair of even parts isn't."""
+    deep = min(COUNT_DEPTH, *(w.width for w in ways))
+    depth = min(MIN_DEPTH, deep)
     if n <= node_rows:  # no node can have more
-        return depth
-    deep = min(COUNT_DEPTH, most)
+        return Cut(depth)
     prefix = [F.struct(F.lit(r).alias("r"), F.shiftrightunsigned(F.shiftleft("f0", w.start).bitwiseOR(F.shiftrightunsigned("f0", 64 - w.start) if w.start else F.lit(0).cast("bigint")), 64 - deep).alias("node")) for r, w in enumerate(ways)]
     # a row for each node at most: len(ways) * 2**COUNT_DEPTH
     counts = np.zeros((len(ways), 1 << deep), dtype=np.int64)
     for row in prints.select(F.explode(F.array(*prefix)).alias("p")).groupBy("p.r", "p.node").count().collect():
         counts[row["r"], row["node"]] = row["count"]
-    while depth <= deep:
-        at = counts.reshape(len(ways), 1 << depth, -1).sum(2)
-        node = np.arange(1 << depth)
-        if max(int(sum(at[r][node ^ int(x)] for x in _masks(depth, w.errors)).max()) for r, w in enumerate(ways)) <= node_rows:
-            return depth
+    while True:
+        at, node = counts.reshape(len(ways), 1 << depth, -1).sum(2), np.arange(1 << depth)
+        sent = np.stack([sum(at[r][node ^ int(x)] for x in _masks(depth, w.errors)) for r, w in enumerate(ways)])
+        if sent.max() <= node_rows:
+            return Cut(depth)
+        if depth == deep:
+            bits = min(MOST_PART_BITS, max(1, int(np.ceil(np.log2(2 * sent.max() / node_rows)))))
+            return Cut(depth, bits, tuple(int(r) << 32 | int(v) for r, v in np.argwhere(sent > node_rows)))
         depth += 1
-    return most
 
 
 def near_edges(prints: DataFrame, budget: int = BUDGET, budget_runs: int = BUDGET_RUNS) -> DataFrame:
@@ -475,17 +501,28 @@ def near_edges(prints: DataFrame, budget: int = BUDGET, budget_runs: int = BUDGE
     """
     n = prints.count()
     ways = rotations(n, budget)
-    depth = plan_depth(prints, n, ways)
-    rows = prints.select(*PRINT, (F.col("v") * 2 + F.col("short").cast("bigint")).alias("vs")).mapInArrow(_expand(ways, depth), f"place bigint, {PRINT_SCHEMA}, vs bigint")
-    return rows.repartition(F.shiftright("place", 16)).sortWithinPartitions("place").mapInArrow(_join(ways, depth, budget, budget_runs), "a bigint, b bigint").distinct()
+    at = plan_cut(prints, n, ways)
+    rows = prints.select(*PRINT, (F.col("v") * 2 + F.col("short").cast("bigint")).alias("vs")).mapInArrow(_expand(ways, at), f"place bigint, {PRINT_SCHEMA}, vs bigint")
+    return rows.repartition(F.shiftright("place", 16)).sortWithinPartitions("place").mapInArrow(_join(ways, at.depth, budget, budget_runs), "a bigint, b bigint").distinct()
+
+
+# --- groups ---
 
 
-# --- groups ---------------------------------------------------------------------------------------------------
+def _union(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held = [(b.column("a").to_numpy(), b.column("b").to_numpy()) for b in batches]
+    if held:
+        a, b = (np.concatenate(x) for x in zip(*held, strict=True))
+        vertices, index = np.unique(np.concatenate([a, b]), return_inverse=True)
+        root = _joined(np.arange(len(vertices)), index[: len(a)], index[len(a) :])
+        yield pa.RecordBatch.from_arrays([pa.array(vertices), pa.array(vertices[root])], ["v", "root"])
 
 
-def connected(edges: DataFrame) -> DataFrame:
-    """(v, root) for each vertex of edges (a, b): the least vertex that it is connected with. Alternating large and small stars, a logarithmic number of rounds."""
+def connected(edges: DataFrame, one_task: int = ONE_TASK_EDGES) -> DataFrame:
+    """(v, root) for each vertex of edges (a, b): the least vertex that it is connected with. Up to ``one_task`` edges, counted, are joined by one task (some tens of MB); more by alternating large and small stars, in a logarithmic number of rounds."""
     edges = cut(edges.select("a", "b"))
+    if edges.count() <= one_task:
+        return edges.coalesce(1).mapInArrow(_union, "v bigint, root bigint")
     seen = None
     while True:
         both = edges.union(edges.select("b", "a"))
