@@ -169,3 +169,30 @@ def test_rows_without_a_steady_order_are_written_first(spark, sf_dir):
     some = scan.limit(120)
     left = exact_dedup.drop_exact_duplicates(some)
     assert 0 < left.count() == left.select("text").distinct().count()
+
+
+def test_rows_are_dropped_where_they_are_read(spark, sf_dir, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from scriptorium.llm import common
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    spread = common.cut(docs.repartition(70))  # more partitions than a group has
+    spark.conf.set("spark.sql.files.openCostInBytes", "134217728")  # one file a partition
+    try:
+        spread = spark.read.parquet(spread.inputFiles()[0].rsplit("/", 1)[0])
+        assert spread.rdd.getNumPartitions() > 64
+        for d in (docs, spread):
+            gone = common.numbered(d, "n").where("doc_id % 3 = 0").select("n")
+            for reach in (common.arrow_path, None):
+                if reach is None:
+                    monkeypatch.setattr(common, "arrow_path", lambda uri: (_ for _ in ()).throw(OSError(uri)))
+                left = common.without_rows(d, "row", gone)
+                assert left.columns == d.columns
+                assert ids(left) == ids(d.where("doc_id % 3 != 0"))
+                assert common.without_rows(d, "row", gone.where(F.lit(False))).count() == d.count()
+                assert common.without_rows(d, "row", common.numbered(d, "n").select("n")).count() == 0
+                assert ("Join" in left._jdf.queryExecution().executedPlan().toString()) == (reach is None)
+            monkeypatch.undo()
+    finally:
+        spark.conf.unset("spark.sql.files.openCostInBytes")

@@ -41,7 +41,7 @@ def test_against_sql(name, spark, duck, sf_dir):
     assert canonical(registry.QUERIES[name](spark, sf_dir).toPandas()) == canonical(duck.sql(registry.ORACLE_SQL[name]).df())
 
 
-# --- exact dedup ----------------------------------------------------------------------------------------------
+# --- exact dedup ---
 
 
 @pytest.mark.parametrize(("block", "hot"), [(1, 2), (3, 2), (3, 10**9), (64, 1)])
@@ -58,7 +58,7 @@ def test_names_are_equal_exactly_for_equal_texts(spark, block, hot):
     assert len(by_name) == len(set(texts))
 
 
-# --- mixing ---------------------------------------------------------------------------------------------------
+# --- mixing ---
 
 
 def test_mixture_follows_weights(spark):
@@ -71,7 +71,7 @@ def test_mixture_follows_weights(spark):
     assert sorted(out.position) == list(range(1, len(out) + 1))
 
 
-# --- packing --------------------------------------------------------------------------------------------------
+# --- packing ---
 
 
 def brute_pack(lengths, capacity, open_bins):
@@ -137,7 +137,7 @@ def test_packing_in_shards_against_brute_force(spark):
         assert sorted(got, key=repr) == sorted(want, key=repr)
 
 
-# --- classifiers ----------------------------------------------------------------------------------------------
+# --- classifiers ---
 
 
 def test_toxicity_held_out(labelled):
@@ -325,7 +325,7 @@ def test_hinge_dual_reaches_the_optimum():
     assert all(loss(w) <= loss(w + d) + 1e-6 for d in rng.normal(scale=0.05, size=(300, 5)))
 
 
-# --- line field -----------------------------------------------------------------------------------------------
+# --- line field ---
 
 
 def test_viterbi_and_expectations_against_enumeration():
@@ -417,7 +417,7 @@ def test_line_query_against_brute_force(spark, duck, sf_dir):
         assert got[i][0] == pytest.approx(want) and got[i][1] == (got[i][0] >= linecrf.MIN_CONTENT_SHARE)
 
 
-# --- tokens ---------------------------------------------------------------------------------------------------
+# --- tokens ---
 
 
 @settings(max_examples=100, deadline=None)
@@ -451,7 +451,7 @@ def test_ids_of_long_texts_come_as_arrays(monkeypatch):
     assert tokenbin.ids_of(text, enc).tolist() == want and enc.decode(want) == text
 
 
-# --- near duplicates ------------------------------------------------------------------------------------------
+# --- near duplicates ---
 
 
 @settings(max_examples=200, deadline=None)
@@ -469,9 +469,9 @@ def brute_pairs(f, budget, budget_runs):
     return out
 
 
-def trie_of(f, ways, depth):
+def trie_of(f, ways, depth, **split):
     """Rows as a task has them: index of each row's fingerprint, and its place, in the order of the trie."""
-    index, place = simhash.node_rows(f[:, 0], ways, depth)
+    index, place = simhash.node_rows(f[:, 0], ways, simhash.Cut(depth, **split))
     bits = np.array([int(simhash._read(f[i : i + 1, 0], ways[p >> 48].start)[0]) for i, p in zip(index.tolist(), place.tolist(), strict=True)], dtype=np.uint64)
     order = np.lexsort((bits, place))
     return index[order], place[order]
@@ -551,19 +551,47 @@ def test_budget_prunes_the_documents_trie(monkeypatch):
     assert seen["compared"] < len(f) * (len(f) - 1) / 2 / 3
 
 
-@pytest.mark.parametrize("most", [10**9, 3000, 700, 1])
-def test_depth_follows_the_counts_of_nodes(spark, most):
+@pytest.mark.parametrize("most", [10**9, 3500, 3000, 700, 1])
+def test_cut_follows_the_counts_of_nodes(spark, most):
     rng = np.random.default_rng(7)
     f0 = np.unique(rng.integers(-(2**63), 2**63 - 1, size=4000) & np.int64((1 << 56) - 1))  # the first eight bits are 0
     prints = spark.createDataFrame([(int(x),) for x in f0], "f0 bigint")
     ways = simhash.rotations(len(f0), simhash.BUDGET)
-    depth = simhash.plan_depth(prints, len(f0), ways, most)
-    index, place = simhash.node_rows(f0.view(np.uint64), ways, depth)
-    largest = np.bincount(np.unique(place >> 16, return_inverse=True)[1]).max()
-    assert simhash.MIN_DEPTH <= depth <= 12
-    assert largest <= most or depth == 12
-    above = min(depth - 1, simhash.COUNT_DEPTH)
-    assert depth == simhash.MIN_DEPTH or np.bincount(np.unique(simhash.node_rows(f0.view(np.uint64), ways, above)[1] >> 16, return_inverse=True)[1]).max() > most
+    at = simhash.plan_cut(prints, len(f0), ways, most)
+    sent = lambda c: np.bincount(np.unique(simhash.node_rows(f0.view(np.uint64), ways, c)[1] >> 16, return_inverse=True)[1]).max()
+    assert at.depth == simhash.MIN_DEPTH or sent(simhash.Cut(at.depth - 1)) > most  # the rotation of odd errors is counted as if all were sent
+    assert bool(at.large) == bool(at.bits) == (at.depth == 12 and sent(simhash.Cut(12)) > most)
+    assert sent(at) <= most or at.large
+    if at.large:
+        assert sent(at) < sent(simhash.Cut(12)) and list(at.large) == sorted(at.large)
+
+
+@pytest.mark.parametrize(("depth", "bits"), [(6, 1), (6, 3), (10, 6)])
+def test_split_nodes_find_the_same_pairs(depth, bits):
+    rng = np.random.default_rng(12)
+    base = rng.integers(0, 2**63, size=(60, 2), dtype=np.uint64)
+    turned = [(base[rng.integers(60)][0] ^ np.bitwise_or.reduce(np.uint64(1) << rng.choice(64, size=k, replace=False).astype(np.uint64)), np.uint64(k)) for k in range(1, 20) for _ in range(12)]
+    f = np.unique(np.concatenate([base, np.array(turned, dtype=np.uint64)]), axis=0)
+    f[:, 1] &= np.uint64(1)
+    ways = simhash.rotations(10, simhash.BUDGET)
+    nodes = np.unique(simhash.node_rows(f[:, 0], ways, simhash.Cut(depth))[1] >> 16)
+    for large in (nodes, nodes[::2], nodes[:1]):
+        index, place = trie_of(f, ways, depth, bits=bits, large=tuple(large.tolist()))
+        got = {(min(a, b), max(a, b)) for i, j in simhash.trie_pairs(place, f[index, 0], f[index, 1:], ways, depth, simhash.BUDGET, 2) for a, b in zip(index[i].tolist(), index[j].tolist(), strict=True)}
+        assert got == brute_pairs(f, simhash.BUDGET, 2)
+        sizes = np.bincount(np.unique(place >> 16, return_inverse=True)[1])
+        assert bits == 1 or sizes.max() <= max(np.bincount(np.unique(simhash.node_rows(f[:, 0], ways, simhash.Cut(depth))[1] >> 16, return_inverse=True)[1]))
+
+
+def test_groups_with_large_nodes(spark, duck, sf_dir, monkeypatch):
+    """The query with nodes that are all too large, against the query as it is."""
+    want = {(r.doc_id, r.canonical_id) for r in simhash.op7_simhash_neardup(spark, sf_dir).collect()}
+    plan = simhash.plan_cut
+    monkeypatch.setattr(simhash, "plan_cut", lambda prints, n, ways: plan(prints, n, ways, 8))
+    cuts = []
+    monkeypatch.setattr(simhash, "_expand", lambda ways, at, f=simhash._expand: cuts.append(at) or f(ways, at))
+    got = {(r.doc_id, r.canonical_id) for r in simhash.op7_simhash_neardup(spark, sf_dir).collect()}
+    assert got == want and cuts[0].large
 
 
 def groups_of(n, pairs):
@@ -676,15 +704,17 @@ def test_near_copies_against_true_overlap():
     assert sum(overlaps.get(p, 0) < 0.3 for p in long) <= len(long) / 100
 
 
-def test_components(spark):
+@pytest.mark.parametrize("one_task", [0, 10**6])
+def test_components(spark, one_task):
     rng = np.random.default_rng(2)
     pairs = {tuple(sorted(p)) for p in rng.integers(0, 300, size=(170, 2)).tolist() if p[0] != p[1]} | {(i, i + 1) for i in range(400, 480)}
     want = groups_of(500, pairs)
-    got = {r.v: r.root for r in simhash.connected(spark.createDataFrame(sorted(pairs), "a bigint, b bigint")).collect()}
+    got = {r.v: r.root for r in simhash.connected(spark.createDataFrame(sorted(pairs), "a bigint, b bigint"), one_task).collect()}
     assert got == {v: want[v] for p in pairs for v in p}
+    assert simhash.connected(spark.createDataFrame([], "a bigint, b bigint"), one_task).count() == 0
 
 
-# --- WARC -----------------------------------------------------------------------------------------------------
+# --- WARC ---
 
 
 def records(n):
@@ -791,7 +821,7 @@ def test_warc_pages_round_trip(spark, duck, sf_dir):
         assert content.partition(b"\r\n\r\n")[2].decode() == html[r.page_id] and head["warc-target-uri"] == r.url
 
 
-# --- pipeline -------------------------------------------------------------------------------------------------
+# --- pipeline ---
 
 
 def test_pipeline_against_brute_force(spark, duck, sf_dir):
