@@ -18,8 +18,8 @@ from pyspark.sql.types import ArrayType, BooleanType, StringType, StructField, S
 SENTINELS = frozenset(sign + word for word in ("NaN", "nan", "Infinity", "Inf") for sign in ("", "-")) - {"-NaN", "-nan"}
 #: Fields in which a bad value can be repaired; in others it blocks.
 ADVISORY = ("case_name", "raw_text", "cleaning_flags")
-#: Also exponents of three digits: a number too large for a double is infinite.
-_SUSPICIOUS = r"(?i)nan|inf|[0-9]e\+?[0-9]{3}|[0-9]{300}"
+#: What the JVM parses and yet may be bad: a text of the letters of such a number alone, be they escaped, and a number too large for a double. Bare ones it doesn't parse.
+_SUSPICIOUS = r'"(?:[-NaIifnty]|\\u00[0-9A-Fa-f]{2}){3,9}"|[0-9][eE]\+?[0-9]{3}|[0-9]{300}'
 _END = "§§ end of value §§"
 _FINDINGS = StructType(
     [StructField("decoded", BooleanType()), StructField("fields", ArrayType(StringType())), StructField("nonfinite", BooleanType()), StructField("sentinel", BooleanType()), StructField("repaired", StringType()), StructField("changed", BooleanType())]

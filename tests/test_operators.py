@@ -300,6 +300,10 @@ LINES = [
     ('[NaN, {"x": 1}]', (True, [], True, False, '[null, {"x": 1}]', True)),
     ('{"caf\u00e9": "\u00fc", "n": null}', (True, [], False, False, None, False)),
     ("7", (True, [], False, False, None, False)),
+    ('{"a": "\\u004eaN", "info": "financial infinity"}', (True, ["a"], False, True, None, False)),
+    ('{"a": -Infinity}', (True, ["a"], True, False, '{"a": null}', True)),
+    ('{"a": 2' + "0" * 400 + '}', (True, [], False, False, None, False)),  # a whole number, however large
+    ('{"a": 2' + "0" * 400 + '.0}', (True, ["a"], True, False, '{"a": null}', True)),
 ]
 
 
