@@ -67,7 +67,7 @@ def fresh(df: DataFrame, name: str) -> str:
 
 
 #: Nodes of an optimized plan under which rows come in the same order each time, as far as the splits of the files are the same.
-_STEADY = {"LogicalRelation", "Project", "Filter", "LocalRelation"}
+_STEADY = {"LogicalRelation", "Project", "Filter"}
 
 
 def _steady(node) -> bool:
