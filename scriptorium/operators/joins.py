@@ -74,7 +74,7 @@ def enrich(rows: DataFrame, index: DataFrame, on: str, key: str, value: str) ->
     out = rows.withColumn("_own", own).join(found, F.col(on) == F.col("_key"), "left").withColumn(value, F.coalesce("_own", "_value")).drop("_own", "_key", "_value")
     missing = F.col(value).isNull()
     sums = out.agg(F.count("*").alias("n_total"), F.count_if(~missing).alias("n_enriched"), F.count_if(missing).alias("n_unmatched"))
-    first = out.where(missing).select(on).orderBy(on).limit(20).agg(F.array_sort(F.collect_list(on)).alias("sample_unmatched"))
+    first = out.where(missing).select(on).orderBy(F.asc_nulls_last(on)).limit(20).agg(F.array_sort(F.collect_list(on)).alias("sample_unmatched"))
     summary = sums.withColumn("unmatched_rate", F.round(F.col("n_unmatched") / F.greatest(F.col("n_total"), F.lit(1)), 6)).crossJoin(first)
     return out.where(~missing), out.where(missing).drop(value), summary
 

@@ -217,7 +217,9 @@ def enrich_dead_letters(spark, d):
 @query(f"""WITH {_ENRICHED} SELECT count(*) AS n_total, count(cluster_id) AS n_enriched, count(*) - count(cluster_id) AS n_unmatched, round((count(*) - count(cluster_id)) / count(*), 6) AS unmatched_rate,
 (SELECT string_agg(k, ',' ORDER BY k) FROM (SELECT doc_id % 60 AS k FROM e WHERE cluster_id IS NULL ORDER BY 1 LIMIT 20)) AS sample_unmatched FROM e""")
 def enrich_summary(spark, d):
-    return _enriched(spark, d)[2].withColumn("sample_unmatched", F.array_join(F.transform("sample_unmatched", lambda x: x.cast("string")), ","))
+    # SQL has null where there is nothing to list, and NaN where there is nothing to divide by
+    listed = F.when(F.size("sample_unmatched") > 0, F.array_join(F.transform("sample_unmatched", lambda x: x.cast("string")), ","))
+    return _enriched(spark, d)[2].withColumns({"sample_unmatched": listed, "unmatched_rate": F.when(F.col("n_total") > 0, F.col("unmatched_rate")).otherwise(float("nan"))})
 
 
 _TWO_RUNS = "x AS (SELECT o_orderkey AS q, o_custkey AS c, o_totalprice AS s FROM orders WHERE o_orderkey % 5 <> 1), y AS (SELECT o_orderkey AS q, o_custkey AS c, o_orderstatus AS t FROM orders WHERE o_orderkey % 7 <> 2)"

@@ -491,6 +491,21 @@ def test_enrichment_fails_over_a_rate(spark, tmp_path):
     assert joins.write_enriched(whole, f"{tmp_path}/c", 0.0)["n_unmatched"] == 0 and not (tmp_path / "c/dead").exists()
 
 
+@pytest.mark.parametrize(("ids", "n_items"), [(range(200), 60), ([None] * 30 + list(range(200)), 40), ([], 60)])
+def test_enrich_summary_as_its_sql(spark, tmp_path, ids, n_items):
+    import duckdb
+
+    from scriptorium.plans import registry
+
+    spark.createDataFrame([(i,) for i in ids], "doc_id bigint").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i,) for i in range(n_items)], "item_id bigint").write.parquet(f"{tmp_path}/benchmark.parquet")
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    got, want = registry.QUERIES["enrich_summary"](spark, str(tmp_path)), con.sql(registry.ORACLE_SQL["enrich_summary"])
+    assert repr([tuple(r) for r in got.select(*want.columns).collect()]) == repr(want.fetchall())
+
+
 def test_runs_that_are_not_aligned(spark):
     a = spark.createDataFrame([(1, 2, 0.5), (1, 3, 0.6)], "s int, d int, x double")
     b = spark.createDataFrame([(1, 3, "u"), (1, 2, "v")], "s int, d int, y string")
