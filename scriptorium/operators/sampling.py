@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -55,11 +57,12 @@ def _by_prefix(df: DataFrame, stratum: str, id_col: str, seed: str, take: DataFr
 
 
 def group_split(groups: DataFrame, key: str, seed: str, train: float = 0.7, val: float = 0.15) -> DataFrame:
-    """(key, fold): whole groups in hashed order, cut at int(n * train) and int(n * (train + val))."""
+    """(key, fold): whole groups in hashed order, cut at n * train and n * (train + val), rounded down. The shares are taken as the decimals that they are written as: 90 * 0.7 is 63, not the 62.99.. of binary fractions."""
     ids = groups.select(key).where(F.col(key).isNotNull()).distinct()
     ranked = positions(ids.withColumn("_hash", hashed(seed, key)), [F.col("_hash"), F.col(key)], "_place")
     n = ids.agg(F.count("*").alias("_n"))
-    a, b = F.floor(F.col("_n") * train), F.floor(F.col("_n") * (train + val))
+    first, second = Decimal(str(train)), Decimal(str(train)) + Decimal(str(val))
+    a, b = F.floor(F.col("_n") * F.lit(first)), F.floor(F.col("_n") * F.lit(second))
     return ranked.crossJoin(n).select(key, F.when(F.col("_place") <= a, "train").when(F.col("_place") <= b, "val").otherwise("test").alias("fold"))
 
 

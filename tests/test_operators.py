@@ -230,6 +230,12 @@ def test_group_split_has_no_leak(spark):
     assert Counter(r.fold for r in out.select("g", "fold").distinct().collect()) == {"train": 25, "val": 6, "test": 6}
 
 
+@pytest.mark.parametrize(("n", "want"), [(90, (63, 13, 14)), (170, (119, 25, 26)), (180, (126, 27, 27))])
+def test_group_split_cuts_at_decimal_shares(spark, n, want):
+    folds = Counter(r.fold for r in sampling.group_split(spark.range(n), "id", "s").collect())
+    assert (folds["train"], folds["val"], folds["test"]) == want
+
+
 def test_positions_are_a_total_order(spark):
     df = spark.range(1000).withColumn("v", F.col("id") % 7)
     got = ordering.positions(df, [F.col("v"), F.col("id")], "p").orderBy("p").collect()
