@@ -175,6 +175,46 @@ def test_dense_blocks_against_brute_force(spark, block):
     assert retrieval.dense(vectors, queries.limit(0), 3, block).count() == 0 == retrieval.dense(vectors.limit(0), queries, 3, block).count()
 
 
+_BM25_DOCS = ["the cat sat on a mat", "Cat CAT dog", "", None, "été À la mer", "dog dog dog dog mer", "zebra " * 40 + "cat", "of the and", "Cat CAT dog"]
+_BM25_QUERIES = ["cat dog cat", "the of", "ÉTÉ mer zebra", None, "unknown words", "mat cat sat mer"]
+
+
+def _bm25(docs, queries, k):
+    terms = lambda x: [w for w in __import__("re").findall(X.TERM, (x or "").lower()) if w not in retrieval.STOPWORDS]
+    tfs = [Counter(terms(x)) for x in docs]
+    mean = sum(x.total() for x in tfs) / len(docs)
+    out = {}
+    for q, text in enumerate(queries):
+        scored = []
+        for d, tf in enumerate(tfs):
+            parts = [n * math.log(1 + (len(docs) - (df := sum(w in x for x in tfs)) + 0.5) / (df + 0.5)) * tf[w] / (tf[w] + 1.5 * (0.25 + 0.75 * tf.total() / mean)) for w, n in Counter(terms(text)).items() if tf[w]]
+            if parts:
+                scored.append((-round(sum(parts), 6), d))
+        out |= {(q, i + 1): (d, pytest.approx(-x, abs=2e-6)) for i, (x, d) in enumerate(sorted(scored)[:k])}
+    return out
+
+
+@pytest.mark.parametrize("small", [{}, {"VOCABULARY": 2}, {"BLOCK_ROWS": 2}, {"BLOCK_TERMS": 3, "CELLS": 4}])
+def test_bm25_blocks_against_brute_force(spark, monkeypatch, small):
+    for name, n in small.items():
+        monkeypatch.setattr(retrieval, name, n)
+    docs = spark.createDataFrame(list(enumerate(_BM25_DOCS)), "doc_id bigint, text string").repartition(2)
+    queries = spark.createDataFrame(list(enumerate(_BM25_QUERIES)), "query_id int, text string")
+    for k in (1, 3, 20):
+        got = {(r.query_id, r["rank"]): (r.doc_id, r.score) for r in retrieval.bm25(docs, queries, k).collect()}
+        assert got == _bm25(_BM25_DOCS, _BM25_QUERIES, k)
+    assert retrieval.bm25(docs, queries.limit(0), 3).count() == 0 == retrieval.bm25(docs.limit(0), queries, 3).count()
+
+
+def test_bm25_shuffles_only_the_best_of_blocks(spark):
+    docs = spark.createDataFrame([(i, f"cat dog w{chr(97 + i % 26)}") for i in range(3000)], "doc_id bigint, text string").coalesce(1)
+    queries = spark.createDataFrame([(q, "cat dog wa") for q in range(5)], "query_id int, text string")
+    top = retrieval.bm25(docs, queries, 2)
+    plan = top._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(query_id#" in plan and "doc_id" not in "".join(x for x in plan.splitlines() if "hashpartitioning" in x)
+    assert top.count() == 10
+
+
 def test_splits_sort_only_what_they_take(spark):
     df = spark.range(20_000).select("id", F.when(F.col("id") % 10 == 0, "small").otherwise("large").alias("stratum"))
     out = sampling.stratified_split(df, "stratum", "id", 60, 40, "s")
