@@ -31,3 +31,13 @@ def test_query(name, spark, duck, sf_dir):
         want = duck.sql(registry.ORACLE_SQL[name]).df()
         assert sorted(got.columns) == sorted(want.columns)
         assert rows(got) == rows(want)
+
+
+@pytest.mark.parametrize("name", ["build_prompt", "context_assembly", "fuzzy_verify"])
+def test_hits_are_found_once_and_shuffle_no_texts(name, spark, sf_dir):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "50k")  # less than the documents
+    try:
+        plan = registry.QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
