@@ -33,7 +33,7 @@ def test_query(name, spark, duck, sf_dir):
         assert rows(got) == rows(want)
 
 
-@pytest.mark.parametrize("name", ["build_prompt", "context_assembly", "fuzzy_verify"])
+@pytest.mark.parametrize("name", ["build_prompt", "context_assembly", "fuzzy_verify", "rerank"])
 def test_hits_are_found_once_and_shuffle_no_texts(name, spark, sf_dir):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "50k")  # less than the documents
     try:
