@@ -160,6 +160,19 @@ def test_histogram_of_one_value(spark):
     assert [(r.bin, r.n) for r in ordering.histogram(spark.createDataFrame([(2.0,), (2.0,), (None,)], "v double"), "v").collect()] == [(0, 2)]
 
 
+def test_entropy_holds_one_text_at_a_time():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    texts = pa.array(["ab\u0142" * 10_000] * 500 + [None, ""])  # 20 MB
+    tracemalloc.start()
+    got = X._entropies(texts).to_pylist()
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got == [pytest.approx(math.log2(3))] * 500 + [0.0, 0.0] and most < 2e6
+
+
 @pytest.mark.parametrize("block", [3, 4096])
 def test_dense_blocks_against_brute_force(spark, block):
     import numpy as np
