@@ -188,6 +188,36 @@ def test_dense_blocks_against_brute_force(spark, block):
     assert retrieval.dense(vectors, queries.limit(0), 3, block).count() == 0 == retrieval.dense(vectors.limit(0), queries, 3, block).count()
 
 
+def test_dense_products_are_bounded(spark):
+    import tracemalloc
+
+    import numpy as np
+
+    docs, asked = (np.random.default_rng(i).normal(size=(4096, 8)) for i in (1, 2))
+    tracemalloc.start()
+    parts = list(retrieval._products(asked, docs, 3))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 50e6  # all scores are 134 MB
+    want = np.sort(asked @ docs.T, axis=1)[:, :-4:-1]
+    got = {}
+    for q, _, s in parts:
+        for i, x in zip(q.tolist(), s.tolist()):
+            got.setdefault(i, []).append(x)
+    assert np.allclose([sorted(got[i])[:-4:-1] for i in range(4096)], want)
+    wide = spark.createDataFrame([(i, [float(i)] * 20_000) for i in range(40)], "doc_id int, vector array<double>").coalesce(1)
+    rows = retrieval._blocks(wide, "doc_id", "vector", 4096).collect()
+    assert sorted(i for r in rows for i in r.ids) == list(range(40)) and max(len(r.data) for r in rows) <= 8 * retrieval.BLOCK_TERMS
+
+
+@pytest.mark.parametrize("ties", [1, 3])
+def test_dense_of_many_equal_vectors(spark, ties):
+    vectors = spark.createDataFrame([(i, [1.0, float(i % ties)]) for i in range(500)], "doc_id bigint, vector array<float>").repartition(2)
+    queries = spark.createDataFrame([(q, [0.0, 1.0]) for q in range(3)], "query_id int, query_vector array<float>")
+    got = {(r.query_id, r["rank"]): r.doc_id for r in retrieval.dense(vectors, queries, 4).collect()}
+    assert got == {(q, n + 1): n * ties + ties - 1 for q in range(3) for n in range(4)}
+
+
 _BM25_DOCS = ["the cat sat on a mat", "Cat CAT dog", "", None, "été À la mer", "dog dog dog dog mer", "zebra " * 40 + "cat", "of the and", "Cat CAT dog"]
 _BM25_QUERIES = ["cat dog cat", "the of", "ÉTÉ mer zebra", None, "unknown words", "mat cat sat mer"]
 
